@@ -1,0 +1,5 @@
+"""No streaming operators: every input is a finished table and every result is a batch result.
+
+Changing a parameter means running the same batch plan again; there is no event time,
+watermark or late data anywhere in the scope of this library.
+"""
