@@ -80,7 +80,7 @@ def scan_project_cast(spark, sf_dir):
         F.coalesce(token, F.col("c_acctbal").cast("string")).alias("BALANCE"),
         F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).alias("5th"),
     ).write.csv(path, header=True, compression="gzip", escape='"', nullValue="")
-    schema = schemas._ddl("custkey long, name string, balance double, field5 string")
+    schema = schemas.columns("custkey long, name string, balance double, field5 string")
     df = delimited.read_delimited(spark, path, schema, header=True, partitions=8)
     df = delimited.rename_position(df, 4, "segment")
     return df.select(F.col("custkey").alias("subject_id"), "name", "balance", "segment")
@@ -453,15 +453,14 @@ def adverse_cohort_rows(spark, sf_dir):
     """The adverse-event source: selected by secondary code, reported with unknown codes kept."""
     indication, subjects, drug = _adverse_parts(spark, sf_dir)
     nations = S.nation_mapping(spark, sf_dir)
-    people = adverse.demographics(
-        drug, indication, S.concept(spark, sf_dir).withColumn("concept_code", F.col("concept_id").cast("string")), subjects
-    )
+    concepts = S.concept(spark, sf_dir).withColumn("concept_code", F.col("concept_id").cast("string"))
     visits = S.case_indication(spark, sf_dir).select(
         F.col("isr").alias("subject_id"), F.lit(2).alias("admit_id"),
         F.when(F.col("snomed_indication_concept_id").isNull(), "unknown").otherwise(
             F.concat(F.lit("N"), F.col("indication_concept_id").cast("string"))).alias("icd_code"),
     )
-    selection = tidy.adverse_selection(written(people, "adverse_people"), "AUTO")
+    selection = adverse.selection(drug, indication, concepts, subjects, "AUTO")
+    people = adverse.demographics(drug, indication, concepts, subjects)
     aeolus = source("aeolus", {"icd9": nations, "icd10": nations}, visits, people, selection)
     study = Study(aeolus, C.CohortSpec("R2", "N7", "icd", "icd", "ccs_s", with_second=False))
     return study.temporal_items()
@@ -648,7 +647,7 @@ def delimited_roundtrip(spark, sf_dir):
     sinks.write_delimited(S.people(spark, sf_dir), people, quote_all=False)
     packed = delimited.read_delimited(spark, temporal, schemas.TEMPORAL, header=False)
     back = delimited.read_delimited(
-        spark, people, schemas._ddl("subject_id long, segment string, nation string, region string"), header=False
+        spark, people, schemas.columns("subject_id long, segment string, nation string, region string"), header=False
     )
     return packed.join(back, "subject_id")
 

@@ -134,6 +134,32 @@ def demographics(drug: DataFrame, indication: DataFrame, concept: DataFrame, sub
     )
 
 
+def selection(
+    drug: DataFrame, indication: DataFrame, concept: DataFrame, subjects: DataFrame, pattern: str
+) -> DataFrame:
+    """Rows conditions are looked up in: (subject, last visit, secondary code).
+
+    A visit is the rank of a drug sequence over all chosen subjects, and every indication of a
+    subject stands in each of its visits.  Selection only asks whether a code occurs after visit 1,
+    so each indication is kept once, with the subject's last visit, instead of once per visit.
+    """
+    described = indication.join(subjects, "subject_id", "left_semi")
+    known = described.select("subject_id").distinct()
+    sequences = written(
+        drug.select("subject_id", "drug_seq").distinct().join(known, "subject_id", "left_semi"), "drug_sequences"
+    )
+    last = dense_rank_all(sequences, "drug_seq", "_rank").groupBy("subject_id").agg(F.max("_rank").alias("admit_id"))
+    codes = concept.select(F.col("concept_id").alias("indi_snomed_id"), F.col("concept_code").alias("snomed_code"))
+    return (
+        described.filter(matches(F.col("indi_desc"), pattern))
+        .select("subject_id", "indi_snomed_id")
+        .distinct()
+        .join(codes, "indi_snomed_id")
+        .join(last, "subject_id")
+        .select("subject_id", "admit_id", F.col("snomed_code").cast("string").alias("snomed_code"))
+    )
+
+
 def outcome_codes(outcome: DataFrame, concept: DataFrame, mapping: DataFrame, dedupe: bool = False) -> DataFrame:
     """Outcome concept → hierarchy code, ``weight`` times for each pair.
 

@@ -15,6 +15,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from cohortloom.operators.ranks import dense_rank_within
 from cohortloom.session import written
 
 DEFAULT_SUPPORT = 0.25
@@ -22,7 +23,7 @@ MAX_ELEMENTS = 10
 MAX_ITEMS = 10
 
 # Visits per index chunk: bounds what any one join key can hold, whatever a subject's length.
-CHUNK = 1024
+CHUNK = 256
 
 
 def min_count(support: float, n: int) -> int:
@@ -61,8 +62,6 @@ def visit_index(occurrences: DataFrame) -> DataFrame:
 
 def renumber_visits(tidy: DataFrame, visit: str = "admit_id") -> DataFrame:
     """Dense visit numbers 1, 2, … per subject, for sources whose numbers have gaps."""
-    from cohortloom.operators.ranks import dense_rank_within
-
     return (
         dense_rank_within(tidy, ["subject_id"], visit, "_dense", F.floor(F.col(visit) / CHUNK))
         .drop(visit)
@@ -110,16 +109,14 @@ def mine(occurrences: DataFrame, support: float, max_elements: int = MAX_ELEMENT
     results = [found.select("states", "count")]
     for size in range(2, max_elements + 1):
         ends = level.select("subject_id", F.col("id").alias("parent"), "end", _chunk(F.col("end")).alias("_chunk"))
-        keys = ["subject_id", "_chunk"]
-        if size > 2:
-            candidates = _candidates(found)
-            ends = ends.join(candidates.drop("tail"), "parent")
-            keys = [*keys, "item"]
         grown = (
-            ends.join(lookup, keys)
+            ends.join(lookup, ["subject_id", "_chunk"])
             .filter((F.coalesce("prev", F.lit(0)) <= F.col("end")) & (F.col("end") < F.col("visit")))
             .select("subject_id", "parent", "item", F.col("visit").alias("end"))
         )
+        if size > 2:  # after the join by subject, so that candidates never multiply what is shuffled
+            candidates = _candidates(found)
+            grown = grown.join(candidates.drop("tail"), ["parent", "item"], "left_semi")
         if size < max_elements:
             grown = written(grown, f"grown_{size}")  # read twice: to count and to go on from
         counts = grown.groupBy("parent", "item").agg(F.count("*").alias("count")).filter(F.col("count") >= least)

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from cohortloom.functions.text import item_text, matches
-from cohortloom.operators.ranks import dense_rank_all
+from cohortloom.functions.text import item_text
 
 
 def unpack(packed: DataFrame, column: str = "icd_code") -> DataFrame:
@@ -19,12 +18,3 @@ def count_codes(tidy: DataFrame, column: str = "icd_code") -> DataFrame:
     return tidy.groupBy("subject_id", "admit_id", item_text(F.col(column)).alias("item")).agg(
         F.count("*").alias("n")
     )
-
-
-def adverse_selection(demographics: DataFrame, pattern: str) -> DataFrame:
-    """Selection rows of the adverse-event source: indications whose text matches, numbered by the
-    rank of the drug sequence over the whole table (ranked before the text filter)."""
-    ranked = dense_rank_all(demographics, "drug_seq", "admit_id")
-    return ranked.filter(matches(F.col("indi_desc"), pattern)).select(
-        "subject_id", "admit_id", F.col("indi_snomed_code").cast("string").alias("snomed_code")
-    )

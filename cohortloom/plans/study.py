@@ -64,7 +64,10 @@ class Study:
         documented: bool = True,
     ) -> DataFrame:
         """The sequence table: mined, flagged, without repeats, described and searched."""
-        mined = sequences.frequent_sequences(self.temporal_items(), support, max_elements)
+        items = self.temporal_items()
+        if not self.source.dense_visits:
+            items = sequences.renumber_visits(items)
+        mined = sequences.frequent_sequences(items, support, max_elements)
         table = sequence_table.with_length(sequence_table.as_table(mined))
         table = sequence_table.with_flags(table, documented)
         table = sequence_table.without_repeats(table, documented)

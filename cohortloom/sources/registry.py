@@ -24,6 +24,7 @@ class Source:
     selection: DataFrame | None = None
     selection_key: str = "icd_code"
     keep_unmapped: bool = False
+    dense_visits: bool = True  # whether visit numbers count 1, 2, … within each subject
 
     def selection_rows(self) -> DataFrame:
         return self.visits if self.selection is None else self.selection
@@ -53,6 +54,7 @@ def source(
         selection=selection,
         selection_key="snomed_code" if adverse else "icd_code",
         keep_unmapped=adverse,
+        dense_visits=not adverse,
     )
 
 
