@@ -76,10 +76,11 @@ def top_with_ties(df: DataFrame, measure: str, n: int) -> DataFrame:
     """Rows whose ``measure`` is among the ``n`` largest, ties at the edge included.
 
     The edge is found by a distributed top-n and compared as a scalar, so ties, however many,
-    stay where they are.
+    stay where they are.  ``df`` is an aggregate: it is written once rather than computed twice.
     """
-    edge = df.select(measure).orderBy(F.desc(measure)).limit(n).agg(F.min(measure))
-    return df.filter(F.col(measure) >= edge.scalar())
+    stored = written(df, "measured")
+    edge = stored.select(measure).orderBy(F.desc(measure)).limit(n).agg(F.min(measure))
+    return stored.filter(F.col(measure) >= edge.scalar())
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

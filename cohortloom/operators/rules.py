@@ -51,9 +51,11 @@ def association_rules(
 
 def item_frequency(items: DataFrame, support: float = DEFAULT_SUPPORT, top: int = 10) -> DataFrame:
     """Share of visits each item occurs in, for items reaching ``support``: the ``top`` largest."""
-    pairs = items.select("subject_id", "admit_id", "item").distinct()
-    n = items.select("subject_id", "admit_id").distinct().agg(F.count("*")).scalar()
-    counts = pairs.groupBy("item").agg(F.count("*").alias("count"))
+    # a null item stands for the visit itself, so that one pass counts the items and the visits
+    marked = items.select("subject_id", "admit_id", F.explode(F.array("item", F.lit(None))).alias("item"))
+    counts = written(marked.distinct().groupBy("item").agg(F.count("*").alias("count")), "item_counts")
+    n = counts.filter("item is null").select("count").scalar()
+    counts = counts.filter("item is not null")
     shares = counts.withColumn("frequency", F.col("count") / n)
     return shares.filter(F.round("frequency", 9) >= support).orderBy(F.desc("frequency"), "item").limit(top)
 

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 
 from cohortloom.operators import cohort as C
 from cohortloom.operators import explore, hierarchy, rules, sequence_table, sequences
-from cohortloom.session import tune
+from cohortloom.session import tune, written
 from cohortloom.sources.registry import Source
 
 
 class Study:
-    """Plans are built lazily; only mining runs jobs before its result is asked for."""
+    """Results are built on demand; choosing the cohort and mining run jobs of their own."""
 
     def __init__(self, source: Source, spec: C.CohortSpec):
         tune(source.visits.sparkSession)
@@ -27,7 +27,10 @@ class Study:
 
     @cached_property
     def subjects(self) -> DataFrame:
-        return C.cohort_plus(self.members) if self.spec.with_second else C.cohort_minus(self.members)
+        """The cohort, written once: every result reads it, and its known size lets Spark look it
+        up at the scan when it is small and after pre-aggregation when it is not."""
+        chosen = C.cohort_plus(self.members) if self.spec.with_second else C.cohort_minus(self.members)
+        return written(chosen, "cohort")
 
     @cached_property
     def coded(self) -> DataFrame:
