@@ -222,7 +222,8 @@ def recode_label(spark, sf_dir):
 @_query
 def with_hierarchy(spark, sf_dir):
     """Visit rows with all levels; codes with several secondary codes fan out."""
-    df = H.with_hierarchy(S.visits(spark, sf_dir), S.fanned_mapping(spark, sf_dir))
+    mapping = written(S.fanned_mapping(spark, sf_dir), "mapping")
+    df = H.with_hierarchy(S.visits(spark, sf_dir), mapping)
     return df.select("subject_id", "admit_id", "icd_code", "ccs2_code", "ccs1_desc", "icd_chp_code", "snomed_code")
 
 

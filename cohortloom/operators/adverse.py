@@ -160,7 +160,7 @@ def selection(
     )
 
 
-def outcome_codes(outcome: DataFrame, concept: DataFrame, mapping: DataFrame, dedupe: bool = False) -> DataFrame:
+def outcome_codes(concept: DataFrame, mapping: DataFrame, dedupe: bool = False) -> DataFrame:
     """Outcome concept → hierarchy code, ``weight`` times for each pair.
 
     Walking the hops twice, once to keep usable outcomes and once to name their codes, multiplies
@@ -189,7 +189,8 @@ def temporal(
     Every step is counted instead of repeated: outcomes and drugs of a subject meet as counts per
     drug, and the concept hops enter as weights.
     """
-    codes = outcome_codes(outcome, concept, mapping, dedupe)
+    # as a stored table it is a plain side of the join below, which adaptive execution can then split
+    codes = written(outcome_codes(concept, mapping, dedupe), "outcome_codes")
     per_outcome = (
         outcome.select("subject_id", "drug_id", "outcome_snomed_id")
         .groupBy("subject_id", "drug_id", "outcome_snomed_id")

@@ -142,7 +142,11 @@ def level_choices(mapping: DataFrame, name: str) -> DataFrame:
 
 def with_hierarchy(tidy: DataFrame, mapping: DataFrame, on: str = "icd_code") -> DataFrame:
     """Visit rows with all levels; rows of unknown codes are dropped, and a code with several rows
-    in the hierarchy gives as many rows here."""
+    in the hierarchy gives as many rows here.
+
+    Pass a stored hierarchy rather than the plan that builds it: its size decides on broadcasting, and
+    only a join of two plain shuffles can be split where one code owns a large share of the rows.
+    """
     return tidy.join(mapping, on)
 
 

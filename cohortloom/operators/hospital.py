@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cohortloom.functions.text import years_between
 from cohortloom.operators.ranks import dense_rank_within, first_per_key, visit_bucket
+from cohortloom.session import written
 
 
 def subject_ages(admissions: DataFrame, patients: DataFrame) -> DataFrame:
@@ -30,6 +31,7 @@ def numbered_admissions(admissions: DataFrame, diagnoses: DataFrame) -> DataFram
     keys = _visit_keys(diagnoses)
     diagnosed = diagnoses.select(*keys).distinct()
     visits = admissions.select("subject_id", "hadm_id", "admittime").join(diagnosed, keys, "left_semi")
+    visits = written(visits, "visits")  # read twice: to rank the times and to number the visits
     return dense_rank_within(visits, ["subject_id"], "admittime", "admit_id", visit_bucket("admittime"))
 
 

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cohortloom.operators.ranks import dense_rank_within
-from cohortloom.session import written
+from cohortloom.session import forget, written
 
 DEFAULT_SUPPORT = 0.25
 MAX_ELEMENTS = 10
@@ -107,6 +107,7 @@ def mine(occurrences: DataFrame, support: float, max_elements: int = MAX_ELEMENT
         "_chunk", F.explode(F.sequence(_chunk(F.coalesce("prev", F.lit(1))), _chunk(F.col("visit") - 1)))
     )
     results = [found.select("states", "count")]
+    spent = [index]  # tables the result does not read; each is dropped when the next level is written
     for size in range(2, max_elements + 1):
         ends = level.select("subject_id", F.col("id").alias("parent"), "end", _chunk(F.col("end")).alias("_chunk"))
         grown = (
@@ -119,6 +120,8 @@ def mine(occurrences: DataFrame, support: float, max_elements: int = MAX_ELEMENT
             grown = grown.join(candidates.drop("tail"), ["parent", "item"], "left_semi")
         if size < max_elements:
             grown = written(grown, f"grown_{size}")  # read twice: to count and to go on from
+            forget(spent.pop())
+            spent.append(grown)
         counts = grown.groupBy("parent", "item").agg(F.count("*").alias("count")).filter(F.col("count") >= least)
         if size > 2:
             counts = counts.join(candidates, ["parent", "item"])
@@ -137,6 +140,8 @@ def mine(occurrences: DataFrame, support: float, max_elements: int = MAX_ELEMENT
             break
         results.append(found.select("states", "count"))
         level = grown.join(found.select("parent", "item", "id"), ["parent", "item"]).select("subject_id", "id", "end")
+    for table in [*spent, steps]:
+        forget(table)
     return _union(results).withColumn("support", F.col("count") / F.lit(n))
 
 
@@ -166,7 +171,9 @@ def frequent_itemset_sequences(
     rows = written(occurrences(items).distinct(), "occurrences")
     n = rows.select("subject_id").distinct().count()
     held, sets = frequent_itemsets(rows, support, n, max_items)
-    mined = mine(held.select("subject_id", "visit", F.col("id").alias("state")), support, max_elements, n)
+    forget(rows)
+    mined = mine(held.withColumnRenamed("id", "state"), support, max_elements, n)
+    forget(held)
     return (
         mined.select("states", "count", "support", F.posexplode("states").alias("_pos", "id"))
         .join(sets, "id")
@@ -201,7 +208,7 @@ def frequent_itemsets(
     names = found.select(F.col("id").alias("item"), "state")
     level = written(rows.join(names, "state").select("subject_id", "visit", F.col("item").alias("id"), "item"), "held_1")
     singles = level.select("subject_id", "visit", "item")
-    held, sets = [level.drop("item")], [found.select("id", "items")]
+    held, sets, spent = [level.drop("item")], [found.select("id", "items")], [level]
     found = found.select("id", F.lit(0).cast("long").alias("parent"), F.col("id").alias("item"), "items")
     for size in range(2, max_items + 1):
         parents = level.select("subject_id", "visit", F.col("id").alias("parent"), F.col("item").alias("_last"))
@@ -210,6 +217,7 @@ def frequent_itemsets(
         else:
             grown = parents.join(_set_candidates(found), "parent").join(singles, ["subject_id", "visit", "item"])
         grown = written(grown.select("subject_id", "visit", "parent", "item"), f"grown_set_{size}")
+        spent.append(grown)
         found = written(
             supported(grown, "parent", "item")
             .join(found.select(F.col("id").alias("parent"), "items"), "parent")
@@ -227,7 +235,10 @@ def frequent_itemsets(
         )
         held.append(level.drop("item"))
         sets.append(found.select("id", "items"))
-    return _union(held), _union(sets)
+    everywhere = written(_union(held), "held")
+    for table in spent:
+        forget(table)
+    return everywhere, _union(sets)
 
 
 def _set_candidates(found: DataFrame) -> DataFrame:
