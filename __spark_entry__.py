@@ -482,9 +482,7 @@ def _mined_brands(spark, sf_dir):
 
 @_query
 def frequent_sequences(spark, sf_dir):
-    study = _study(spark, sf_dir, PLUS)
-    mined = Q.frequent_sequences(study.temporal_items(), 0.25, 3)
-    return T.as_table(mined).select("sequence", F.size("states").alias("n_states"), F.round("support", 9).alias("support"))
+    return _study(spark, sf_dir, PLUS).mined_sequences(0.25, 3).select("sequence", F.size("states").alias("n_states"), F.round("support", 9).alias("support"))
 
 
 @_query
@@ -576,8 +574,7 @@ def sequence_study(spark, sf_dir):
 
 @_query
 def item_frequency(spark, sf_dir):
-    items = _study(spark, sf_dir, PLUS).association_items()
-    df = rules.item_frequency(items, 0.05, 10)
+    df = _study(spark, sf_dir, PLUS).item_frequency(0.05, 10)
     return df.select("item", "count", F.round("frequency", 9).alias("frequency"))
 
 

@@ -85,14 +85,23 @@ def demographics(table: DataFrame, subjects: DataFrame, order: list[str]) -> Dat
     return first_per_key(table, ["subject_id"], order).join(subjects, "subject_id", "left_semi")
 
 
-def item_counts(coded: DataFrame, subjects: DataFrame, item: str) -> DataFrame:
+def items(coded: DataFrame, subjects: DataFrame, column: str) -> DataFrame:
+    """Visit rows of the cohort with one hierarchy column as the item, repeats kept.
+
+    The input of mining, which drops repeats within a visit in its own first aggregation.
+    """
+    rows = coded.select("subject_id", "admit_id", item_text(F.col(column)).alias("item"))
+    return rows.join(subjects, "subject_id", "left_semi")
+
+
+def item_counts(coded: DataFrame, subjects: DataFrame, column: str) -> DataFrame:
     """How often each item of one hierarchy column stands in each visit of the cohort.
 
     This is the canonical form of the baskets: counted, one row per (subject, visit, item), so that
     no visit or subject is ever gathered with its repeats.
     """
     return (
-        coded.select("subject_id", "admit_id", item_text(F.col(item)).alias("item"))
+        coded.select("subject_id", "admit_id", item_text(F.col(column)).alias("item"))
         .groupBy("subject_id", "admit_id", "item")
         .agg(F.count("*").alias("n"))
         .join(subjects, "subject_id", "left_semi")

@@ -6,8 +6,10 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 
+from cohortloom.functions.levels import level
 from cohortloom.operators import cohort as C
-from cohortloom.operators import explore, hierarchy, rules, sequence_table, sequences
+from cohortloom.operators import explore, hierarchy
+from cohortloom.operators import rules as R, sequence_table as T, sequences as Q
 from cohortloom.session import tune, written
 from cohortloom.sources.registry import Source
 
@@ -58,25 +60,35 @@ class Study:
             self.source.visits, self.source.mapping, self.subjects, self.spec.mining_level, n
         )
 
+    def mined_sequences(
+        self, support: float = Q.DEFAULT_SUPPORT, max_elements: int = Q.MAX_ELEMENTS
+    ) -> DataFrame:
+        items = C.items(self.coded, self.subjects, level(self.spec.mining_level).code)
+        if not self.source.dense_visits:
+            items = Q.renumber_visits(items)
+        return T.as_table(Q.frequent_sequences(items, support, max_elements))
+
     def sequences(
         self,
-        support: float = sequences.DEFAULT_SUPPORT,
+        support: float = Q.DEFAULT_SUPPORT,
         starts_with: str = "",
         contains: str = "",
-        max_elements: int = sequences.MAX_ELEMENTS,
+        max_elements: int = Q.MAX_ELEMENTS,
         documented: bool = True,
     ) -> DataFrame:
         """The sequence table: mined, flagged, without repeats, described and searched."""
-        items = self.temporal_items()
-        if not self.source.dense_visits:
-            items = sequences.renumber_visits(items)
-        mined = sequences.frequent_sequences(items, support, max_elements)
-        table = sequence_table.with_length(sequence_table.as_table(mined))
-        table = sequence_table.with_flags(table, documented)
-        table = sequence_table.without_repeats(table, documented)
-        table = sequence_table.describe(table, self.source.mapping, self.spec.mining_level)
-        table = sequence_table.drop_unclassified(table)
-        return sequence_table.search_any(sequence_table.search_first(table, starts_with), contains)
-
-    def rules(self, support: float = rules.DEFAULT_SUPPORT, confidence: float = rules.DEFAULT_CONFIDENCE) -> DataFrame:
-        return rules.association_rules(rules.transactions(self.association_items()), support, confidence)
+        table = T.with_length(self.mined_sequences(support, max_elements))
+        table = T.with_flags(table, documented)
+        table = T.without_repeats(table, documented)
+        table = T.describe(table, self.source.mapping, self.spec.mining_level)
+        table = T.drop_unclassified(table)
+        return T.search_any(T.search_first(table, starts_with), contains)
+
+    def rules(self, support: float = R.DEFAULT_SUPPORT, confidence: float = R.DEFAULT_CONFIDENCE) -> DataFrame:
+        return R.association_rules(R.transactions(self.rule_items()), support, confidence)
+
+    def item_frequency(self, support: float = R.DEFAULT_SUPPORT, top: int = 10) -> DataFrame:
+        return R.item_frequency(self.rule_items(), support, top)
+
+    def rule_items(self) -> DataFrame:
+        return C.items(self.coded, self.subjects, level(self.spec.mining_level).desc)

@@ -35,18 +35,18 @@ def lineage_dir(spark: SparkSession) -> str:
     The cluster names it in ``spark.checkpoint.dir``; only a local-mode session without that
     setting gets a private temporary folder.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root is None:
-        root = spark.sparkContext.getCheckpointDir()
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    root = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or context.getConf().get("spark.checkpoint.dir")
+        or context.getCheckpointDir()
+    )
+    if not root:
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="cohortloom-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.sparkContext.setCheckpointDir(root)
-        root = spark.sparkContext.getCheckpointDir()
-    return root
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="cohortloom-"))
+        root = context.getCheckpointDir()
+    return root.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
