@@ -449,22 +449,43 @@ def demographic_values(spark, sf_dir):
     return explore.value_counts(_study(spark, sf_dir, MINUS).demographics(["segment", "nation", "region"]), "nation")
 
 
-@_query
-def adverse_cohort_rows(spark, sf_dir):
-    """The adverse-event source: selected by secondary code, reported with unknown codes kept."""
+def _adverse_study(spark, sf_dir, spec):
+    """The adverse-event source: selected by secondary code, reported by outcome with unknown codes kept."""
     indication, subjects, drug = _adverse_parts(spark, sf_dir)
-    nations = S.nation_mapping(spark, sf_dir)
+    nations = written(S.nation_mapping(spark, sf_dir), "mapping")
     concepts = S.concept(spark, sf_dir).withColumn("concept_code", F.col("concept_id").cast("string"))
-    visits = S.case_indication(spark, sf_dir).select(
-        F.col("isr").alias("subject_id"), F.lit(2).alias("admit_id"),
-        F.when(F.col("snomed_indication_concept_id").isNull(), "unknown").otherwise(
-            F.concat(F.lit("N"), F.col("indication_concept_id").cast("string"))).alias("icd_code"),
+    visits = adverse.temporal(
+        adverse.outcomes(S.drug_outcome(spark, sf_dir)), drug, S.concept(spark, sf_dir), nations, subjects
     )
+    # codes of one region are left out of the hierarchy here, so that some codes are unknown
+    known = nations.filter("ccs_desc != 'EUROPE'")
     selection = adverse.selection(drug, indication, concepts, subjects, "AUTO")
     people = adverse.demographics(drug, indication, concepts, subjects)
-    aeolus = source("aeolus", {"icd9": nations, "icd10": nations}, visits, people, selection)
-    study = Study(aeolus, C.CohortSpec("R2", "N7", "icd", "icd", "ccs_s", with_second=False))
-    return study.temporal_items()
+    return Study(source("aeolus", {"icd9": known}, written(visits, "adverse_visits"), people, selection), spec)
+
+
+@_query
+def adverse_cohort_baskets(spark, sf_dir):
+    spec = C.CohortSpec("R2", "N7", "icd", "icd", "ccs_s", with_second=False)
+    return _adverse_study(spark, sf_dir, spec).temporal_items()
+
+
+@_query
+def adverse_condition_rows(spark, sf_dir):
+    return _adverse_study(spark, sf_dir, C.CohortSpec("R2", "N7", "icd", "icd", "ccs_s")).condition_rows(3)
+
+
+@_query
+def adverse_condition_patients(spark, sf_dir):
+    spec = C.CohortSpec("R2", "N7", "icd", "icd", "ccs_s", with_second=False)
+    return _adverse_study(spark, sf_dir, spec).condition_patients()
+
+
+@_query
+def adverse_sequences(spark, sf_dir):
+    """Visit numbers are global ranks here, and are made dense per subject before mining."""
+    spec = C.CohortSpec("R2", "N7", "icd", "icd", "ccs_s", with_second=False)
+    return _adverse_study(spark, sf_dir, spec).mined_sequences(0.6, 3).select("sequence", F.round("support", 9).alias("support"))
 
 
 # ---------------------------------------------------------------- sequences

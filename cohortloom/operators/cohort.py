@@ -94,6 +94,11 @@ def items(coded: DataFrame, subjects: DataFrame, column: str) -> DataFrame:
     return rows.join(subjects, "subject_id", "left_semi")
 
 
+def times(rows: DataFrame) -> Column:
+    """How often each row stands for itself: its count ``n`` in counted tables, else once."""
+    return F.col("n") if "n" in rows.columns else F.lit(1)
+
+
 def item_counts(coded: DataFrame, subjects: DataFrame, column: str) -> DataFrame:
     """How often each item of one hierarchy column stands in each visit of the cohort.
 
@@ -101,9 +106,9 @@ def item_counts(coded: DataFrame, subjects: DataFrame, column: str) -> DataFrame
     no visit or subject is ever gathered with its repeats.
     """
     return (
-        coded.select("subject_id", "admit_id", item_text(F.col(column)).alias("item"))
+        coded.select("subject_id", "admit_id", item_text(F.col(column)).alias("item"), times(coded).alias("_times"))
         .groupBy("subject_id", "admit_id", "item")
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("_times").alias("n"))
         .join(subjects, "subject_id", "left_semi")
     )
 

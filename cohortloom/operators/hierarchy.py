@@ -150,8 +150,11 @@ def with_hierarchy(tidy: DataFrame, mapping: DataFrame, on: str = "icd_code") ->
     return tidy.join(mapping, on)
 
 
+SENTINEL = 999999  # fixed value: stands for whatever is missing where unknown codes are kept
+
+
 def with_hierarchy_or_sentinel(
-    tidy: DataFrame, mapping: DataFrame, on: str = "icd_code", sentinel: int = 999999
+    tidy: DataFrame, mapping: DataFrame, on: str = "icd_code", sentinel: int = SENTINEL
 ) -> DataFrame:
     """Keep rows of unknown codes, every missing value replaced by the sentinel."""
     joined = tidy.join(mapping, on, "left")

@@ -53,13 +53,18 @@ class Study:
         return C.association_items(self.coded, self.subjects, self.spec.mining_level)
 
     def condition_rows(self, n: int = 20) -> DataFrame:
-        return explore.condition_rows(self.source.visits, self.source.mapping, self.spec.mining_level, n)
+        s = self.source
+        return explore.condition_rows(s.visits, s.mapping, self.spec.mining_level, n, sentinel=self._sentinel())
 
     def condition_patients(self, n: int = 20) -> DataFrame:
+        s = self.source
         return explore.condition_patients(
-            self.source.visits, self.source.mapping, self.subjects, self.spec.mining_level, n
+            s.visits, s.mapping, self.subjects, self.spec.mining_level, n, sentinel=self._sentinel()
         )
 
+    def _sentinel(self) -> str | None:
+        return str(hierarchy.SENTINEL) if self.source.keep_unmapped else None
+
     def mined_sequences(
         self, support: float = Q.DEFAULT_SUPPORT, max_elements: int = Q.MAX_ELEMENTS
     ) -> DataFrame:

@@ -51,6 +51,32 @@ nations AS (
   SELECT 'R' || r_regionkey, CAST(r_regionkey AS VARCHAR), r_name, CAST(n_nationkey AS VARCHAR)
   FROM nation JOIN region ON n_regionkey = r_regionkey)"""
 
+ADVERSE_VISITS = """outcome AS (
+  SELECT o_custkey AS subject_id, l_partkey AS drug_id, l_suppkey AS outcome_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+usable AS (
+  SELECT outcome_id FROM (SELECT DISTINCT outcome_id FROM outcome) JOIN supplier ON s_suppkey = outcome_id
+  JOIN nations ON snomed_code = CAST(s_nationkey AS VARCHAR)),
+a1 AS (SELECT outcome.* FROM outcome JOIN usable USING (outcome_id) WHERE subject_id IN (SELECT subject_id FROM chosen)),
+a2 AS (SELECT subject_id, drug_id, outcome_id, drug_seq FROM a1 JOIN drug USING (subject_id, drug_id)),
+a3 AS (
+  SELECT subject_id, drug_seq, icd_code FROM a2 JOIN supplier ON s_suppkey = outcome_id
+  JOIN nations ON snomed_code = CAST(s_nationkey AS VARCHAR)),
+outcome_visits AS (SELECT *, dense_rank() OVER (ORDER BY drug_seq) AS admit_id FROM a3)"""
+
+ADVERSE_STUDY = f"""WITH {ADVERSE}, {ADVERSE_VISITS},
+known AS (SELECT * FROM nations WHERE ccs_desc <> 'EUROPE'),
+pairs AS (
+  SELECT subject_id, dense_rank() OVER (ORDER BY drug_seq) AS admit_id, indi_desc, CAST(s_suppkey AS VARCHAR) AS snomed_code
+  FROM drug JOIN indication USING (subject_id) LEFT JOIN supplier ON s_suppkey = indi_snomed_id
+  WHERE subject_id IN (SELECT subject_id FROM chosen)),
+selection AS (SELECT * FROM pairs JOIN known USING (snomed_code) WHERE regexp_matches(indi_desc, 'AUTO')),
+cohort AS (
+  SELECT DISTINCT subject_id FROM selection WHERE icd_code = 'R2' AND admit_id > 1
+  AND subject_id NOT IN (SELECT subject_id FROM selection WHERE icd_code = 'N7')),
+coded AS (
+  SELECT subject_id, admit_id, coalesce(ccs_code, '999999') AS item, coalesce(ccs_desc, '999999') AS condition
+  FROM outcome_visits LEFT JOIN known USING (icd_code))"""
+
 DEATHS = """deaths AS (
   SELECT *, CASE WHEN record IS NULL THEN entity ELSE entity || ' 03 ' || record END AS multiple_causes
   FROM (
@@ -305,18 +331,8 @@ QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderdate, o_orderp
     "global_dense_rank": "SELECT o_orderkey, dense_rank() OVER (ORDER BY o_totalprice) AS price_rank FROM orders",
     "surrogate_ids": "SELECT count(*) AS n, count(*) AS n_ids, 1 AS low, count(*) AS high FROM lineitem",
     "coalesce_ids": f"WITH {ADVERSE} SELECT * FROM indication",
-    "concept_hops": f"""WITH {ADVERSE},
-outcome AS (SELECT o_custkey AS subject_id, l_partkey AS drug_id, l_suppkey AS outcome_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-usable AS (
-  SELECT outcome_id FROM (SELECT DISTINCT outcome_id FROM outcome) JOIN supplier ON s_suppkey = outcome_id
-  JOIN nations ON snomed_code = CAST(s_nationkey AS VARCHAR)),
-a1 AS (SELECT outcome.* FROM outcome JOIN usable USING (outcome_id) WHERE subject_id IN (SELECT subject_id FROM chosen)),
-a2 AS (SELECT subject_id, drug_id, outcome_id, drug_seq FROM a1 JOIN drug USING (subject_id, drug_id)),
-a3 AS (
-  SELECT subject_id, drug_seq, icd_code FROM a2 JOIN supplier ON s_suppkey = outcome_id
-  JOIN nations ON snomed_code = CAST(s_nationkey AS VARCHAR))
-SELECT subject_id, admit_id, icd_code, count(*) AS n
-FROM (SELECT *, dense_rank() OVER (ORDER BY drug_seq) AS admit_id FROM a3) GROUP BY ALL""",
+    "concept_hops": f"""WITH {ADVERSE}, {ADVERSE_VISITS}
+SELECT subject_id, admit_id, icd_code, count(*) AS n FROM outcome_visits GROUP BY ALL""",
     "adverse_demographics": f"""WITH {ADVERSE}
 SELECT subject_id, drug_seq, drug_id, d.p_name AS drug_desc, indi_desc, indi_snomed_id, CAST(i.p_partkey AS VARCHAR) AS indi_snomed_code,
        i.p_name AS indi_snomed_desc
@@ -370,18 +386,15 @@ SELECT ccs_desc AS condition, count(DISTINCT subject_id) AS count FROM tidy WHER
 QUALIFY rank() OVER (ORDER BY count(DISTINCT subject_id) DESC) <= 20""",
     "demographic_counts": f"{COHORT} SELECT region, segment, count(*) AS count FROM people WHERE subject_id IN (FROM plus) GROUP BY ALL",
     "demographic_values": f"{COHORT} SELECT nation AS value, count(*) AS count FROM people WHERE subject_id IN (FROM minus) GROUP BY ALL",
-    "adverse_cohort_rows": f"""WITH {ADVERSE},
-rows AS (
-  SELECT subject_id, dense_rank() OVER (ORDER BY drug_seq) AS admit_id, indi_desc, CAST(s_suppkey AS VARCHAR) AS snomed_code
-  FROM drug JOIN indication USING (subject_id) LEFT JOIN supplier ON s_suppkey = indi_snomed_id
-  WHERE subject_id IN (SELECT subject_id FROM chosen)),
-selection AS (SELECT * FROM rows JOIN nations USING (snomed_code) WHERE regexp_matches(indi_desc, 'AUTO')),
-cohort AS (
-  SELECT DISTINCT subject_id FROM selection WHERE icd_code = 'R2' AND admit_id > 1
-  AND subject_id NOT IN (SELECT subject_id FROM selection WHERE icd_code = 'N7'))
-SELECT c_custkey AS subject_id, 2 AS admit_id, coalesce(ccs_code, '999999') AS item, count(*) AS n
-FROM customer LEFT JOIN nations ON icd_code = 'N' || c_nationkey AND c_acctbal < 9000
-WHERE c_custkey IN (FROM cohort) GROUP BY ALL""",
+    "adverse_cohort_baskets": f"""{ADVERSE_STUDY}
+SELECT subject_id, admit_id, item, count(*) AS n FROM coded WHERE subject_id IN (FROM cohort) GROUP BY ALL""",
+    "adverse_condition_rows": f"""{ADVERSE_STUDY}
+SELECT condition, count(*) AS count FROM coded GROUP BY condition QUALIFY rank() OVER (ORDER BY count(*) DESC) <= 3""",
+    "adverse_condition_patients": f"""{ADVERSE_STUDY}
+SELECT condition, count(DISTINCT subject_id) AS count FROM coded WHERE subject_id IN (FROM cohort) GROUP BY condition""",
+    "adverse_sequences": f"""{ADVERSE_STUDY},
+{_mined("SELECT DISTINCT subject_id, admit_id AS visit, item AS state FROM coded WHERE subject_id IN (FROM cohort)", 0.6, 3)}
+SELECT sequence, round(support, 9) AS support FROM mined""",
     "frequent_sequences": f"""{COHORT}, {_mined("SELECT DISTINCT subject_id, admit_id AS visit, ccs_code AS state FROM tidy WHERE subject_id IN (FROM plus)", 0.25, 3)}
 SELECT sequence, length AS n_states, round(support, 9) AS support FROM mined""",
     "frequent_event_sequences": f"""WITH {_mined("SELECT DISTINCT user_id AS subject_id, dense_rank() OVER (PARTITION BY user_id ORDER BY date_trunc('day', ts)) AS visit, event_type AS state FROM events", 0.9, 4)}

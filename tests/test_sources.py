@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortloom.operators import cohort as C
-from cohortloom.session import lineage_dir, written
+from cohortloom.session import forget, lineage_dir, written
 from cohortloom.sources import delimited as D, jdbc, registry, schemas, sinks
 from conftest import rows
 
@@ -82,3 +82,41 @@ def test_lineage_folder_comes_from_the_session(spark):
     df = written(spark.range(10).withColumn("x", F.col("id") * 2), "numbers")
     assert lineage_dir(spark) in df.inputFiles()[0]
     assert df.agg(F.sum("x")).first()[0] == 90
+
+
+class _Context:
+    """A session without spark.checkpoint.dir, as far as the lookup looks at it."""
+
+    def __init__(self, master):
+        self.master, self.folder, self.sparkContext = master, None, self
+        self.conf = self
+
+    def get(self, key, default=None):
+        return default
+
+    def getConf(self):
+        return self
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+    def getCheckpointDir(self):
+        return self.folder
+
+
+def test_only_local_sessions_fall_back_to_a_private_folder():
+    local = _Context("local[2]")
+    assert lineage_dir(local) == local.folder == lineage_dir(local)
+    with pytest.raises(ValueError):
+        lineage_dir(_Context("yarn"))
+
+
+def test_forget_deletes_only_written_tables(spark, tmp_path):
+    table = written(spark.range(5), "gone")
+    spark.range(3).write.parquet(str(tmp_path / "kept"))
+    kept = spark.read.parquet(str(tmp_path / "kept"))
+    forget(table)
+    forget(kept)
+    assert kept.count() == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(table.inputFiles()[0])
