@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortloom.functions import patterns as P
 from cohortloom.functions.levels import level
@@ -132,7 +132,7 @@ def links(table: DataFrame) -> DataFrame:
         .agg(F.max("support").alias("max_support"))
     )
 
-    def tagged(name: str, pos) -> F.Column:
+    def tagged(name: str, pos: Column) -> Column:
         return F.concat(F.col(name), F.lit(" ("), pos.cast("string"), F.lit(")")).alias(name)
 
     return best.select(tagged("from", F.col("pos")), tagged("to", F.col("pos") + 1), "max_support")

@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortloom.operators.ranks import dense_rank_within
 from cohortloom.session import forget, written
@@ -31,7 +31,7 @@ def min_count(support: float, n: int) -> int:
     return max(1, math.ceil(round(support * n, 9)))
 
 
-def _chunk(col) -> F.Column:
+def _chunk(col: Column) -> Column:
     return F.floor(col / CHUNK).cast("int")
 
 
@@ -88,14 +88,10 @@ def mine(occurrences: DataFrame, support: float, max_elements: int = MAX_ELEMENT
         n = index.select("subject_id").distinct().count()
     least = min_count(support, n)
 
-    # Frequent single states; there are at most (distinct states per subject) / support of them.
-    singles = (
-        index.filter("prev is null").groupBy("state").agg(F.count("*").alias("count")).filter(F.col("count") >= least)
-    )
+    singles = index.filter("prev is null").groupBy("state").agg(F.count("*").alias("count"))
     found = written(
-        singles.select(
-            F.row_number().over(Window.orderBy("state")).cast("long").alias("id"), "state",
-            F.array("state").alias("states"), "count",
+        singles.filter(F.col("count") >= least).select(
+            F.monotonically_increasing_id().alias("id"), "state", F.array("state").alias("states"), "count"
         ),
         "frequent_1",
     )
@@ -179,7 +175,7 @@ def frequent_itemset_sequences(
         .join(sets, "id")
         .groupBy("states", "count", "support")
         .agg(F.array_sort(F.collect_list(F.struct("_pos", "items"))).alias("_sets"))
-        .select(F.transform("_sets", lambda s: s["items"]).alias("states"), "count", "support")
+        .select(F.transform("_sets", lambda s: F.array_sort(s["items"])).alias("states"), "count", "support")
     )
 
 
@@ -198,12 +194,12 @@ def frequent_itemsets(
         pairs = occ.select("subject_id", *key).distinct()
         return pairs.groupBy(*key).agg(F.count("*").alias("count")).filter(F.col("count") >= least)
 
+    def numbered(size: int) -> Column:
+        """Ids that differ between sizes as well."""
+        return (F.monotonically_increasing_id() + F.lit(size << 56)).alias("id")
+
     found = written(
-        supported(rows, "state").select(
-            F.row_number().over(Window.orderBy("state")).cast("long").alias("id"), "state",
-            F.array("state").alias("items"),
-        ),
-        "itemsets_1",
+        supported(rows, "state").select(numbered(1), "state", F.array("state").alias("items")), "itemsets_1"
     )
     names = found.select(F.col("id").alias("item"), "state")
     level = written(rows.join(names, "state").select("subject_id", "visit", F.col("item").alias("id"), "item"), "held_1")
@@ -223,7 +219,7 @@ def frequent_itemsets(
             .join(found.select(F.col("id").alias("parent"), "items"), "parent")
             .join(names, "item")
             .select(
-                (F.monotonically_increasing_id() + F.lit(size << 56)).alias("id"), "parent", "item",
+                numbered(size), "parent", "item",
                 F.concat("items", F.array("state")).alias("items"),
             ),
             f"itemsets_{size}",
