@@ -685,9 +685,27 @@ def entry(spark: SparkSession) -> DataFrame:
     return _QUERIES["condition_patients_top20"](spark, "/root/testdata/sf0.001")
 
 
+def _training_data() -> tuple[dict[str, Query], dict[str, str]]:
+    """Queries and SQL of the training-data operators, if that subpackage is there."""
+    try:
+        import corpus_pipeline
+        from cohortloom.llm import queries as llm
+    except ModuleNotFoundError as missing:
+        if missing.name not in ("corpus_pipeline", "cohortloom.llm"):
+            raise
+        return {}, {}
+    sql = dict(llm.ORACLES)
+    if corpus_pipeline.ORACLE_SQL:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return llm.QUERIES | {"pipeline": corpus_pipeline.run}, sql
+
+
+_LLM_QUERIES, _LLM_ORACLES = _training_data()
+
+
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | _LLM_QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, sql in ORACLES.items() if name in _QUERIES}
+    return {name: sql for name, sql in (ORACLES | _LLM_ORACLES).items() if name in queries()}
