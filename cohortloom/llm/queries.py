@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortloom.llm import archive, mixing
+from cohortloom.llm import archive, mixing, quality
 from cohortloom.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@_query
+def op5_quality(spark, sf_dir):
+    return quality.quality_report(_documents(spark, sf_dir))
+
+
 @_query
 def op6_archive(spark, sf_dir):
     return archive.archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
