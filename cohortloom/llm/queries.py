@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortloom.llm import archive, mixing, quality
+from cohortloom.llm import archive, mixing, quality, tokens
 from cohortloom.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +27,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@_query
+def op1_tokens(spark, sf_dir):
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return tokens.token_digests(_documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
+
+
 @_query
 def op5_quality(spark, sf_dir):
     return quality.quality_report(_documents(spark, sf_dir))
