@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortloom.llm import archive, mixing, quality, tokens
+from cohortloom.llm import anchors, archive, mixing, quality, tokens
 from cohortloom.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,4 +49,9 @@ def op7_mix(spark, sf_dir):
     return mixing.mix(_documents(spark, sf_dir))
 
 
+@_query
+def op10_anchors(spark, sf_dir):
+    return anchors.repeat_report(_documents(spark, sf_dir))
+
+
 ORACLES |= {"op6_archive": archive.ORACLE_SQL, "op7_mix": mixing.ORACLE_SQL}

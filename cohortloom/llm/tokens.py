@@ -36,7 +36,7 @@ BATCH_CHARS = 4_000_000
 DECODE_TOKENS = 500_000
 
 #: Characters with the Unicode property White_Space (fixed values).
-BLANKS = "\t-\r \x85\xa0  -     　"
+BLANKS = "\t-\r " + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _PIECE = re.compile(f"[{BLANKS}]*[^{BLANKS}]+|[{BLANKS}]+")
 
 _CONTRACT = """
