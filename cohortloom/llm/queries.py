@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortloom.llm import anchors, archive, mixing, quality, tokens
+from cohortloom.llm import anchors, archive, mixing, quality, suffixes, tokens
 from cohortloom.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,11 @@ def op1_tokens(spark, sf_dir):
     return tokens.token_digests(_documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
 
 
+@_query
+def op2_suffixes(spark, sf_dir):
+    return suffixes.repeat_report(_documents(spark, sf_dir))
+
+
 @_query
 def op5_quality(spark, sf_dir):
     return quality.quality_report(_documents(spark, sf_dir))
