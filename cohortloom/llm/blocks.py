@@ -22,6 +22,7 @@ from cohortloom.llm.hashing import bucket_bounds, from_six_bytes, six_bytes
 from cohortloom.session import lineage_dir
 
 BLOCK_BYTES = 32 << 20
+BLOCK_ROWS = 1 << 17
 BUCKETS_PER_PARTITION = 4
 NO_ID = np.iinfo(np.int64).max  # stands for a null doc_id: after all others, and not smaller than another null
 
@@ -48,7 +49,7 @@ class Blocks:
 
         def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             task, k = TaskContext.get().partitionId(), 0
-            kept, size = [], 0
+            kept, size, rows = [], 0, 0
 
             def block() -> pa.RecordBatch:
                 sink = pa.BufferOutputStream()
@@ -56,7 +57,7 @@ class Blocks:
                 with pa.ipc.new_stream(sink, kept[0].schema, options=options) as out:
                     for x in kept:
                         out.write_batch(x)
-                return pa.RecordBatch.from_arrays([pa.array([(task << 24) + k], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "payload"])
+                return pa.RecordBatch.from_arrays([pa.array([(task << 20) + k], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "payload"])
 
             for batch in batches:
                 ends = np.cumsum([len(t.as_py() or "") for t in batch.column(at)])
@@ -64,12 +65,13 @@ class Blocks:
                 while start < batch.num_rows:
                     base = ends[start - 1] if start else 0
                     stop = max(start + 1, int(np.searchsorted(ends, base + BLOCK_BYTES - size, "right")))
+                    stop = min(stop, start + BLOCK_ROWS - rows)
                     kept.append(batch.slice(start, stop - start))
-                    size += int(ends[stop - 1] - base)
+                    size, rows = size + int(ends[stop - 1] - base), rows + stop - start
                     start = stop
-                    if size >= BLOCK_BYTES or start < batch.num_rows:
+                    if start < batch.num_rows or size >= BLOCK_BYTES or rows >= BLOCK_ROWS:
                         yield block()
-                        kept, size, k = [], 0, k + 1
+                        kept, size, rows, k = [], 0, 0, k + 1
             if kept:
                 yield block()
 
