@@ -51,13 +51,12 @@ def repetition_rates(docs: DataFrame, weights: dict | None = None, rows: float |
         given = spark.createDataFrame([(s, float(w)) for s, w in weights.items()], "s string, weight double")
         sizes = sizes.join(given, F.col("source").eqNullSafe(F.col("s"))).drop("s").where("weight > 0")
     sizes = written(sizes, "mix_sizes")
-    total = sizes.agg(F.sum("weight").alias("weights"), F.sum("n").alias("rows"))
-    if rows is not None:
-        total = total.withColumn("rows", F.lit(float(rows)))
-    rate = F.col("weight") / F.col("weights") * F.col("rows") / F.col("n")
+    total = sizes.agg(F.sum("weight").alias("weights"), F.sum("n").alias("rows")).first()  # two numbers
+    if not total["rows"]:
+        total = {"weights": 1.0, "rows": 0}
+    rate = F.col("weight") / F.lit(float(total["weights"])) * F.lit(float(total["rows"] if rows is None else rows)) / F.col("n")
     return (
-        sizes.join(F.broadcast(total))  # one row
-        .withColumn("rate", rate)
+        sizes.withColumn("rate", rate)
         .withColumn("parts", F.greatest(F.ceil(F.col("rate") / MEAN_PART), F.lit(1)).cast("int"))
         .withColumn("cdf", _cumulative(F.col("rate") / F.col("parts")))
         .select(F.col("source").alias("_source"), F.col("rate").alias("_rate"), F.col("parts").alias("_parts"), F.col("cdf").alias("_cdf"))
