@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortloom.llm import anchors, archive, imatch, mixing, near, quality, suffixes, tokens
+from cohortloom.llm import anchors, archive, imatch, langid, mixing, near, quality, suffixes, tokens
 from cohortloom.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,11 @@ def op2_suffixes(spark, sf_dir):
     return suffixes.repeat_report(_documents(spark, sf_dir))
 
 
+@_query
+def op3_language(spark, sf_dir):
+    return langid.language_report(_documents(spark, sf_dir))
+
+
 @_query
 def op4_imatch(spark, sf_dir):
     return imatch.neighbour_report(_documents(spark, sf_dir))
