@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortloom.llm import anchors, archive, imatch, langid, mixing, near, quality, suffixes, tokens
+from cohortloom.llm import anchors, archive, imatch, langid, lm, mixing, near, quality, suffixes, tokens
 from cohortloom.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,11 @@ def op7_mix(spark, sf_dir):
     return mixing.mix(_documents(spark, sf_dir))
 
 
+@_query
+def op8_mixing_lm(spark, sf_dir):
+    return lm.score(_documents(spark, sf_dir))
+
+
 @_query
 def op9_near(spark, sf_dir):
     return near.component_report(_documents(spark, sf_dir))
