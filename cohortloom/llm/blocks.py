@@ -1,7 +1,7 @@
 """Documents packed in blocks, so that tasks can ask questions about their content and get answers back.
 
 The duplicate-search operators first send hashes of what a block holds to buckets, where the blocks meet, and then need
-to know in each block which of them other blocks have too.  ``pack`` writes the documents once as rows of about 32 MB,
+to know in each block which of them other blocks have too.  ``pack`` writes the documents once as rows of about 8 MB,
 compressed, in a table bucketed by block id.  Questions go out as one row per block and bucket, with different keys only, so a
 key that every document holds is one entry per block.  An answer has one bit per key in the order sent; the block
 works its keys out again and needs no ids of documents.  The bucketed table is joined with the answers without being
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from cohortloom.llm.hashing import bucket_bounds, from_six_bytes, six_bytes
 from cohortloom.session import lineage_dir
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 BLOCK_ROWS = 1 << 17
 BUCKETS_PER_PARTITION = 4
 NO_ID = np.iinfo(np.int64).max  # stands for a null doc_id: after all others, and not smaller than another null
