@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from cohortloom.llm import blocks as B
-from cohortloom.llm.hashing import bucket_bounds, byte_hash, merged, sliding_min, window_hash
+from cohortloom.llm.hashing import bucket_bounds, byte_hash, merged, mix, sliding_min, window_hash
 from cohortloom.session import written
 
 LENGTH, GRAM = 50, 24
@@ -148,7 +148,7 @@ class _Pieces:
             keys.append(low[change[use]])
         empty = np.empty(0, np.int64)
         self.starts, self.stops = (np.concatenate([empty, *x]) for x in (starts, stops))
-        self.keys = np.concatenate([np.empty(0, np.uint64), *keys])
+        self.keys = mix(np.concatenate([np.empty(0, np.uint64), *keys]))  # least hashes are small; buckets go by size
         self.doc = np.searchsorted(self.ends, self.starts, "right")
         self.different, self.which = np.unique(self.keys, return_inverse=True)
 
