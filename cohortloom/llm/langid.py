@@ -160,6 +160,8 @@ class Reader:
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        if not self.languages:
+            return [(UNKNOWN, 0.0)] * len(texts)
         counted = [Counter((t or "").split()) for t in texts]
         new = list(set().union(*counted) - self.known.keys())
         lettered = [w for w in new if _LETTER.search(w)]
@@ -174,7 +176,7 @@ class Reader:
             times = np.fromiter(words.values(), np.float64, len(words))
             pooled = times @ table[at] if len(words) else table[0]
             read = times[at > 0].sum()
-            if not read or not self.languages:
+            if not read:
                 out.append((UNKNOWN, 0.0))
                 continue
             logits = pooled[:-1] / pooled[-1] * min(read, SHARPEST)

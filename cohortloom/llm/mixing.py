@@ -63,29 +63,38 @@ def repetition_rates(docs: DataFrame, weights: dict | None = None, rows: float |
     )
 
 
-def mix(docs: DataFrame, weights: dict | None = None, rows: float | None = None, seed: int = 17, order: bool = True) -> DataFrame:
-    """The documents, each as often as drawn, in globally shuffled order, with ``copy`` (from 1) and ``shuffle_key``.
+def _drawn(docs: DataFrame, weights: dict | None, rows: float | None, seed: int) -> DataFrame:
+    """``row`` (a struct of the document), ``copy`` (from 1) and ``shuffle_key`` of every copy drawn.
 
     The rates are one small row per source, written so that their size is known: the planner broadcasts them only when
     they are small and otherwise joins by shuffle, where adaptive execution splits a source that holds most rows.
     """
-    columns = docs.columns
     rates = written(repetition_rates(docs, weights, rows), "mix_rates")
-    who = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    who = F.coalesce(F.col("row.doc_id").cast("string"), F.md5(F.coalesce("row.text", F.lit("")).cast("binary")))
     draws = F.transform(
         F.sequence(F.lit(1), F.col("_parts")),
-        lambda part: F.size(F.filter(F.col("_cdf"), lambda c: c <= _uniform(seed, part, F.col("_who")))),
+        lambda part: F.size(F.filter("_cdf", lambda c: c <= _uniform(seed, part, F.col("who")))),
     )
-    drawn = (
-        docs.join(rates, F.col("source").eqNullSafe(F.col("_source")))
-        .withColumn("_who", who)
-        .withColumn("_times", F.aggregate(draws, F.lit(0), lambda a, b: a + b))
-        .where("_times > 0")
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-        .withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(str(seed)), "_who", F.col("copy").cast("string")).cast("binary")))
-        .select(*columns, "copy", "shuffle_key")
+    return (
+        docs.select(F.struct(*docs.columns).alias("row")).withColumn("who", who)
+        .join(rates, F.col("row.source").eqNullSafe(F.col("_source")))
+        .withColumn("times", F.aggregate(draws, F.lit(0), lambda a, b: a + b))
+        .where("times > 0")
+        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+        .withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(str(seed)), "who", F.col("copy").cast("string")).cast("binary")))
+        .select("row", "copy", "shuffle_key")
     )
-    return drawn.orderBy("shuffle_key") if order else drawn
+
+
+def mix(docs: DataFrame, weights: dict | None = None, rows: float | None = None, seed: int = 17) -> DataFrame:
+    """The documents, each as often as drawn, in globally shuffled order."""
+    return _drawn(docs, weights, rows, seed).orderBy("shuffle_key").select("row.*")
+
+
+def mixture_report(docs: DataFrame, weights: dict | None = None, rows: float | None = None, seed: int = 17) -> DataFrame:
+    """The same with the number of the copy and the key of the order."""
+    known = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    return _drawn(known, weights, rows, seed).orderBy("shuffle_key").select("row.*", "copy", "shuffle_key")
 
 
 #: The same mixture with equal weights and the default seed.
@@ -97,9 +106,9 @@ means AS (SELECT source, greatest(ceil(rate / {MEAN_PART}), 1)::INT AS parts, ra
 cdf AS (SELECT source, parts, mean, 0 AS k, exp(-mean) AS p, exp(-mean) AS c FROM means
         UNION ALL SELECT source, parts, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1) FROM cdf WHERE k < {TERMS}),
 tables AS (SELECT source, parts, list(c ORDER BY k) AS cs FROM cdf GROUP BY source, parts),
-who AS (SELECT d.*, coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) AS w FROM documents d),
+who AS (SELECT d.*, coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) AS w, row_number() OVER () AS r FROM documents d),
 draws AS (SELECT who.*, t.cs, unnest(range(1, t.parts + 1)) AS part FROM who JOIN tables t ON who.source IS NOT DISTINCT FROM t.source),
-times AS (SELECT doc_id, text, lang, source, n_chars, w, sum(len(list_filter(cs, lambda c: c <=
+times AS (SELECT r, doc_id, text, lang, source, n_chars, w, sum(len(list_filter(cs, lambda c: c <=
             ('0x' || substr(md5('17|' || part || '|' || w), 1, 13))::BIGINT / {float(2**52)!r}::DOUBLE))) AS n FROM draws GROUP BY ALL),
 copies AS (SELECT *, unnest(range(1, n::BIGINT + 1)) AS copy FROM times)
 SELECT doc_id, text, lang, source, n_chars, copy::INT AS copy, md5('17|' || w || '|' || copy) AS shuffle_key FROM copies

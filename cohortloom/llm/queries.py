@@ -61,7 +61,7 @@ def op6_archive(spark, sf_dir):
 @_query
 def op7_mix(spark, sf_dir):
     """Every source at the same weight; the mixture is as large as the input on average."""
-    return mixing.mix(_documents(spark, sf_dir))
+    return mixing.mixture_report(_documents(spark, sf_dir))
 
 
 @_query
