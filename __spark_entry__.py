@@ -80,12 +80,55 @@ def scan_project_cast(spark, sf_dir):
         F.coalesce(token, F.col("c_acctbal").cast("string")).alias("BALANCE"),
         F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).alias("5th"),
     ).write.csv(path, header=True, compression="gzip", escape='"', nullValue="")
-    schema = schemas.columns("custkey long, name string, balance double, field5 string")
+    schema = schemas.columns("custkey long, name string, balance double, 5th string")
     df = delimited.read_delimited(spark, path, schema, header=True, partitions=8)
     df = delimited.rename_position(df, 4, "segment")
     return df.select(F.col("custkey").alias("subject_id"), "name", "balance", "segment")
 
 
+@_query
+def admissions_by_header(spark, sf_dir):
+    """Admissions picked by name from a wider CSV whose columns stand in another order."""
+    path = _scratch(spark, "admissions_csv")
+    S.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("ROW_ID"), F.col("o_orderpriority").alias("ADMISSION_TYPE"), F.col("o_totalprice").alias("TOTAL"),
+        F.col("o_orderkey").alias("HADM_ID"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("ADMITTIME"),
+        F.col("o_custkey").alias("SUBJECT_ID"), F.col("o_orderstatus").alias("INSURANCE"), F.lit("NA").alias("LANGUAGE"),
+        *[F.lit("x").alias(c) for c in ("RELIGION", "MARITAL_STATUS", "ETHNICITY", "ADMISSION_LOCATION")],
+        F.dayofmonth("o_orderdate").alias("HOSPITAL_EXPIRE_FLAG"),
+    ).write.csv(path, header=True)
+    df = delimited.read_delimited(spark, path, schemas.ADMISSIONS)
+    return df.select(
+        "subject_id", "hadm_id", F.date_format("admittime", "yyyy-MM-dd").alias("day"), "admission_type", "insurance", "language",
+        "religion", F.col("hospital_expire_flag").cast("long").alias("flag"),
+    )
+
+
+@_query
+def tsv_with_header(spark, sf_dir):
+    """Concepts from a TSV with a header, its columns in another order."""
+    path = _scratch(spark, "concept_tsv")
+    S.table(spark, sf_dir, "part").select(
+        F.col("p_name").alias("concept_name"), F.when(F.col("p_size") > 25, F.col("p_type")).otherwise("\\N").alias("domain_id"),
+        F.col("p_brand").alias("concept_code"), F.col("p_partkey").alias("CONCEPT_ID"), F.lit("extra").alias("extra"),
+        *[F.lit("NA").alias(c) for c in ("vocabulary_id", "concept_class_id", "standard_concept", "valid_start_date", "valid_end_date", "invalid_reason")],
+    ).write.csv(path, sep="\t", header=True, escape='"', quote="")
+    return delimited.read_tsv(spark, path, schemas.CONCEPT, header=True).select("concept_id", "concept_name", "domain_id", "concept_code", "vocabulary_id")
+
+
+@_query
+def all_text_csv(spark, sf_dir):
+    """A hierarchy file whose header is replaced; every column stays text, with its leading zeros."""
+    path = _scratch(spark, "levels_csv")
+    S.table(spark, sf_dir, "part").select(
+        F.lpad(F.col("p_partkey").cast("string"), 8, "0").alias("'ICD-9-CM CODE'"), F.col("p_type").alias("'CCS LVL 1'"), F.col("p_name").alias("'CCS LVL 1 LABEL'"),
+        F.lpad(F.col("p_size").cast("string"), 4, "0").alias("'CCS LVL 2'"), F.col("p_brand").alias("'CCS LVL 2 LABEL'"),
+        *[F.lit("").alias(f"'L{k}'") for k in range(4)],
+    ).write.csv(path, header=True)
+    df = delimited.read_delimited(spark, path, schemas.ICD9_MULTI, by_position=True)
+    return df.select("icd_code", "lvl1_cd", "lvl1_desc", "lvl2_cd", "lvl2_desc", "lvl3_cd")
+
+
 @_query
 def tsv_scan(spark, sf_dir):
     """Events written as headerless TSV with backslash-N tokens, read back with names and types."""
@@ -483,39 +526,41 @@ def adverse_condition_patients(spark, sf_dir):
 
 @_query
 def adverse_sequences(spark, sf_dir):
-    """Visit numbers are global ranks here, and are made dense per subject before mining."""
-    spec = C.CohortSpec("R2", "N7", "icd", "icd", "ccs_s", with_second=False)
-    return _adverse_study(spark, sf_dir, spec).mined_sequences(0.6, 3).select("sequence", F.round("support", 9).alias("support"))
+    """All subjects.  Visit numbers are global ranks here, and are made dense per subject before mining."""
+    study = _adverse_study(spark, sf_dir, C.CohortSpec("R2", "N7", "icd", "icd", "ccs_s"))
+    everyone = study.coded.select("subject_id").distinct()
+    items = Q.renumber_visits(C.items(study.coded, everyone, level("ccs_s").code))
+    return T.as_table(Q.frequent_sequences(items, 0.9)).select("sequence", F.round("support", 9).alias("support"))
 
 
 # ---------------------------------------------------------------- sequences
 
 
 def _mined_types(spark, sf_dir):
-    """Sequences of part types, up to four states."""
-    return T.as_table(Q.frequent_sequences(_items(spark, sf_dir, "ccs1"), 0.6, 4))
+    """Sequences of part types."""
+    return T.as_table(Q.frequent_sequences(_items(spark, sf_dir, "ccs1"), 0.6))
 
 
 def _mined_brands(spark, sf_dir):
-    """Sequences of brand numbers, up to three states; '1' stands inside '10', '13', …"""
-    return T.as_table(Q.frequent_sequences(_items(spark, sf_dir, "ccs_s"), 0.2, 3))
+    """Sequences of brand numbers; '1' stands inside '10', '13', …"""
+    return T.as_table(Q.frequent_sequences(_items(spark, sf_dir, "ccs_s"), 0.2))
 
 
 @_query
 def frequent_sequences(spark, sf_dir):
-    return _study(spark, sf_dir, PLUS).mined_sequences(0.25, 3).select("sequence", F.size("states").alias("n_states"), F.round("support", 9).alias("support"))
+    return _study(spark, sf_dir, PLUS).mined_sequences(0.25).select("sequence", F.size("states").alias("n_states"), F.round("support", 9).alias("support"))
 
 
 @_query
 def frequent_event_sequences(spark, sf_dir):
-    """The denser source: days of events, five codes."""
-    days = S.daily_events(spark, sf_dir).withColumnRenamed("icd_code", "item")
-    return T.as_table(Q.frequent_sequences(days, 0.9, 4)).select("sequence", F.round("support", 9).alias("support"))
+    """The denser source: days of events, coded by type and size of the event."""
+    days = S.daily_events(spark, sf_dir, by_value=True).withColumnRenamed("icd_code", "item")
+    return T.as_table(Q.frequent_sequences(days, 0.9)).select("sequence", F.round("support", 9).alias("support"))
 
 
 @_query
 def frequent_itemset_sequences(spark, sf_dir):
-    mined = Q.frequent_itemset_sequences(_items(spark, sf_dir, "ccs1"), 0.7, 2, 3)
+    mined = Q.frequent_itemset_sequences(_items(spark, sf_dir, "ccs1"), 0.8)
     return T.as_table(mined).select("sequence", F.round("support", 9).alias("support"))
 
 
@@ -543,6 +588,34 @@ def sequence_flags_four_states(spark, sf_dir):
     )
 
 
+def _path_flags(table):
+    columns = ["sequence", "consec", "non_consec", "embed_consec", "embed_non_consec"]
+    return T.with_flags(table).select(*columns, F.lit("documented").alias("mode")).unionByName(
+        T.with_flags(table, documented=False).select(*columns, F.lit("padded").alias("mode"))
+    )
+
+
+@_query
+def event_path_flags(spark, sf_dir):
+    """Users' whole paths, of many more than eight states; a padded row shows the first eight."""
+    return _path_flags(written(S.event_paths(spark, sf_dir), "paths"))
+
+
+@_query
+def event_path_flags_seven_states(spark, sf_dir):
+    """The users' first seven days; two exceptions hold in padded tables of seven states."""
+    table = S.event_paths(spark, sf_dir, days=7)
+    return _path_flags(written(table, "paths"))
+
+
+@_query
+def event_path_described(spark, sf_dir):
+    """Long paths through length, description, filter and search."""
+    table = T.describe(T.with_length(S.event_paths(spark, sf_dir)), S.path_names(spark, sf_dir), "ccs1")
+    table = T.search_any(T.search_first(T.drop_unclassified(table), "^[1-3] "), "^4 ")
+    return table.select("sequence", "length", F.array_join("states", " / ").alias("described"))
+
+
 @_query
 def sequence_no_repeats(spark, sf_dir):
     table = written(_mined_types(spark, sf_dir), "mined")
@@ -583,7 +656,7 @@ def sequence_links(spark, sf_dir):
 @_query
 def sequence_study(spark, sf_dir):
     """The whole chain for a cohort: baskets, mining, flags, filters, descriptions, search."""
-    table = _study(spark, sf_dir, MINUS).sequences(support=0.25, contains="Brand#1", max_elements=3)
+    table = _study(spark, sf_dir, MINUS).sequences(support=0.25, contains="Brand#1")
     return table.select(
         "sequence", F.round("support", 9).alias("support"), F.array_join("states", " / ").alias("described"),
         "length", "consec", "non_consec", "embed_consec", "embed_non_consec",
@@ -632,6 +705,18 @@ def rule_clusters(spark, sf_dir):
     return rules.rule_clusters(_mined_rules(spark, sf_dir), k=5)
 
 
+@_query
+def rule_sides(spark, sf_dir):
+    df = rules.rule_sides(_mined_rules(spark, sf_dir))
+    return df.select("consequent", "n_antecedents", *[F.round(c, 9).alias(c) for c in ("lift", "confidence", "support")])
+
+
+@_query
+def rule_lift_table(spark, sf_dir):
+    """The table the left sides are clustered on."""
+    return rules.lift_table(_mined_rules(spark, sf_dir)).withColumn("lift", F.round("lift", 9))
+
+
 @_query
 def rule_graph(spark, sf_dir):
     nodes, edges = rules.rule_graph(written(rules.top_rules(_mined_rules(spark, sf_dir), "confidence", 10), "top_rules"))

@@ -1,18 +1,19 @@
 """Flags and tests on the state array of a sequence.
 
-``documented`` behaviour follows what each flag is meant to say.  ``padded`` behaviour follows what
+``documented`` behaviour follows what each flag is meant to say, for sequences of any length.  ``padded`` behaviour follows what
 a table of fixed width ``n_states`` gives when the empty state cells hold the text "0": pads take
 part in comparisons, states are read as regular expressions, and three exceptions for certain widths apply.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, functions as F
 
-MAX_STATES = 8
+MAX_STATES = 8  # of a padded row
 PAD = "0"
 
 
@@ -40,32 +41,36 @@ def padded(states: Column) -> Column:
 
 
 def length(states: Column) -> Column:
-    return F.least(F.size(states), F.lit(MAX_STATES))
+    return F.size(states)
 
 
-def documented_flags(states: Column) -> dict[str, Column]:
-    kept = F.slice(states, 1, MAX_STATES)
-    n = F.size(kept)
+def _exists_pair(states: Column, least_gap: int, test: Callable[[Column, Column], Column], adjacent: bool = False) -> Column:
+    """Does ``test`` hold for two states at least ``least_gap`` apart (exactly one apart if ``adjacent``)?"""
 
-    def at(i: int) -> Column:
-        return F.get(kept, F.lit(i - 1))
+    def later(i: Column) -> Column:
+        first = F.get(states, i)
+        if adjacent:
+            return F.coalesce(test(first, F.get(states, i + 1)), F.lit(False))
+        rest = F.slice(states, i + F.lit(least_gap + 1), F.size(states))
+        return F.exists(rest, lambda other: F.coalesce(test(first, other), F.lit(False)))
 
-    def same(i: int, j: int) -> Column:
-        return (n >= j) & (at(i) == at(j))
+    return F.when(F.size(states) > least_gap, F.exists(F.sequence(F.lit(0), F.size(states) - F.lit(least_gap + 1)), later)).otherwise(F.lit(False))
 
-    def inside(i: int, j: int) -> Column:
-        return (n >= j) & (at(i) != at(j)) & (at(i).contains(at(j)) | at(j).contains(at(i)))
 
-    def flag(test, pairs) -> Column:
-        return F.coalesce(_any([test(i, j) for i, j in pairs]), F.lit(False))
+def documented_flags(states: Column) -> dict[str, Column]:
+    def same(a: Column, b: Column) -> Column:
+        return a == b
+
+    def inside(a: Column, b: Column) -> Column:
+        return (a != b) & (a.contains(b) | b.contains(a))
 
-    consec = flag(same, ADJACENT)
-    embed = flag(inside, ADJACENT)
+    consec = _exists_pair(states, 1, same, adjacent=True)
+    embed = _exists_pair(states, 1, inside, adjacent=True)
     return {
         "consec": consec.cast("int"),
-        "non_consec": (~consec & flag(same, DISTANT)).cast("int"),
+        "non_consec": (~consec & _exists_pair(states, 2, same)).cast("int"),
         "embed_consec": embed.cast("int"),
-        "embed_non_consec": (~embed & flag(inside, DISTANT)).cast("int"),
+        "embed_non_consec": (~embed & _exists_pair(states, 2, inside)).cast("int"),
     }
 
 
@@ -109,8 +114,7 @@ def padded_flags(states: Column, n_states: Column) -> dict[str, Column]:
 
 def all_different(states: Column) -> Column:
     """At least two states and no state twice."""
-    kept = F.slice(states, 1, MAX_STATES)
-    return (F.size(kept) >= 2) & (F.size(F.array_distinct(kept)) == F.size(kept))
+    return (F.size(states) >= 2) & (F.size(F.array_distinct(states)) == F.size(states))
 
 
 def all_different_padded(states: Column, n_states: Column) -> Column:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortloom.session import written
@@ -18,7 +15,7 @@ def dense_rank_within(
     """Dense rank of ``order`` within ``keys``, null where ``order`` is null.
 
     A plain window would sort all rows of a key in one task, however many there are.  Here each
-    (key, ``bucket``) is reduced to its distinct values, and the window only sees one row per
+    (key, ``bucket``) is reduced to its distinct values, and the window only sees one number per
     bucket, to know how many values lie in the earlier ones.  ``bucket`` must grow with ``order``
     and hold a bounded number of distinct values.
     """
@@ -27,10 +24,11 @@ def dense_rank_within(
         .groupBy(*keys, bucket.alias("_bucket"))
         .agg(F.array_sort(F.collect_set(order)).alias("_values"))
     )
-    before = F.sum(F.size("_values")).over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(*_BEFORE))
-    ranks = buckets.select(*keys, "_values", F.coalesce(before, F.lit(0)).alias("_start")).select(
-        *keys, "_start", F.posexplode("_values").alias("_at", order)
-    )
+    # the window sees numbers only; the values stay where they were gathered
+    sizes = buckets.select(*keys, "_bucket", F.size("_values").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(*_BEFORE))
+    starts = sizes.select(*keys, "_bucket", F.coalesce(before, F.lit(0)).alias("_start"))
+    ranks = buckets.join(starts, [*keys, "_bucket"]).select(*keys, "_start", F.posexplode("_values").alias("_at", order))
     ranks = ranks.select(*keys, order, (F.col("_start") + F.col("_at") + 1).cast("int").alias(out))
     return df.join(ranks, [*keys, order], "left")
 
@@ -40,35 +38,32 @@ def visit_bucket(col: str) -> Column:
     return F.date_trunc("hour", F.col(col))
 
 
-def dense_rank_all(df: DataFrame, order: str, out: str, buckets: int = 1024) -> DataFrame:
-    """Dense rank of a numeric column over the whole table, without a single-task window.
+def _numbered(df: DataFrame, out: str, name: str) -> DataFrame:
+    """Number the rows 1..n in the order of their partitions, and inside each as they stand.
 
-    Distinct values are cut into ranges at approximate quantiles (at most ``buckets`` numbers reach
-    the driver); ranks are counted inside each range and shifted by the ranges before it.
+    Ids drawn while scanning would change if a lost task were planned differently, so they are
+    written once.  The offsets are one row per partition.
     """
-    values = written(df.filter(F.col(order).isNotNull()).select(order).distinct(), "distinct_values")
-    steps = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(values.approxQuantile(order, steps, 0.25 / buckets)))
-    splits = [-math.inf, *cuts, math.inf]
-    ranged = (
-        Bucketizer(splits=splits, inputCol="_double", outputCol="_range")
-        .transform(values.withColumn("_double", F.col(order).cast("double")))
-        .drop("_double")
-    )
-    starts = (
-        ranged.groupBy("_range")
-        .agg(F.count("*").alias("_n"))
-        .withColumn(
-            "_start",
-            F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(*_BEFORE)), F.lit(0)),
-        )
-        .drop("_n")
-    )
-    ranks = (
-        ranged.withColumn("_inside", F.row_number().over(Window.partitionBy("_range").orderBy(order)))
-        .join(starts, "_range")
-        .select(order, (F.col("_start") + F.col("_inside")).alias(out))
+    drawn = written(df.withColumn("_drawn", F.monotonically_increasing_id()), name)
+    part = F.shiftright(F.col("_drawn"), 33)
+    counts = drawn.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(*_BEFORE))
+    starts = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    inside = F.col("_drawn").bitwiseAND(F.lit((1 << 33) - 1))
+    return drawn.withColumn("_part", part).join(starts, "_part").select(
+        *df.columns, (F.col("_start") + inside + 1).alias(out)
     )
+
+
+def dense_rank_all(df: DataFrame, order: str, out: str, ranges: int | None = None) -> DataFrame:
+    """Dense rank of a column over the whole table, without a single-task window.
+
+    The distinct values are dealt to ``ranges`` ranges (as many as there are shuffle partitions by
+    default), sorted and numbered in each, and shifted by the ranges before.
+    """
+    values = df.filter(F.col(order).isNotNull()).select(order).distinct()
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranks = _numbered(values.repartitionByRange(n, order).sortWithinPartitions(order), out, "distinct_values")
     return df.join(ranks, order, "left")
 
 
@@ -95,37 +90,11 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
 
 
 def with_row_ids(df: DataFrame, out: str) -> DataFrame:
-    """Row ids 1..n.
-
-    Ids drawn while scanning would change if a lost task were planned differently, so they are
-    written once.  The per-partition offsets are one row per partition.
-    """
-    drawn = written(df.withColumn("_drawn", F.monotonically_increasing_id()), "row_ids")
-    part = F.shiftright(F.col("_drawn"), 33)
-    starts = (
-        drawn.groupBy(part.alias("_part"))
-        .agg(F.count("*").alias("_n"))
-        .withColumn(
-            "_start",
-            F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(*_BEFORE)), F.lit(0)),
-        )
-        .drop("_n")
-    )
-    inside = F.col("_drawn").bitwiseAND(F.lit((1 << 33) - 1))
-    return (
-        drawn.withColumn("_part", part)
-        .join(F.broadcast(starts), "_part")  # one row per input partition
-        .withColumn(out, F.col("_start") + inside + 1)
-        .select(out, *df.columns)
-    )
+    """Row ids 1..n."""
+    return _numbered(df, out, "row_ids").select(out, *df.columns)
 
 
 def ordinal_by_first_appearance(df: DataFrame, value: str, position: str, out: str) -> DataFrame:
-    """Number the distinct values 1..n in the order of their smallest ``position``.
-
-    For the chapters of a hierarchy: the window sees one row per chapter, some twenty rows.
-    """
+    """Number the distinct values 1..n in the order of their smallest ``position``."""
     firsts = df.groupBy(value).agg(F.min(position).alias("_first"))
-    return firsts.select(
-        value, F.row_number().over(Window.orderBy("_first")).cast("string").alias(out)
-    )
+    return dense_rank_all(firsts, "_first", out).select(value, F.col(out).cast("string").alias(out))

@@ -13,7 +13,6 @@ from cohortloom.session import written
 
 DEFAULT_SUPPORT = 0.1
 DEFAULT_CONFIDENCE = 0.8
-MAX_RULE_ITEMS = 10
 STATISTICS = ("lift", "confidence", "support")
 
 
@@ -26,7 +25,7 @@ def association_rules(
     txns: DataFrame,
     support: float = DEFAULT_SUPPORT,
     confidence: float = DEFAULT_CONFIDENCE,
-    max_items: int = MAX_RULE_ITEMS,
+    max_items: int | None = None,
 ) -> DataFrame:
     """Rules ``antecedent ⇒ consequent`` with one item on the right and at least one on the left.
 
@@ -44,18 +43,16 @@ def association_rules(
         minSupport=(min_count(support, n) - 0.5) / n,
         minConfidence=max(0.0, confidence - 1e-9),
     ).fit(stored)
-    return model.associationRules.filter(F.size("antecedent") + 1 <= max_items).select(
+    return model.associationRules.filter(F.size("antecedent") + 1 <= max_items if max_items else F.lit(True)).select(
         F.array_sort("antecedent").alias("antecedent"), "consequent", "confidence", "lift", "support"
     )
 
 
 def item_frequency(items: DataFrame, support: float = DEFAULT_SUPPORT, top: int = 10) -> DataFrame:
     """Share of visits each item occurs in, for items reaching ``support``: the ``top`` largest."""
-    # a null item stands for the visit itself, so that one pass counts the items and the visits
-    marked = items.select("subject_id", "admit_id", F.explode(F.array("item", F.lit(None))).alias("item"))
-    counts = written(marked.distinct().groupBy("item").agg(F.count("*").alias("count")), "item_counts")
-    n = counts.filter("item is null").select("count").scalar()
-    counts = counts.filter("item is not null")
+    visits = written(transactions(items), "transactions")
+    n = visits.count()
+    counts = visits.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("count"))
     shares = counts.withColumn("frequency", F.col("count") / n)
     return shares.filter(F.round("frequency", 9) >= support).orderBy(F.desc("frequency"), "item").limit(top)
 
@@ -67,6 +64,27 @@ def top_rules(rules: DataFrame, by: str = "lift", n: int = 10) -> DataFrame:
     return rules.orderBy(F.desc(F.round(by, 9)), F.array_join("antecedent", ","), F.array_join("consequent", ",")).limit(n)
 
 
+def rule_sides(rules: DataFrame) -> DataFrame:
+    """What the rules of each right side come to: a check of the clusters that needs none."""
+    return rules.groupBy(F.element_at("consequent", 1).alias("consequent")).agg(
+        F.count("*").alias("n_antecedents"), *[F.avg(s).alias(s) for s in STATISTICS]
+    )
+
+
+def lift_table(rules: DataFrame) -> DataFrame:
+    """(antecedent, consequent, lift) of every left and right side, 1 where there is no rule.
+
+    The right sides are single frequent items, so the table is the rules' left sides times a few.
+    """
+    flat = written(
+        rules.select(F.array_join("antecedent", ",").alias("antecedent"), F.element_at("consequent", 1).alias("consequent"), "lift"),
+        "flat_rules",
+    )
+    sides = flat.agg(F.array_sort(F.collect_set("consequent")).alias("sides"))
+    lefts = flat.select("antecedent").distinct().withColumn("consequent", F.explode(sides.scalar()))
+    return lefts.join(flat, ["antecedent", "consequent"], "left").select("antecedent", "consequent", F.coalesce("lift", F.lit(1.0)).alias("lift"))
+
+
 def rule_clusters(rules: DataFrame, k: int = 10, seed: int = 1) -> DataFrame:
     """Left sides clustered by their lift towards every right side, then collapsed per right side.
 

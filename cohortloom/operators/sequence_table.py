@@ -33,7 +33,7 @@ def with_length(table: DataFrame) -> DataFrame:
 
 
 def n_states(table: DataFrame) -> DataFrame:
-    """One row: the number of state columns, that of the longest sequence but at most eight."""
+    """One row: the number of state columns of a padded table, that of the longest sequence but at most eight."""
     return table.agg(F.least(F.max(F.size("states")), F.lit(P.MAX_STATES)).alias("n_states"))
 
 
@@ -79,9 +79,8 @@ def describe(table: DataFrame, mapping: DataFrame, mining_level: str) -> DataFra
         F.array_sort(F.collect_set(F.struct(F.col(lv.desc).alias("d")))).alias("_descs")
     )
     rest = [c for c in table.columns if c != "states"]
-    kept = F.slice("states", 1, P.MAX_STATES)
     rows = (
-        table.select(*rest, F.posexplode(kept).alias("_pos", "_code"))
+        table.select(*rest, F.posexplode("states").alias("_pos", "_code"))
         .join(names, "_code", "left")
         .groupBy(*rest)
         .agg(F.array_sort(F.collect_list(F.struct("_pos", "_descs"))).alias("_cells"))
@@ -138,8 +137,13 @@ def links(table: DataFrame) -> DataFrame:
     return best.select(tagged("from", F.col("pos")), tagged("to", F.col("pos") + 1), "max_support")
 
 
-def widened(table: DataFrame) -> DataFrame:
-    """``c_1`` … ``c_8`` instead of the state array, for display and export."""
+def widened(table: DataFrame, width: int | None = None) -> DataFrame:
+    """``c_1``, ``c_2``, … instead of the state array, for display and export.
+
+    There are ``width`` columns; without it as many as the longest sequence has states, eight at least.
+    """
+    if width is None:
+        width = max(P.MAX_STATES, table.agg(F.max(F.size("states"))).first()[0] or 0)
     rest = [c for c in table.columns if c not in ("sequence", "support", "states")]
-    cells = [F.get("states", F.lit(i)).alias(f"c_{i + 1}") for i in range(P.MAX_STATES)]
+    cells = [F.get("states", F.lit(i)).alias(f"c_{i + 1}") for i in range(width)]
     return table.select("sequence", "support", *cells, *rest)

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -19,8 +20,6 @@ from cohortloom.operators.ranks import dense_rank_within
 from cohortloom.session import forget, written
 
 DEFAULT_SUPPORT = 0.25
-MAX_ELEMENTS = 10
-MAX_ITEMS = 10
 
 # Visits per index chunk: bounds what any one join key can hold, whatever a subject's length.
 CHUNK = 256
@@ -41,16 +40,13 @@ def visit_index(occurrences: DataFrame) -> DataFrame:
     ``visit`` is the next occurrence of ``state`` for every position from ``prev`` up to just before
     it.  Occurrences are gathered in chunks of bounded length; only one row per chunk is windowed.
     """
-    chunks = (
-        occurrences.groupBy("subject_id", "state", _chunk(F.col("visit")).alias("_chunk"))
-        .agg(F.array_sort(F.collect_set("visit")).alias("_visits"))
-        .withColumn(
-            "_before",
-            F.lag(F.element_at("_visits", -1)).over(
-                Window.partitionBy("subject_id", "state").orderBy("_chunk")
-            ),
-        )
+    chunks = occurrences.groupBy("subject_id", "state", _chunk(F.col("visit")).alias("_chunk")).agg(
+        F.array_sort(F.collect_set("visit")).alias("_visits")
     )
+    keys = Window.partitionBy("subject_id", "state").orderBy("_chunk")
+    lasts = chunks.select("subject_id", "state", "_chunk", F.element_at("_visits", -1).alias("_last"))
+    before = lasts.select("subject_id", "state", "_chunk", F.lag("_last").over(keys).alias("_before"))
+    chunks = chunks.join(before, ["subject_id", "state", "_chunk"])
     steps = F.transform(
         "_visits",
         lambda v, i: F.struct(
@@ -73,11 +69,17 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def mine(occurrences: DataFrame, support: float, max_elements: int = MAX_ELEMENTS, n: int | None = None) -> DataFrame:
+def _sizes(most: int | None):
+    """Sizes of the levels after the first: to ``most``, or until a level is empty."""
+    return count(2) if most is None else range(2, most + 1)
+
+
+def mine(occurrences: DataFrame, support: float, max_elements: int | None = None, n: int | None = None) -> DataFrame:
     """Frequent sequences over ``occurrences(subject_id, visit, state)``.
 
     Visit numbers count 1, 2, … within each subject.  ``n`` is the number of subjects support is
-    relative to, all those in ``occurrences`` by default.  Returns ``(states, count, support)``.
+    relative to, all those in ``occurrences`` by default.  Levels go on until one is empty, or to
+    ``max_elements`` if given.  Returns ``(states, count, support)``.
 
     Within a level a sequence is one number.  Its row in ``found`` names the sequence it extends
     (``parent``), its last item, and the sequence left without its first state (``tail``), which is
@@ -104,7 +106,7 @@ def mine(occurrences: DataFrame, support: float, max_elements: int = MAX_ELEMENT
     )
     results = [found.select("states", "count")]
     spent = [index]  # tables the result does not read; each is dropped when the next level is written
-    for size in range(2, max_elements + 1):
+    for size in _sizes(max_elements):
         ends = level.select("subject_id", F.col("id").alias("parent"), "end", _chunk(F.col("end")).alias("_chunk"))
         grown = (
             ends.join(lookup, ["subject_id", "_chunk"])
@@ -114,7 +116,7 @@ def mine(occurrences: DataFrame, support: float, max_elements: int = MAX_ELEMENT
         if size > 2:  # after the join by subject, so that candidates never multiply what is shuffled
             candidates = _candidates(found)
             grown = grown.join(candidates.drop("tail"), ["parent", "item"], "left_semi")
-        if size < max_elements:
+        if size != max_elements:
             grown = written(grown, f"grown_{size}")  # read twice: to count and to go on from
             forget(spent.pop())
             spent.append(grown)
@@ -154,14 +156,14 @@ def occurrences(items: DataFrame, item: str = "item", visit: str = "admit_id") -
 
 
 def frequent_sequences(
-    items: DataFrame, support: float = DEFAULT_SUPPORT, max_elements: int = MAX_ELEMENTS
+    items: DataFrame, support: float = DEFAULT_SUPPORT, max_elements: int | None = None
 ) -> DataFrame:
     """Frequent sequences of single items: all that the sequence table keeps in the end."""
     return mine(occurrences(items), support, max_elements)
 
 
 def frequent_itemset_sequences(
-    items: DataFrame, support: float = DEFAULT_SUPPORT, max_elements: int = MAX_ELEMENTS, max_items: int = MAX_ITEMS
+    items: DataFrame, support: float = DEFAULT_SUPPORT, max_elements: int | None = None, max_items: int | None = None
 ) -> DataFrame:
     """Frequent sequences whose elements are item sets, as ``states array<array<string>>``."""
     rows = written(occurrences(items).distinct(), "occurrences")
@@ -180,7 +182,7 @@ def frequent_itemset_sequences(
 
 
 def frequent_itemsets(
-    rows: DataFrame, support: float, n: int, max_items: int = MAX_ITEMS
+    rows: DataFrame, support: float, n: int, max_items: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Item sets found together in a visit of enough subjects.
 
@@ -206,7 +208,7 @@ def frequent_itemsets(
     singles = level.select("subject_id", "visit", "item")
     held, sets, spent = [level.drop("item")], [found.select("id", "items")], [level]
     found = found.select("id", F.lit(0).cast("long").alias("parent"), F.col("id").alias("item"), "items")
-    for size in range(2, max_items + 1):
+    for size in _sizes(max_items):
         parents = level.select("subject_id", "visit", F.col("id").alias("parent"), F.col("item").alias("_last"))
         if size == 2:  # every larger frequent item of the same visit is a candidate
             grown = parents.join(singles, ["subject_id", "visit"]).filter("_last < item")

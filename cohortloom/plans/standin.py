@@ -88,16 +88,41 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a second, denser source: a visit is a day with events, its codes the event types."""
+def daily_events(spark: SparkSession, sf_dir: str, by_value: bool = False) -> DataFrame:
+    """Events as a second, denser source: a visit is a day with events, its codes the event types,
+    with ``by_value`` divided by the size of the event."""
+    code = F.col("event_type")
+    if by_value:
+        code = F.concat(code, F.lit(" "), F.floor(F.col("value") / 25).cast("string"))
     days = table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("subject_id"), F.date_trunc("day", "ts").alias("hadm_id"),
-        F.col("event_type").alias("icd_code"),
+        F.col("user_id").alias("subject_id"), F.date_trunc("day", "ts").alias("hadm_id"), code.alias("icd_code"),
     )
     stays = days.select("subject_id", "hadm_id", F.col("hadm_id").alias("admittime")).distinct()
     return hospital.tidy_visits(stays, days)
 
 
+def event_paths(spark: SparkSession, sf_dir: str, days: int | None = None) -> DataFrame:
+    """A sequence table of users' paths: the number of events on each of their days with events, in order.
+
+    A path has a state per calendar day at most.  ``days`` keeps the first days only.
+    """
+    daily = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").cast("string").alias("n"))
+    paths = daily.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("day", "n"))).alias("steps"))
+    states = F.transform("steps", lambda x: x["n"])
+    if days is not None:
+        states = F.slice(states, 1, days)
+    shares = paths.groupBy(states.alias("states")).agg(F.count("*").alias("count"))
+    users = paths.count()
+    return shares.select(F.array_join("states", " => ").alias("sequence"), (F.col("count") / users).alias("support"), "states")
+
+
+def path_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descriptions of the states of :func:`event_paths`."""
+    daily = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts")).agg(F.count("*").cast("string").alias("ccs1_code"))
+    name = F.when(F.col("ccs1_code") == "9", "Unclassified").otherwise(F.concat("ccs1_code", F.lit(" events")))
+    return daily.select("ccs1_code").distinct().withColumn("ccs1_desc", name)
+
+
 # --- adverse-event source: order lines are drug uses and outcomes, customers carry an indication ---
 
 

@@ -11,6 +11,7 @@ from cohortloom.operators import cohort as C
 from cohortloom.operators import explore, hierarchy
 from cohortloom.operators import rules as R, sequence_table as T, sequences as Q
 from cohortloom.session import tune, written
+from cohortloom.sources import sinks
 from cohortloom.sources.registry import Source
 
 
@@ -66,7 +67,7 @@ class Study:
         return str(hierarchy.SENTINEL) if self.source.keep_unmapped else None
 
     def mined_sequences(
-        self, support: float = Q.DEFAULT_SUPPORT, max_elements: int = Q.MAX_ELEMENTS
+        self, support: float = Q.DEFAULT_SUPPORT, max_elements: int | None = None
     ) -> DataFrame:
         items = C.items(self.coded, self.subjects, level(self.spec.mining_level).code)
         if not self.source.dense_visits:
@@ -78,7 +79,7 @@ class Study:
         support: float = Q.DEFAULT_SUPPORT,
         starts_with: str = "",
         contains: str = "",
-        max_elements: int = Q.MAX_ELEMENTS,
+        max_elements: int | None = None,
         documented: bool = True,
     ) -> DataFrame:
         """The sequence table: mined, flagged, without repeats, described and searched."""
@@ -87,11 +88,30 @@ class Study:
         table = T.without_repeats(table, documented)
         table = T.describe(table, self.source.mapping, self.spec.mining_level)
         table = T.drop_unclassified(table)
-        return T.search_any(T.search_first(table, starts_with), contains)
+        return T.ordered(T.search_any(T.search_first(table, starts_with), contains))
+
+    def links(self, **choices) -> DataFrame:
+        """State-to-state links of the sequence table with the same choices."""
+        return T.links(self.sequences(**choices))
+
+    def export_baskets(self, root: str, kind: str = "temporal") -> str:
+        """Write the cohort's baskets as text, ``temporal`` or ``association``; returns the folder."""
+        items = self.temporal_items() if kind == "temporal" else self.association_items()
+        return sinks.write_baskets(items, root, self.spec, self.source.name, kind)
 
     def rules(self, support: float = R.DEFAULT_SUPPORT, confidence: float = R.DEFAULT_CONFIDENCE) -> DataFrame:
         return R.association_rules(R.transactions(self.rule_items()), support, confidence)
 
+    def top_rules(self, by: str = "lift", n: int = 10, **thresholds) -> DataFrame:
+        return R.top_rules(self.rules(**thresholds), by, n)
+
+    def rule_clusters(self, k: int = 10, **thresholds) -> DataFrame:
+        return R.rule_clusters(self.rules(**thresholds), k)
+
+    def rule_graph(self, by: str = "lift", n: int = 10, **thresholds) -> tuple[DataFrame, DataFrame]:
+        """Nodes and edges of the best rules."""
+        return R.rule_graph(written(self.top_rules(by, n, **thresholds), "top_rules"))
+
     def item_frequency(self, support: float = R.DEFAULT_SUPPORT, top: int = 10) -> DataFrame:
         return R.item_frequency(self.rule_items(), support, top)
 

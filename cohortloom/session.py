@@ -58,14 +58,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{lineage_dir(spark)}/cohortloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.cohortloom_path = path
+    return stored
 
 
 def forget(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`written` once nothing will read it again."""
+    name = df.__dict__.get("cohortloom_path")
+    if name is None:
+        return
     spark = df.sparkSession
-    folder = f"{lineage_dir(spark)}/cohortloom/"
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    for parent in {os.path.dirname(f) for f in df.inputFiles() if folder in f}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(hadoop).delete(path, True)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -16,6 +16,24 @@ def strings(*names: str) -> StructType:
     return StructType([StructField(n, StringType()) for n in names])
 
 
+def _raw(spark: SparkSession, path: str, schema: StructType, header: bool, sep: str, by_position: bool) -> DataFrame:
+    """The wanted fields as text.  A backslash is data here ("\\N"), not an escape."""
+    options = {"sep": sep, "escape": '"'}
+    found = spark.read.csv(path, header=header, **options).columns  # the first line only
+    if header and not by_position:
+        # every file is held to the header of the first
+        raw = spark.read.schema(strings(*found)).csv(path, header=True, enforceSchema=False, **options)
+        cleaned = [clean_name(c) for c in found]
+        missing = [n for n in schema.names if clean_name(n) not in cleaned]
+        if missing:
+            raise ValueError(f"{path} has no column {', '.join(missing)}; its columns are {', '.join(found)}")
+        raw = raw.toDF(*[f"_{i}" for i in range(len(found))])
+        return raw.select(*[F.col(f"_{cleaned.index(clean_name(n))}").alias(n) for n in schema.names])
+    if found and len(found) != len(schema.names):
+        raise ValueError(f"{path} has {len(found)} columns, not {len(schema.names)}")
+    return spark.read.schema(strings(*schema.names)).csv(path, header=header, enforceSchema=True, **options)
+
+
 def read_delimited(
     spark: SparkSession,
     path: str,
@@ -24,17 +42,21 @@ def read_delimited(
     sep: str = ",",
     na: list[str] | None = None,
     partitions: int | None = None,
+    by_position: bool = False,
 ) -> DataFrame:
     """Read delimited text.
 
+    With a header the columns of ``schema`` are picked by their cleaned names, wherever they stand
+    and whatever else the file holds; one that is missing is an error.  Without a header, or with
+    ``by_position`` (files whose headers are replaced), the columns are taken in order, and a
+    different number of columns is an error.
+
     Fields are read as text, tokens for missing values become null, and only then is each column
     cast; a text that does not parse becomes null too.  A gzip file is one task however large it
     is: ``partitions`` spreads its rows before the work that follows.
     """
     tokens = NA_TOKENS if na is None else na
-    text = strings(*schema.names)
-    # a backslash is data here ("\N"), not an escape
-    raw = spark.read.schema(text).csv(path, header=header, sep=sep, escape='"', enforceSchema=True)
+    raw = _raw(spark, path, schema, header, sep, by_position)
     if partitions:
         raw = raw.repartition(partitions)
     return raw.select(

@@ -58,12 +58,16 @@ def source(
     )
 
 
-def reader(kind: str) -> Callable[[SparkSession, str], DataFrame]:
-    """How raw tables are fetched: ``parquet``, or ``jdbc`` with ``url#table`` as the location."""
+def reader(kind: str, **options) -> Callable[[SparkSession, str], DataFrame]:
+    """How raw tables are fetched: ``parquet``, or ``jdbc`` with ``url#table`` as the location.
+
+    ``options`` go to the database reader: with ``key`` and ``bounds`` a table is read in ranges,
+    without them by one task.
+    """
     if kind == "parquet":
         return lambda spark, location: spark.read.parquet(location)
     if kind == "jdbc":
         from cohortloom.sources.jdbc import read_table
 
-        return lambda spark, location: read_table(spark, *location.rsplit("#", 1))
+        return lambda spark, location: read_table(spark, *location.rsplit("#", 1), **options)
     raise ValueError(f"unknown reader {kind!r}")

@@ -102,59 +102,80 @@ packed_deaths AS (
   SELECT subject_id, admit_id, replace(replace(codes, ' ', ','), ',,', ',') AS icd_code FROM death_visits WHERE codes <> '')"""
 
 # how often each basket item stands in a visit is irrelevant to mining; `occ` holds (subject, visit, state)
-NEXT = """marks AS (SELECT DISTINCT subject_id, visit FROM occ),
-following AS (
+NEXT = """total AS (SELECT count(DISTINCT subject_id) AS n FROM occ),
+least AS (SELECT ceil(round({support} * n, 9)) AS hits FROM total),
+usual AS MATERIALIZED (SELECT o.* FROM occ o WHERE state IN (
+  SELECT state FROM occ GROUP BY state HAVING count(DISTINCT subject_id) >= (FROM least))),
+marks AS (SELECT DISTINCT subject_id, visit FROM usual),
+following AS MATERIALIZED (
   SELECT m.subject_id, m.visit AS at, o.state, min(o.visit) AS visit
-  FROM marks m JOIN occ o ON o.subject_id = m.subject_id AND o.visit > m.visit GROUP BY ALL),
-total AS (SELECT count(DISTINCT subject_id) AS n FROM occ),
-l1 AS (SELECT subject_id, [state] AS p, min(visit) AS e FROM occ GROUP BY subject_id, state)"""
+  FROM marks m JOIN usual o ON o.subject_id = m.subject_id AND o.visit > m.visit GROUP BY ALL),
+l1 AS MATERIALIZED (SELECT subject_id, [state] AS p, min(visit) AS e FROM usual GROUP BY subject_id, state)"""
 
 
 def _mined(occ: str, support: float, depth: int) -> str:
-    """All sequences every subject holds, level by level, then the counts that reach the support."""
+    """All sequences that enough subjects hold, level by level from the frequent ones; the last level has none."""
     levels = ",\n".join(
-        f"l{k} AS (SELECT l.subject_id, list_append(l.p, f.state) AS p, f.visit AS e "
-        f"FROM l{k - 1} l JOIN following f ON f.subject_id = l.subject_id AND f.at = l.e)"
-        for k in range(2, depth + 1)
+        f"l{k} AS MATERIALIZED (SELECT l.subject_id, list_append(l.p, f.state) AS p, f.visit AS e "
+        f"FROM l{k - 1} l JOIN following f ON f.subject_id = l.subject_id AND f.at = l.e "
+        f"WHERE l.p IN (SELECT p FROM l{k - 1} GROUP BY p HAVING count(*) >= (FROM least)))"
+        for k in range(2, depth + 2)
     )
-    counted = " UNION ALL ".join(f"SELECT p, count(*) AS hits FROM l{k} GROUP BY p" for k in range(1, depth + 1))
+    counted = " UNION ALL ".join(f"SELECT p, count(*) AS hits FROM l{k} GROUP BY p" for k in range(1, depth + 2))
     return f"""occ AS ({occ}),
-{NEXT},
+{NEXT.format(support=support)},
 {levels},
-mined AS (
+mined AS MATERIALIZED (
   SELECT p, array_to_string(p, ' => ') AS sequence, hits / n AS support, len(p) AS length
-  FROM ({counted}), total WHERE hits >= ceil(round({support} * n, 9)))"""
+  FROM ({counted}), total WHERE hits >= (FROM least))"""
 
 
 TYPES = "SELECT DISTINCT subject_id, admit_id AS visit, ccs1_code AS state FROM visits JOIN hier USING (icd_code)"
 BRANDS = "SELECT DISTINCT subject_id, admit_id AS visit, ccs_code AS state FROM visits JOIN hier USING (icd_code)"
-MINED_TYPES = f"WITH {VISITS}, {HIER}, {_mined(TYPES, 0.6, 4)}"
-MINED_BRANDS = f"WITH {VISITS}, {HIER}, {_mined(BRANDS, 0.2, 3)}"
+MINED_TYPES = f"WITH {VISITS}, {HIER}, {_mined(TYPES, 0.6, 5)}"
+MINED_BRANDS = f"WITH {VISITS}, {HIER}, {_mined(BRANDS, 0.2, 5)}"
 
 
-def _flags(mined: str, n: int, skipped: str = "false") -> str:
+def _flag_tables(n: str = "(SELECT least(max(len(p)), 8) FROM mined)") -> str:
     """Flags by looking at every pair of positions, unpadded and padded to ``n`` states."""
-    return f"""{mined},
+    return f"""width AS (SELECT {n} AS w),
 cells AS (
   SELECT sequence, 'documented' AS mode, p AS c, len(p) AS n FROM mined
   UNION ALL
-  SELECT sequence, 'padded', list_concat(p, list_resize(CAST([] AS VARCHAR[]), {n} - len(p), '0')), {n} FROM mined),
-pairs AS (SELECT i, j FROM range(1, 9) a(i), range(1, 9) b(j) WHERE i < j),
+  SELECT sequence, 'padded', list_concat(p[1:8], list_resize(CAST([] AS VARCHAR[]), greatest(w - len(p), 0), '0')), w FROM mined, width),
+states AS (SELECT DISTINCT unnest(c) AS s FROM cells),
+within AS MATERIALIZED (
+  SELECT a.s AS a, b.s AS b, contains(a.s, b.s) AS holds, regexp_matches(a.s, b.s) AS finds FROM states a, states b),
+places AS (SELECT sequence, mode, n, c, unnest(range(1, n)) AS i FROM cells),
+pairs AS (SELECT sequence, mode, n, c, i, unnest(range(i + 1, n + 1)) AS j FROM places),
 tests AS (
   SELECT sequence, mode, j - i AS gap, c[i] = c[j] AS same, mode = 'padded' AND c[i] = '0' AS pad,
-         {skipped} AND mode = 'padded' AS skipped,
-         c[i] <> c[j] AND CASE mode WHEN 'padded' THEN regexp_matches(c[i], c[j]) OR regexp_matches(c[j], c[i])
-                                    ELSE contains(c[i], c[j]) OR contains(c[j], c[i]) END AS inside
-  FROM cells, pairs WHERE j <= n),
+         mode = 'padded' AND n = 4 AND i = 1 AND j = 4 AS skipped,
+         CASE WHEN mode = 'documented' THEN c[i] <> c[j] AND (x.holds OR y.holds)
+              WHEN n = 7 AND i = 3 AND j = 7 THEN c[i] <> c[j] AND x.finds
+              WHEN n = 7 AND i = 2 AND j = 7 THEN c[2] <> c[6] AND (x.finds OR y.finds)
+              ELSE c[i] <> c[j] AND (x.finds OR y.finds) END AS inside
+  FROM pairs JOIN within x ON x.a = c[i] AND x.b = c[j] JOIN within y ON y.a = c[j] AND y.b = c[i]),
 found AS (
   SELECT sequence, mode, bool_or(gap = 1 AND same AND NOT pad) AS consec, bool_or(gap > 1 AND same AND NOT skipped) AS non_consec,
          bool_or(gap = 1 AND inside) AS embed_consec, bool_or(gap > 1 AND inside) AS embed_non_consec
-  FROM tests GROUP BY sequence, mode)
-SELECT c.sequence, c.mode, CAST(coalesce(consec, false) AS INT) AS consec,
-       CAST(coalesce(non_consec AND NOT consec, false) AS INT) AS non_consec,
-       CAST(coalesce(embed_consec, false) AS INT) AS embed_consec,
-       CAST(coalesce(embed_non_consec AND NOT embed_consec, false) AS INT) AS embed_non_consec
-FROM cells c LEFT JOIN found f ON f.sequence = c.sequence AND f.mode = c.mode"""
+  FROM tests GROUP BY sequence, mode),
+flags AS (
+  SELECT c.sequence, c.mode, CAST(coalesce(consec, false) AS INT) AS consec,
+         CAST(coalesce(non_consec AND NOT consec, false) AS INT) AS non_consec,
+         CAST(coalesce(embed_consec, false) AS INT) AS embed_consec,
+         CAST(coalesce(embed_non_consec AND NOT embed_consec, false) AS INT) AS embed_non_consec
+  FROM cells c LEFT JOIN found f ON f.sequence = c.sequence AND f.mode = c.mode)"""
+
+
+def _paths(days: str) -> str:
+    return f"""mined AS MATERIALIZED (
+  SELECT p, array_to_string(p, ' => ') AS sequence FROM (
+    SELECT DISTINCT list(n ORDER BY day){days} AS p FROM (
+      SELECT user_id, CAST(ts AS DATE) AS day, CAST(count(*) AS VARCHAR) AS n FROM events GROUP BY ALL) GROUP BY user_id))"""
+
+
+FLAGS = "SELECT * FROM flags"
 
 
 DESCRIBED = f"""{MINED_TYPES},
@@ -393,33 +414,35 @@ SELECT condition, count(*) AS count FROM coded GROUP BY condition QUALIFY rank()
     "adverse_condition_patients": f"""{ADVERSE_STUDY}
 SELECT condition, count(DISTINCT subject_id) AS count FROM coded WHERE subject_id IN (FROM cohort) GROUP BY condition""",
     "adverse_sequences": f"""{ADVERSE_STUDY},
-{_mined("SELECT DISTINCT subject_id, admit_id AS visit, item AS state FROM coded WHERE subject_id IN (FROM cohort)", 0.6, 3)}
+{_mined("SELECT DISTINCT subject_id, admit_id AS visit, item AS state FROM coded", 0.9, 5)}
 SELECT sequence, round(support, 9) AS support FROM mined""",
-    "frequent_sequences": f"""{COHORT}, {_mined("SELECT DISTINCT subject_id, admit_id AS visit, ccs_code AS state FROM tidy WHERE subject_id IN (FROM plus)", 0.25, 3)}
+    "frequent_sequences": f"""{COHORT}, {_mined("SELECT DISTINCT subject_id, admit_id AS visit, ccs_code AS state FROM tidy WHERE subject_id IN (FROM plus)", 0.25, 5)}
 SELECT sequence, length AS n_states, round(support, 9) AS support FROM mined""",
-    "frequent_event_sequences": f"""WITH {_mined("SELECT DISTINCT user_id AS subject_id, dense_rank() OVER (PARTITION BY user_id ORDER BY date_trunc('day', ts)) AS visit, event_type AS state FROM events", 0.9, 4)}
+    "frequent_event_sequences": f"""WITH {_mined("SELECT DISTINCT user_id AS subject_id, dense_rank() OVER (PARTITION BY user_id ORDER BY date_trunc('day', ts)) AS visit, event_type || ' ' || CAST(floor(value / 25) AS INT) AS state FROM events", 0.9, 5)}
 SELECT sequence, round(support, 9) AS support FROM mined""",
-    "frequent_itemset_sequences": f"""WITH {VISITS}, {HIER}, singles AS ({TYPES}),
-occ AS (
+    "frequent_itemset_sequences": f"""WITH {VISITS}, {HIER}, singles AS ({TYPES}), {_mined("FROM sets", 0.8, 5).replace("occ AS (FROM sets)", """sets AS (
   SELECT subject_id, visit, state FROM singles
-  UNION ALL SELECT a.subject_id, a.visit, a.state || ' | ' || b.state FROM singles a JOIN singles b
-    ON a.subject_id = b.subject_id AND a.visit = b.visit AND a.state < b.state
-  UNION ALL SELECT a.subject_id, a.visit, a.state || ' | ' || b.state || ' | ' || c.state FROM singles a JOIN singles b
-    ON a.subject_id = b.subject_id AND a.visit = b.visit AND a.state < b.state
-    JOIN singles c ON a.subject_id = c.subject_id AND a.visit = c.visit AND b.state < c.state),
-{NEXT},
-l2 AS (SELECT l.subject_id, list_append(l.p, f.state) AS p FROM l1 l JOIN following f ON f.subject_id = l.subject_id AND f.at = l.e)
-SELECT array_to_string(p, ' => ') AS sequence, round(hits / n, 9) AS support
-FROM (SELECT p, count(*) AS hits FROM l1 GROUP BY p UNION ALL SELECT p, count(*) FROM l2 GROUP BY p), total
-WHERE hits >= ceil(round(0.7 * n, 9))""",
+  UNION ALL SELECT a.subject_id, a.visit, a.state || ' | ' || b.state FROM singles a JOIN singles b USING (subject_id, visit) WHERE a.state < b.state
+  UNION ALL SELECT a.subject_id, a.visit, a.state || ' | ' || b.state || ' | ' || c.state
+    FROM singles a JOIN singles b USING (subject_id, visit) JOIN singles c USING (subject_id, visit) WHERE a.state < b.state AND b.state < c.state
+  UNION ALL SELECT a.subject_id, a.visit, a.state || ' | ' || b.state || ' | ' || c.state || ' | ' || d.state
+    FROM singles a JOIN singles b USING (subject_id, visit) JOIN singles c USING (subject_id, visit) JOIN singles d USING (subject_id, visit)
+    WHERE a.state < b.state AND b.state < c.state AND c.state < d.state),
+occ AS (FROM sets)""")}
+SELECT sequence, round(support, 9) AS support FROM mined""",
     "sequence_states": f"""{MINED_TYPES}
-SELECT sequence, round(support, 9) AS support, p[1] AS c_1, p[2] AS c_2, p[3] AS c_3, p[4] AS c_4, CAST(NULL AS VARCHAR) AS c_5,
-       CAST(NULL AS VARCHAR) AS c_6, CAST(NULL AS VARCHAR) AS c_7, CAST(NULL AS VARCHAR) AS c_8, length FROM mined""",
-    "sequence_flags": _flags(MINED_BRANDS, 3),
-    "sequence_flags_four_states": _flags(MINED_TYPES, 4, "(i = 1 AND j = 4)"),
+SELECT sequence, round(support, 9) AS support, p[1] AS c_1, p[2] AS c_2, p[3] AS c_3, p[4] AS c_4, p[5] AS c_5,
+       p[6] AS c_6, p[7] AS c_7, p[8] AS c_8, length FROM mined""",
+    "sequence_flags": f"{MINED_BRANDS}, {_flag_tables()} {FLAGS}",
+    "sequence_flags_four_states": f"{MINED_TYPES}, {_flag_tables()} {FLAGS}",
+    "event_path_flags": f"WITH {_paths('')}, {_flag_tables()} {FLAGS}",
+    "event_path_flags_seven_states": f"WITH {_paths('[1:7]')}, {_flag_tables()} {FLAGS}",
+    "event_path_described": f"""WITH {_paths('')}
+SELECT sequence, len(p) AS length, array_to_string(list_transform(p, lambda x: x || ' events'), ' / ') AS described FROM mined
+WHERE NOT list_contains(p, '9') AND p[1] IN ('1', '2', '3') AND list_contains(p, '4')""",
     "sequence_no_repeats": f"""{MINED_TYPES}
 SELECT sequence, 'documented' AS mode FROM mined WHERE length >= 2 AND len(list_distinct(p)) = length
-UNION ALL SELECT sequence, 'padded' FROM mined WHERE length >= 3 AND len(list_distinct(p)) = length""",
+UNION ALL SELECT sequence, 'padded' FROM mined WHERE length >= (SELECT max(length) FROM mined) - 1 AND len(list_distinct(p)) = length""",
     "sequence_described": f"{DESCRIBED} SELECT sequence, round(support, 9) AS support, array_to_string(states, ' / ') AS described FROM described",
     "sequence_search": f"""{DESCRIBED}
 SELECT sequence, array_to_string(states, ' / ') AS described FROM described
@@ -427,17 +450,14 @@ WHERE NOT regexp_matches(array_to_string(states, ' / '), '[Uu]nclassified') AND
 AND regexp_matches(array_to_string(states, ' / '), 'large|standard')""",
     "sequence_links": f"""{DESCRIBED},
 steps AS (SELECT support, j, states[j] || ' (' || j || ')' AS a, states[j + 1] || ' (' || (j + 1) || ')' AS b
-          FROM described, range(1, 4) r(j) WHERE j < len(states))
+          FROM described, range(1, 20) r(j) WHERE j < len(states))
 SELECT a AS "from", b AS "to", round(max(support), 9) AS max_support FROM steps GROUP BY a, b""",
-    "sequence_study": f"""{COHORT}, {_mined("SELECT DISTINCT subject_id, admit_id AS visit, ccs_code AS state FROM tidy WHERE subject_id IN (FROM minus)", 0.25, 3)},
-named AS (
-  SELECT *, list_transform(p, lambda x: 'Brand#' || x) AS d, contains(p[1], p[2]) OR contains(p[2], p[1]) AS e12,
-         coalesce(contains(p[2], p[3]) OR contains(p[3], p[2]), false) AS e23,
-         coalesce(contains(p[1], p[3]) OR contains(p[3], p[1]), false) AS e13
-  FROM mined WHERE length >= 2 AND len(list_distinct(p)) = length)
-SELECT sequence, round(support, 9) AS support, array_to_string(d, ' / ') AS described, length, 0 AS consec, 0 AS non_consec,
-       CAST(e12 OR e23 AS INT) AS embed_consec, CAST(e13 AND NOT (e12 OR e23) AS INT) AS embed_non_consec
-FROM named WHERE contains(array_to_string(d, ' / '), 'Brand#1')""",
+    "sequence_study": f"""{COHORT}, {_mined("SELECT DISTINCT subject_id, admit_id AS visit, ccs_code AS state FROM tidy WHERE subject_id IN (FROM minus)", 0.25, 5)},
+{_flag_tables()}
+SELECT m.sequence, round(support, 9) AS support, array_to_string(list_transform(p, lambda x: 'Brand#' || x), ' / ') AS described, length,
+       consec, non_consec, embed_consec, embed_non_consec
+FROM mined m JOIN flags f ON f.sequence = m.sequence AND f.mode = 'documented'
+WHERE length >= 2 AND len(list_distinct(p)) = length AND len(list_filter(p, lambda x: contains('Brand#' || x, 'Brand#1'))) > 0""",
     "item_frequency": f"""{COHORT},
 txn AS (SELECT DISTINCT subject_id, admit_id, ccs_desc AS item FROM tidy WHERE subject_id IN (FROM plus)),
 total AS (SELECT count(DISTINCT (subject_id, admit_id)) AS n FROM txn)
@@ -448,6 +468,19 @@ ORDER BY count(*) DESC, item LIMIT 10""",
 {_rules("SELECT DISTINCT subject_id, admit_id, ccs_desc AS item FROM tidy WHERE subject_id IN (FROM plus)", 0.005, 0.17)}
 SELECT * FROM flat""",
     "top_rules": f"{TYPE_RULES} SELECT * FROM flat ORDER BY lift DESC, antecedent, consequent LIMIT 10",
+    "rule_sides": f"""{TYPE_RULES}
+SELECT consequent, count(*) AS n_antecedents, round(avg(lift), 9) AS lift, round(avg(confidence), 9) AS confidence, round(avg(support), 9) AS support
+FROM flat GROUP BY consequent""",
+    "rule_lift_table": f"""{TYPE_RULES}
+SELECT a.antecedent, c.consequent, coalesce(f.lift, 1.0) AS lift
+FROM (SELECT DISTINCT antecedent FROM flat) a CROSS JOIN (SELECT DISTINCT consequent FROM flat) c
+LEFT JOIN flat f ON f.antecedent = a.antecedent AND f.consequent = c.consequent""",
+    "admissions_by_header": """SELECT o_custkey AS subject_id, o_orderkey AS hadm_id, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderpriority AS admission_type,
+       o_orderstatus AS insurance, CAST(NULL AS VARCHAR) AS language, 'x' AS religion, day(o_orderdate) AS flag FROM orders""",
+    "tsv_with_header": """SELECT p_partkey AS concept_id, p_name AS concept_name, CASE WHEN p_size > 25 THEN p_type END AS domain_id,
+       p_brand AS concept_code, CAST(NULL AS VARCHAR) AS vocabulary_id FROM part""",
+    "all_text_csv": """SELECT lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS icd_code, p_type AS lvl1_cd, p_name AS lvl1_desc,
+       lpad(CAST(p_size AS VARCHAR), 4, '0') AS lvl2_cd, p_brand AS lvl2_desc, CAST(NULL AS VARCHAR) AS lvl3_cd FROM part""",
     "rule_graph": f"""{TYPE_RULES},
 best AS (SELECT *, '{{' || antecedent || '}} => {{' || consequent || '}}' AS rule FROM flat ORDER BY confidence DESC, antecedent, consequent LIMIT 10),
 lhs AS (SELECT unnest(string_split(antecedent, ',')) AS item, rule FROM best)

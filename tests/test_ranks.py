@@ -23,7 +23,7 @@ def test_dense_rank_within_keeps_missing(spark):
 
 def test_dense_rank_all_matches_window(spark):
     df = spark.range(5000).select("id", ((F.col("id") * 104729) % 3001 - 1500).alias("v"))
-    got = ranks.dense_rank_all(df, "v", "rank", buckets=16)
+    got = ranks.dense_rank_all(df, "v", "rank", ranges=16)
     want = df.withColumn("rank", F.dense_rank().over(Window.orderBy("v")))
     assert rows(got, "id", "rank") == rows(want, "id", "rank")
 
@@ -53,3 +53,10 @@ def test_row_ids_are_dense(spark):
 def test_ordinal_by_first_appearance(spark):
     df = spark.createDataFrame([("b", 1), ("a", 2), ("b", 3), ("c", 4)], "icd_chp string, row int")
     assert rows(ranks.ordinal_by_first_appearance(df, "icd_chp", "row", "n")) == [("a", "2"), ("b", "1"), ("c", "3")]
+
+
+def test_dense_rank_all_of_nothing(spark):
+    empty = spark.createDataFrame([], "v double")
+    assert ranks.dense_rank_all(empty, "v", "rank").count() == 0
+    nulls = spark.createDataFrame([(None,), (None,)], "v double")
+    assert rows(ranks.dense_rank_all(nulls, "v", "rank")) == [(None, None), (None, None)]

@@ -72,10 +72,19 @@ def test_golden_repeat_filter(spark):
     assert {r["sequence"] for r in T.without_repeats(two, documented=False).collect()} == {"a", "a => b"}
 
 
-def test_nine_states_lose_the_last(spark):
-    t = T.with_length(table(spark, [" => ".join("abcdefghi")]))
-    row = T.widened(t).first()
-    assert row["length"] == 8 and row["c_8"] == "h" and row["sequence"].endswith("i")
+def test_nine_states_keep_all(spark):
+    t = T.with_length(table(spark, [" => ".join("abcdefghi"), "a => b"]))
+    row = T.widened(t).filter("length > 2").first()
+    assert row["length"] == 9 and row["c_8"] == "h" and row["c_9"] == "i"
+    assert "c_9" not in T.widened(t, width=8).columns
+
+
+def test_repeats_beyond_eight_states(spark):
+    letters = "abcdefgh"
+    t = table(spark, [" => ".join(letters + "a"), " => ".join(letters + "i"), " => ".join(letters + "hh"), " => ".join([*letters, "i", "ix"])])
+    flags = {r["sequence"]: (r["consec"], r["non_consec"], r["embed_consec"], r["embed_non_consec"]) for r in T.with_flags(t).collect()}
+    assert list(flags.values()) == [(0, 1, 0, 0), (0, 0, 0, 0), (1, 0, 0, 0), (0, 0, 1, 0)]
+    assert T.without_repeats(t).count() == 2
 
 
 def test_render_item_sets(spark):

@@ -25,7 +25,7 @@ def test_tsv_backslash_tokens(spark, tmp_path):
 
 def test_all_text_schema_keeps_leading_zeros(spark, tmp_path):
     (tmp_path / "m.csv").write_text("a,b,c,d,e,f,g,h,i\n0030,1,x,1.1,y,,,,\n")
-    row = D.read_delimited(spark, str(tmp_path / "m.csv"), schemas.ICD9_MULTI).first()
+    row = D.read_delimited(spark, str(tmp_path / "m.csv"), schemas.ICD9_MULTI, by_position=True).first()
     assert row["icd_code"] == "0030" and row["lvl3_cd"] is None
 
 
@@ -120,3 +120,20 @@ def test_forget_deletes_only_written_tables(spark, tmp_path):
     assert kept.count() == 3
     with pytest.raises(Exception):
         spark.read.parquet(table.inputFiles()[0])
+
+
+def test_header_columns_are_picked_by_name(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("ROW_ID,SUBJECT_ID,GENDER,DOB,DOD,EXPIRE_FLAG\n7,3,F,2001-02-03 00:00:00,,1\n")
+    row = D.read_delimited(spark, str(tmp_path / "p.csv"), schemas.PATIENTS).first()
+    assert (row["subject_id"], row["gender"], row["dob"].year, row["dod"], row["expire_flag"]) == (3, "F", 2001, None, 1)
+    with pytest.raises(ValueError, match="no column hadm_id"):
+        D.read_delimited(spark, str(tmp_path / "p.csv"), schemas.ADMISSIONS)
+    with pytest.raises(ValueError, match="6 columns"):
+        D.read_delimited(spark, str(tmp_path / "p.csv"), schemas.PATIENTS, header=False)
+
+
+def test_registry_passes_key_and_bounds(monkeypatch):
+    seen = {}
+    monkeypatch.setattr(jdbc, "read_table", lambda spark, url, table, **o: seen.update(url=url, table=table, **o))
+    registry.reader("jdbc", key="id", bounds=(1, 9), partitions=3)(None, "jdbc:x#t")
+    assert seen == {"url": "jdbc:x", "table": "t", "key": "id", "bounds": (1, 9), "partitions": 3}
