@@ -16,7 +16,7 @@ from cohortloom.operators import (  # noqa: E402
     adverse, cohort as C, explore, hierarchy as H, hospital, mortality, ranks, rules, sequence_table as T,
     sequences as Q, tidy,
 )
-from cohortloom.plans import standin as S  # noqa: E402
+from cohortloom.plans import load, standin as S  # noqa: E402
 from cohortloom.plans.study import Study  # noqa: E402
 from cohortloom.session import lineage_dir, tune, written  # noqa: E402
 from cohortloom.sources import delimited, schemas, sinks  # noqa: E402
@@ -481,6 +481,37 @@ def condition_patients_top20(spark, sf_dir):
     return _study(spark, sf_dir, PLUS).condition_patients()
 
 
+@_query
+def hospital_files_study(spark, sf_dir):
+    """Raw CSV files to a source to a study: subjects per condition, through header names and schemas."""
+    admissions, patients, diagnoses = (_scratch(spark, n) for n in ("admissions", "patients", "diagnoses"))
+    orders, lines = S.table(spark, sf_dir, "orders"), S.table(spark, sf_dir, "lineitem")
+    moment = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
+    blank = F.lit("NA")
+    orders.select(
+        F.col("o_orderkey").alias("ROW_ID"), F.col("o_custkey").alias("SUBJECT_ID"), F.col("o_orderkey").alias("HADM_ID"), moment.alias("ADMITTIME"),
+        *[blank.alias(c.upper()) for c in schemas.ADMISSIONS.names[3:]],
+    ).write.csv(admissions, header=True)
+    S.table(spark, sf_dir, "customer").select(
+        F.lit("F").alias("GENDER"), F.col("c_custkey").alias("SUBJECT_ID"), F.lit("1950-01-01 00:00:00").alias("DOB"), blank.alias("DOD"), F.lit(0).alias("EXPIRE_FLAG")
+    ).write.csv(patients, header=True)
+    lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("l_linenumber").alias("SEQ_NUM"), F.col("l_partkey").alias("ICD_CODE"), F.col("l_orderkey").alias("ROW_ID"),
+        F.col("l_orderkey").alias("HADM_ID"), F.col("o_custkey").alias("SUBJECT_ID"),
+    ).write.csv(diagnoses, header=True)
+    return Study(load.hospital_source(spark, admissions, patients, diagnoses, S.mapping(spark, sf_dir)), PLUS).condition_patients()
+
+
+@_query
+def mortality_files_study(spark, sf_dir):
+    """Fixed-width files to a source to a study: rows per condition."""
+    path = _scratch(spark, "deaths")
+    S.death_lines(spark, sf_dir).select("value").write.text(path)
+    codes = S.table(spark, sf_dir, "nation").select(F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("n"), "n_name").select(
+        F.concat(F.lit("C"), "n").alias("icd_code"), F.col("n_name").alias("icd_desc"), F.col("n").alias("ccs_code"), F.col("n_name").alias("ccs_desc"))
+    return Study(load.mortality_source(spark, path, codes), C.CohortSpec("C01", "C02", "icd", "icd", "ccs_s")).condition_rows(5)
+
+
 @_query
 def demographic_counts(spark, sf_dir):
     people = _study(spark, sf_dir, PLUS).demographics(["segment", "nation", "region"])

@@ -21,7 +21,7 @@ from cohortloom.session import forget, written
 
 DEFAULT_SUPPORT = 0.25
 
-# Visits per index chunk: bounds what any one join key can hold, whatever a subject's length.
+# Visits per index chunk: bounds what one row can hold, whatever a subject's length.
 CHUNK = 256
 
 
@@ -35,25 +35,31 @@ def _chunk(col: Column) -> Column:
 
 
 def visit_index(occurrences: DataFrame) -> DataFrame:
-    """(subject_id, state, prev, visit): each occurrence with the one before it.
+    """Where each state occurs next: (subject_id, state, _chunk, visits, after, first).
 
-    ``visit`` is the next occurrence of ``state`` for every position from ``prev`` up to just before
-    it.  Occurrences are gathered in chunks of bounded length; only one row per chunk is windowed.
+    One row for every chunk of visits up to the last one with the state: its visits there, in order, and
+    the first one after the chunk.  From a position in the chunk the state comes next at the first of
+    ``visits`` beyond it, or else at ``after``.  ``first`` is set in one row per subject and state: the
+    earliest visit.  Windows see the first visit of a chunk, not the visits.
     """
-    chunks = occurrences.groupBy("subject_id", "state", _chunk(F.col("visit")).alias("_chunk")).agg(
-        F.array_sort(F.collect_set("visit")).alias("_visits")
+    keys = ["subject_id", "state"]
+    chunks = occurrences.groupBy(*keys, _chunk(F.col("visit")).alias("_chunk")).agg(
+        F.array_sort(F.collect_set("visit")).alias("visits")
     )
-    keys = Window.partitionBy("subject_id", "state").orderBy("_chunk")
-    lasts = chunks.select("subject_id", "state", "_chunk", F.element_at("_visits", -1).alias("_last"))
-    before = lasts.select("subject_id", "state", "_chunk", F.lag("_last").over(keys).alias("_before"))
-    chunks = chunks.join(before, ["subject_id", "state", "_chunk"])
-    steps = F.transform(
-        "_visits",
-        lambda v, i: F.struct(
-            F.when(i == 0, F.col("_before")).otherwise(F.get("_visits", i - 1)).alias("prev"), v.alias("visit")
-        ),
+    inside = Window.partitionBy(*keys).orderBy("_chunk")
+    firsts = chunks.select(*keys, "_chunk", F.get("visits", F.lit(0)).alias("_first"))
+    around = firsts.select(
+        *keys, "_chunk", "_first", F.lag("_chunk").over(inside).alias("_before"), F.lead("_first").over(inside).alias("_after")
+    )
+    spread = chunks.join(around, [*keys, "_chunk"]).withColumn(
+        "_at", F.explode(F.sequence(F.coalesce(F.col("_before") + 1, F.lit(0)), F.col("_chunk")))
+    )
+    here = F.col("_at") == F.col("_chunk")
+    return spread.select(
+        *keys, F.col("_at").alias("_chunk"), F.when(here, F.col("visits")).otherwise(F.array().cast("array<int>")).alias("visits"),
+        F.when(here, F.col("_after")).otherwise(F.col("_first")).alias("after"),
+        F.when(here & F.col("_before").isNull(), F.col("_first")).alias("first"),
     )
-    return chunks.select("subject_id", "state", F.explode(steps).alias("_s")).select("subject_id", "state", "_s.*")
 
 
 def renumber_visits(tidy: DataFrame, visit: str = "admit_id") -> DataFrame:
@@ -90,7 +96,7 @@ def mine(occurrences: DataFrame, support: float, max_elements: int | None = None
         n = index.select("subject_id").distinct().count()
     least = min_count(support, n)
 
-    singles = index.filter("prev is null").groupBy("state").agg(F.count("*").alias("count"))
+    singles = index.filter("first is not null").groupBy("state").agg(F.count("*").alias("count"))
     found = written(
         singles.filter(F.col("count") >= least).select(
             F.monotonically_increasing_id().alias("id"), "state", F.array("state").alias("states"), "count"
@@ -98,20 +104,18 @@ def mine(occurrences: DataFrame, support: float, max_elements: int | None = None
         "frequent_1",
     )
     names = found.select(F.col("id").alias("item"), "state")
-    steps = written(index.join(names, "state").select("subject_id", "item", "prev", "visit"), "steps")
-    level = steps.filter("prev is null").select("subject_id", F.col("item").alias("id"), F.col("visit").alias("end"))
-    # one row per chunk in which a position may look for its next occurrence
-    lookup = steps.filter("visit > 1").withColumn(
-        "_chunk", F.explode(F.sequence(_chunk(F.coalesce("prev", F.lit(1))), _chunk(F.col("visit") - 1)))
-    )
+    steps = written(index.join(names, "state").select("subject_id", "item", "_chunk", "visits", "after", "first"), "steps")
+    level = steps.filter("first is not null").select("subject_id", F.col("item").alias("id"), F.col("first").alias("end"))
+    lookup = steps.drop("first")
+    coming = F.coalesce(F.get(F.filter("visits", lambda v: v > F.col("end")), F.lit(0)), F.col("after"))
     results = [found.select("states", "count")]
     spent = [index]  # tables the result does not read; each is dropped when the next level is written
     for size in _sizes(max_elements):
         ends = level.select("subject_id", F.col("id").alias("parent"), "end", _chunk(F.col("end")).alias("_chunk"))
         grown = (
             ends.join(lookup, ["subject_id", "_chunk"])
-            .filter((F.coalesce("prev", F.lit(0)) <= F.col("end")) & (F.col("end") < F.col("visit")))
-            .select("subject_id", "parent", "item", F.col("visit").alias("end"))
+            .select("subject_id", "parent", "item", coming.alias("end"))
+            .filter("end is not null")
         )
         if size > 2:  # after the join by subject, so that candidates never multiply what is shuffled
             candidates = _candidates(found)

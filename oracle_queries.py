@@ -405,6 +405,12 @@ QUALIFY rank() OVER (ORDER BY count(*) DESC) <= 20""",
     "condition_patients_top20": f"""{COHORT}
 SELECT ccs_desc AS condition, count(DISTINCT subject_id) AS count FROM tidy WHERE subject_id IN (FROM plus) GROUP BY ccs_desc
 QUALIFY rank() OVER (ORDER BY count(DISTINCT subject_id) DESC) <= 20""",
+    "hospital_files_study": f"""{COHORT}
+SELECT ccs_desc AS condition, count(DISTINCT subject_id) AS count FROM tidy WHERE subject_id IN (FROM plus) GROUP BY ccs_desc
+QUALIFY rank() OVER (ORDER BY count(DISTINCT subject_id) DESC) <= 20""",
+    "mortality_files_study": f"""WITH {DEATHS}
+SELECT n_name AS condition, count(*) AS count FROM (SELECT unnest(string_split(icd_code, ',')) AS code FROM packed_deaths)
+JOIN nation ON code = 'C' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') GROUP BY n_name QUALIFY rank() OVER (ORDER BY count(*) DESC) <= 5""",
     "demographic_counts": f"{COHORT} SELECT region, segment, count(*) AS count FROM people WHERE subject_id IN (FROM plus) GROUP BY ALL",
     "demographic_values": f"{COHORT} SELECT nation AS value, count(*) AS count FROM people WHERE subject_id IN (FROM minus) GROUP BY ALL",
     "adverse_cohort_baskets": f"""{ADVERSE_STUDY}
