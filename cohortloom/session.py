@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,16 +59,39 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{lineage_dir(spark)}/cohortloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _OWNERS:
+        _OWNERS[-1].append(path)
     stored = spark.read.schema(df.schema).parquet(path)
     stored.cohortloom_path = path
     return stored
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`written` once nothing will read it again."""
     name = df.__dict__.get("cohortloom_path")
-    if name is None:
-        return
-    spark = df.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    if name is not None:
+        _delete(df.sparkSession, name)
+
+
+_OWNERS: list[list[str]] = []  # paths written inside the open blocks of :func:`owned`
+
+
+@contextmanager
+def owned(spark: SparkSession) -> Iterator[None]:
+    """Delete on leaving the block every table that :func:`written` made in it.
+
+    Results are lazy and read such tables: write or collect them inside the block.
+    """
+    paths: list[str] = []
+    _OWNERS.append(paths)
+    try:
+        yield
+    finally:
+        _OWNERS.remove(paths)
+        for path in paths:
+            _delete(spark, path)

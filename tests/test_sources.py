@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortloom.operators import cohort as C
-from cohortloom.session import forget, lineage_dir, written
+from cohortloom.session import forget, lineage_dir, owned, written
 from cohortloom.sources import delimited as D, jdbc, registry, schemas, sinks
 from conftest import rows
 
@@ -137,3 +137,14 @@ def test_registry_passes_key_and_bounds(monkeypatch):
     monkeypatch.setattr(jdbc, "read_table", lambda spark, url, table, **o: seen.update(url=url, table=table, **o))
     registry.reader("jdbc", key="id", bounds=(1, 9), partitions=3)(None, "jdbc:x#t")
     assert seen == {"url": "jdbc:x", "table": "t", "key": "id", "bounds": (1, 9), "partitions": 3}
+
+
+def test_owned_tables_go_with_their_block(spark):
+    with owned(spark):
+        inner = written(spark.range(3), "inner")
+        result = inner.agg(F.sum("id")).first()[0]
+    assert result == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(inner.cohortloom_path)
+    outside = written(spark.range(2), "outside")
+    assert spark.read.parquet(outside.cohortloom_path).count() == 2
