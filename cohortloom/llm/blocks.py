@@ -24,6 +24,7 @@ from cohortloom.session import lineage_dir
 BLOCK_BYTES = 8 << 20
 BLOCK_ROWS = 1 << 17
 BUCKETS_PER_PARTITION = 4
+TURNS = 64  # groups in which the tables of all tasks are added up first
 NO_ID = np.iinfo(np.int64).max  # stands for a null doc_id: after all others, and not smaller than another null
 
 Answers = dict[int, list[bytes]]
@@ -39,7 +40,7 @@ def texts(table: pa.Table) -> list[bytes]:
 
 
 class Blocks:
-    def __init__(self, docs: DataFrame):
+    def __init__(self, docs: DataFrame, block_bytes: int = BLOCK_BYTES):
         spark = docs.sparkSession
         self.spark, self.schema = spark, docs.schema
         self.partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -64,12 +65,12 @@ class Blocks:
                 start = 0
                 while start < batch.num_rows:
                     base = ends[start - 1] if start else 0
-                    stop = max(start + 1, int(np.searchsorted(ends, base + BLOCK_BYTES - size, "right")))
+                    stop = max(start + 1, int(np.searchsorted(ends, base + block_bytes - size, "right")))
                     stop = min(stop, start + BLOCK_ROWS - rows)
                     kept.append(batch.slice(start, stop - start))
                     size, rows = size + int(ends[stop - 1] - base), rows + stop - start
                     start = stop
-                    if start < batch.num_rows or size >= BLOCK_BYTES or rows >= BLOCK_ROWS:
+                    if start < batch.num_rows or size >= block_bytes or rows >= BLOCK_ROWS:
                         yield block()
                         kept, size, rows, k = [], 0, 0, k + 1
             if kept:
@@ -122,6 +123,13 @@ def key_rows(block: int, keys: np.ndarray, buckets: int) -> Iterator[pa.RecordBa
     )
 
 
+def added_up(parts: DataFrame, fn: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    """Sums of (part, counts) rows, one of each part from every task, in two steps: no group holds those of all tasks."""
+    schema = "part int, counts binary"
+    some = parts.withColumn("turn", F.spark_partition_id() % TURNS).groupBy("part", "turn").applyInArrow(fn, schema)
+    return some.groupBy("part").applyInArrow(fn, schema)
+
+
 KEYS = "bucket int, block long, data binary"
 BITS = "block long, bucket int, data binary"
 
