@@ -270,13 +270,13 @@ def near_components(blocks: B.Blocks) -> DataFrame:
     return out
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """The documents, one of each component: that with the smallest doc_id."""
-    blocks = B.Blocks(docs)
+    blocks = B.Blocks(docs, block_bytes)
     first = near_components(blocks).where("first").select("block", F.col("row").alias("bucket"))
 
     def run(block: int, table: pa.Table, answers) -> Iterator[pa.RecordBatch]:
-        yield from table.take(sorted(answers[0])).combine_chunks().to_batches()
+        yield from table.take(pa.array(sorted(answers[0]), pa.int64())).combine_chunks().to_batches()
 
     return blocks.map(run, docs.schema, first)
 
