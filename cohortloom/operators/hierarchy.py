@@ -41,6 +41,7 @@ def with_labels(mapping: DataFrame) -> DataFrame:
 def icd10_mapping(raw: DataFrame, documented_chapters: bool = True) -> DataFrame:
     """ICD-10 hierarchy from the eight positional columns of the category file."""
     spark = raw.sparkSession
+    # fixed values: the column names every hierarchy has, here in the order of the file
     names = ["icd_code", "ccs_code", "icd_desc", "ccs_desc", "ccs1_code", "ccs1_desc", "ccs2_code", "ccs2_desc"]
     codes = ["icd_code", "ccs_code", "ccs1_code", "ccs2_code"]
     df = raw.toDF(*names).withColumns({c: drop_quotes(F.col(c)) for c in codes})
@@ -104,6 +105,7 @@ def icd9_mapping(
         .join(chapters.withColumnRenamed("icd", "icd_code"), "icd_code")
         .join(bridge.select("icd_code", "snomed_code", "snomed_desc"), "icd_code", "left")
     )
+    # fixed values: the column names every hierarchy has
     return with_labels(
         df.select(
             "icd_code",

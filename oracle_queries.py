@@ -255,6 +255,7 @@ placed AS (
   FROM codes CROSS JOIN (VALUES ('documented'), ('raw')) m(mode)
   LEFT JOIN bounds ON CASE mode WHEN 'raw' THEN code BETWEEN raw_low AND raw_high ELSE substr(code, 1, 3) BETWEEN low AND high END)"""
 
+# fixed values: code books of the death records
 BOOKS = """books(col, k, label) AS (VALUES
   ('res', '1', 'resident'), ('res', '2', 'nonresident_intrastate'), ('res', '3', 'nonresident_interterritory'), ('res', '4', 'foreign_resident'),
   ('e89', '00', 'no_education'), ('e89', '01', '1'), ('e89', '02', '2'), ('e89', '03', '3'), ('e89', '04', '4'), ('e89', '05', '5'),
