@@ -3,17 +3,18 @@
 Two documents link when their sets of five-word shingles have a Jaccard similarity of at least 0.75.  The shingles of
 a set are ordered from rare to frequent.  If two sets of n and m shingles link, their prefixes of
 ``n - ceil(0.75 n) + l`` and ``m - ceil(0.75 m) + l`` shingles share at least l of them.  Every document picks its own
-l: a longer prefix costs entries and excludes candidates.  A pair is verified if it shares the smaller of both l.
+l: a longer prefix costs entries and excludes candidates.  A pair is verified if it shares the smaller of both l, and
+more where its sizes ask for more (see ``_enough``).
 
 The order comes from a counting table of fixed size (``SLOTS``), filled from all documents, that is sent to the tasks
-(4 MB, whatever the input).  Several shingles may share a slot; the order is the same for all documents all the same.
+(16 MB, whatever the input).  Several shingles may share a slot; the order is the same for all documents all the same.
 
 1. Equal sets are one class, found by a 128-bit digest; only the representative goes on.
 2. Blocks send their different prefix shingles to buckets and learn which of them others have too (see ``blocks``).
 3. Entries (shingle, document) of shared shingles alone become rows.
-4. Links are only needed as far as they connect.  So every document is first compared with one other of each of its
-   shingles, the one with the least hash, which joins large groups of near copies without forming their pairs.  Then
-   all pairs of different components that share enough prefix shingles are verified.  Pairs inside a component are the
+4. Links are only needed as far as they connect.  So every document is first compared with the ``CENTRES`` others of
+   each of its shingles that have the least hashes, in rounds with other hashes, which joins large groups of near
+   copies without forming their pairs.  Then all pairs of different components that share enough prefix shingles are verified.  Pairs inside a component are the
    only ones left out.
 
 Defined results: letters A-Z are lower-cased; fewer than five words are one shingle; without words, or text, the set
@@ -36,10 +37,12 @@ from cohortloom.session import written
 
 WORDS = 5
 PERCENT = 75
-SLOTS = 1 << 20
-_SLICE = 1 << 14
-MOST_MATCHES = 8
-STAR_ROUNDS = 2
+SLOT_BITS = 22
+SLOTS = 1 << SLOT_BITS
+_SLICE = 1 << 16
+MOST_MATCHES = 32
+STAR_ROUNDS, CENTRES = 3, 8
+FEW = 0.02  # share of linked pairs in a round below which no further round is made
 
 
 def shingle_sets(table: pa.Table) -> list[np.ndarray]:
@@ -71,7 +74,7 @@ def _described(blocks: B.Blocks) -> DataFrame:
             digests[0, k] = mix(s).sum()
             digests[1, k] = mix(s ^ np.uint64(0x9E3779B97F4A7C15)).sum()
         if sets:
-            counts = np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=SLOTS).astype("<u4")
+            counts = np.bincount((np.concatenate(sets) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=SLOTS).astype("<u4")
         n = len(sets)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.full(n, block), pa.int64()), pa.array(np.arange(n), pa.int32()), table.column("doc_id").combine_chunks().cast(pa.int64()),
@@ -105,7 +108,7 @@ def _slot_counts(described: DataFrame) -> np.ndarray:
 
     parts = described.where("row = -1").select("counts").mapInArrow(partial, "part int, counts binary")
     out = np.zeros(SLOTS, np.int64)
-    for row in parts.groupBy("part").applyInArrow(total, "part int, counts binary").collect():
+    for row in B.added_up(parts, total).collect():
         out[row["part"] * _SLICE : (row["part"] + 1) * _SLICE] = np.frombuffer(row["counts"], "<i8")
     return np.minimum(out, 2**32 - 1).astype(np.uint32)
 
@@ -113,7 +116,7 @@ def _slot_counts(described: DataFrame) -> np.ndarray:
 def prefix(shingles: np.ndarray, counts: np.ndarray, usual: float) -> tuple[np.ndarray, int]:
     """The shingles of a document's prefix, and how many of them a partner has to share."""
     n = len(shingles)
-    known = counts[(shingles >> np.uint64(44)).astype(np.int64)]
+    known = counts[(shingles >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
     base = n - -(-PERCENT * n // 100)
     most = min(MOST_MATCHES, n - base)
     order = np.argsort(known, kind="stable")[: base + most]  # rare first; equal counts by hash
@@ -136,7 +139,7 @@ def _prefixes(table: pa.Table, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _entries(blocks: B.Blocks, counts: np.ndarray, chosen: DataFrame) -> DataFrame:
-    """(shingle, node, n, matches) of the representatives, for prefix shingles that two documents have."""
+    """(shingle, node, n, rest) of the representatives, for prefix shingles that two documents have; rest follows the prefix."""
     sent = blocks.spark.sparkContext.broadcast(counts)  # SLOTS numbers of four bytes
     buckets = blocks.buckets
 
@@ -144,7 +147,8 @@ def _entries(blocks: B.Blocks, counts: np.ndarray, chosen: DataFrame) -> DataFra
         yield from B.key_rows(block, np.unique(_prefixes(table, sent.value)[0]), buckets)
 
     def answer(block: int, table: pa.Table, answers) -> Iterator[pa.RecordBatch]:
-        keys, rows, sizes, matches = _prefixes(table, sent.value)
+        keys, rows, sizes, _ = _prefixes(table, sent.value)
+        rest = sizes - np.bincount(rows, minlength=len(sizes))
         different, which = np.unique(keys, return_inverse=True)
         shared = B.key_bits(different, buckets, answers[0]) | (np.bincount(which, minlength=len(different)) > 1)
         mine = np.zeros(len(sizes), bool)
@@ -152,12 +156,12 @@ def _entries(blocks: B.Blocks, counts: np.ndarray, chosen: DataFrame) -> DataFra
         use = shared[which] & mine[rows]
         r = rows[use]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys[use].astype(np.int64)), pa.array(_node(block, r)), pa.array(sizes[r]), pa.array(matches[r])],
-            names=["shingle", "node", "n", "matches"],
+            [pa.array(keys[use].astype(np.int64)), pa.array(_node(block, r)), pa.array(sizes[r]), pa.array(rest[r])],
+            names=["shingle", "node", "n", "rest"],
         )
 
     shared = blocks.meet(blocks.map(ask, B.KEYS), B.shared_keys, B.BITS)
-    return blocks.map(answer, "shingle long, node long, n long, matches long", shared, chosen)
+    return blocks.map(answer, "shingle long, node long, n long, rest long", shared, chosen)
 
 
 def _sets(blocks: B.Blocks, nodes: DataFrame) -> DataFrame:
@@ -178,8 +182,21 @@ def _sets(blocks: B.Blocks, nodes: DataFrame) -> DataFrame:
     return blocks.map(run, "node long, shingles array<long>", wanted)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _enough(met: DataFrame, *also: str, part: float = 1.0) -> DataFrame:
+    """Pairs (a, b) that met at enough shingles, of sizes that can link.
+
+    Of two prefixes the one that ends first has all its matches among those counted, so the sets share no more than
+    these and what follows that prefix.  ``part`` of the number needed is asked for.
+    """
+    sizes = 100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")
+    wanted = F.ceil(PERCENT * (F.col("n") + F.col("m")) / (100 + PERCENT)) - F.greatest("rest", "rest2")
+    counted = met.where(sizes).groupBy("a", "b", *also).agg(F.count(F.lit(1)).alias("c"), F.max(wanted).alias("wanted"))
+    return counted.where(F.col("c") >= part * F.col("wanted")).select("a", "b")
+
+
+def _verified(pairs: DataFrame, blocks: B.Blocks) -> DataFrame:
     """The pairs (a, b) whose sets link."""
+    sets = written(_sets(blocks, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "near_sets")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
@@ -216,8 +233,11 @@ def components(edges: DataFrame) -> DataFrame:
     return roots
 
 
-def _fits(n: str, m: str):
-    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m))
+def _rooted(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The entries with the root of their document's component, its own node as long as it has no link."""
+    if roots is None:
+        return entries.withColumn("root", F.col("node"))
+    return entries.join(roots, "node", "left").select("shingle", "node", "n", "rest", F.coalesce("root", "node").alias("root"))
 
 
 def near_components(blocks: B.Blocks) -> DataFrame:
@@ -234,31 +254,36 @@ def near_components(blocks: B.Blocks) -> DataFrame:
     entries = written(_entries(blocks, counts, chosen), "near_entries")
     several = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("shingle")
     entries = written(entries.join(several, "shingle"), "near_entries")
-    sets = written(_sets(blocks, entries.select("node").distinct()), "near_sets")
 
-    found = None
+
+    # a few other documents per shingle and round; a pair that shares too few that way is left to the second part
+    links = roots = None
     for r in range(STAR_ROUNDS):
-        by = F.xxhash64(F.lit(r), F.col("node"))
-        centre = entries.groupBy("shingle").agg(F.min(F.struct(by.alias("h"), "node", "n")).alias("top")).select("shingle", F.col("top.node").alias("b"), F.col("top.n").alias("m"))
-        pairs = entries.withColumnRenamed("node", "a").join(centre, "shingle").where(F.col("a") != F.col("b")).where(_fits("n", "m"))
-        edges = _verified(pairs.select("a", "b").distinct(), sets)
-        found = edges if found is None else found.unionByName(edges)
-    found = written(found, "near_links")
-    roots = components(found)
+        rooted = _rooted(entries, roots)
+        turns = [F.struct(F.xxhash64(F.lit(r * CENTRES + k), F.col("node")).alias("h"), "node", "root", "n", "rest") for k in range(CENTRES)]
+        centres = rooted.groupBy("shingle").agg(*[F.min(t).alias(f"c{k}") for k, t in enumerate(turns)])
+        top = centres.select("shingle", F.posexplode(F.array(*[f"c{k}" for k in range(CENTRES)])).alias("turn", "top")).select(
+            "shingle", "turn", F.col("top.node").alias("b"), F.col("top.root").alias("root2"), F.col("top.n").alias("m"), F.col("top.rest").alias("rest2"))
+        met = rooted.withColumnRenamed("node", "a").join(top, "shingle").where("root <> root2")
+        pairs = written(_enough(met, "turn", part=0.25).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near_pairs")
+        found = written(_verified(pairs, blocks), "near_links")
+        links = found if links is None else links.unionByName(found)
+        linked = found.count()
+        if linked:
+            roots = components(links)
+        if linked <= FEW * pairs.count():
+            break
 
     # all pairs of different components, by way of the components that meet at a shingle
-    rooted = written(
-        entries.join(roots, "node", "left").select("shingle", "node", "n", "matches", F.coalesce("root", "node").alias("root")), "near_rooted"
-    )
+    rooted = written(_rooted(entries, roots), "near_rooted")
     at = rooted.select("shingle", "root").distinct()
     other = at.select("shingle", F.col("root").alias("root2"))
     meets = at.join(other, "shingle").where("root < root2")
-    left = rooted.select("shingle", "root", F.col("node").alias("a"), "n", "matches")
-    right = rooted.select("shingle", F.col("root").alias("root2"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("matches").alias("matches2"))
-    pairs = meets.join(left, ["shingle", "root"]).join(right, ["shingle", "root2"]).where(_fits("n", "m"))
-    enough = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max(F.least("matches", "matches2")).alias("least")).where("c >= least")
-    more = _verified(enough.select("a", "b"), sets)
-    roots = components(found.unionByName(more))
+    left = rooted.select("shingle", "root", F.col("node").alias("a"), "n", "rest")
+    right = rooted.select("shingle", F.col("root").alias("root2"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("rest").alias("rest2"))
+    rest = _enough(meets.join(left, ["shingle", "root"]).join(right, ["shingle", "root2"]))
+    more = _verified(written(rest, "near_pairs"), blocks)
+    roots = components(links.unionByName(more))
 
     members = rows.join(classes, ["n", "d1", "d2"], "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     members = written(members.select("block", "row", "doc_id", "id", "n", F.coalesce("root", "rep", "node").alias("root"), "node"), "near_members")
