@@ -102,3 +102,21 @@ def test_filter_keeps_columns_and_small_corpora(corpus, docs, none):
     few = Q.quality_report(docs)  # too few rows for any estimate: the base rules alone decide
     assert all(r["kept"] != r["base_failed"] for r in few.collect())
     assert Q.keep_good(none).count() == 0 and Q.keep_good(none).columns == none.columns
+
+
+def test_outliers_in_duplicate_lines_or_repeats_alone(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 7)))
+    prose = lambda n: [word() for _ in range(n)]
+    data = [(k, "\n".join(" ".join(prose(10)) for _ in range(20))) for k in range(300)]
+    short = ["\n".join([*(" ".join(prose(10)) for _ in range(4)), *["menu"] * 36]) for _ in range(3)]  # nine lines of ten
+    phrase = [" ".join(prose(131) + prose(8) * 12) for _ in range(3)]  # two words of five
+    data += [(1000 + k, t) for k, t in enumerate(short)] + [(2000 + k, t) for k, t in enumerate(phrase)]
+    docs = spark.createDataFrame([(k, t, "en", "s0") for k, t in data], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in Q.quality_report(docs).collect()}
+    assert all(r["kept"] for k, r in got.items() if k < 1000)
+    for k, r in got.items():
+        if k >= 1000:
+            assert not r["base_failed"] and not r["kept"], k
+        if k >= 2000:
+            assert r["n_dup_lines"] == 0 and r["n_repeat_words"] > 0
