@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortloom.llm import anchors, archive, imatch, langid, lm, mixing, near, quality, suffixes, tokens
+from cohortloom.llm import anchors, archive, imatch, langid, lm, mixing, near, orchard, quality, suffixes, tokens, whitening, wordpieces
 from cohortloom.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,4 +79,19 @@ def op10_anchors(spark, sf_dir):
     return anchors.repeat_report(_documents(spark, sf_dir))
 
 
-ORACLES |= {"op6_archive": archive.ORACLE_SQL, "op7_mix": mixing.ORACLE_SQL}
+@_query
+def op11_whitening(spark, sf_dir):
+    return whitening.whitening_report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@_query
+def op12_orchard(spark, sf_dir):
+    return orchard.cluster_report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@_query
+def op13_wordpieces(spark, sf_dir):
+    return wordpieces.token_digests(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+ORACLES |= {"op12_orchard": orchard.oracle_sql(), "op6_archive": archive.ORACLE_SQL, "op7_mix": mixing.ORACLE_SQL}
