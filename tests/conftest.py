@@ -25,9 +25,3 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield tune(session)
     session.stop()
-
-
-def rows(df, *columns):
-    """Sorted tuples, for order-free comparison."""
-    picked = df.select(*columns) if columns else df
-    return sorted((tuple(r) for r in picked.collect()), key=lambda t: tuple((v is not None, str(v)) for v in t))

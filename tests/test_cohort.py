@@ -1,7 +1,7 @@
 from cohortloom.operators import cohort as C, explore
 from cohortloom.plans.study import Study
 from cohortloom.sources.registry import source
-from conftest import rows
+from helpers import sorted_rows as rows
 
 TIDY = [
     (1, 1, "a"), (1, 2, "a"), (1, 1, "b"),  # condition 1 again at visit 2, condition 2 at visit 1

@@ -5,11 +5,14 @@ import shutil
 import subprocess
 import sys
 
+import pytest
+
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
-def test_entry_without_training_data(tmp_path):
-    for name in ("__spark_entry__.py", "oracle_queries.py"):
+@pytest.mark.parametrize("left", [(), ("corpus_pipeline.py",)])
+def test_entry_without_training_data(tmp_path, left):
+    for name in ("__spark_entry__.py", "oracle_queries.py", *left):
         shutil.copy(os.path.join(ROOT, name), tmp_path)
     shutil.copytree(os.path.join(ROOT, "cohortloom"), tmp_path / "cohortloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 60 and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"

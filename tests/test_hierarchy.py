@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions import text as X
 from cohortloom.operators import hierarchy as H
-from conftest import rows
+from helpers import sorted_rows as rows
 
 
 def one(spark, column):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from cohortloom.operators import adverse, hospital, mortality, tidy
 from cohortloom.operators.cohort import basket_text
 from cohortloom.sources.fixed_width import MORTALITY_LAYOUT, offsets, parse_fixed_width
-from conftest import rows
+from helpers import sorted_rows as rows
 
 
 def day(text):

@@ -1,7 +1,7 @@
 from pyspark.sql import Window, functions as F
 
 from cohortloom.operators import ranks
-from conftest import rows
+from helpers import sorted_rows as rows
 
 
 def test_dense_rank_within_matches_window(spark):

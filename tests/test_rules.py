@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from cohortloom.operators import rules as R
-from conftest import rows
+from helpers import sorted_rows as rows
 
 
 def txns(spark, baskets):

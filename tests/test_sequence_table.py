@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortloom.operators import sequence_table as T
-from conftest import rows
+from helpers import sorted_rows as rows
 
 FLAGS = ["consec", "non_consec", "embed_consec", "embed_non_consec"]
 SEQUENCES = ["5.2", "5.2 => 5.8", "5.2 => 5.8 => 7.1", "5.2 => 5.8 => 5.2", "5.2 => 5.2 => 5.8", "5.2 => 5.2.1 => 7.1",

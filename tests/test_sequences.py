@@ -5,7 +5,7 @@ from pyspark.ml.fpm import PrefixSpan
 from pyspark.sql import functions as F
 
 from cohortloom.operators import sequences as Q
-from conftest import rows
+from helpers import sorted_rows as rows
 
 # four subjects: visit contents in order
 GOLDEN = {1: [["5.2"], ["5.8"], ["7.1"]], 2: [["5.2", "5.8"], ["7.1"]], 3: [["5.2"], ["5.2"], ["5.8"]], 4: [["5.8"], ["5.2"], ["7.1"]]}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from cohortloom.operators import cohort as C
 from cohortloom.session import forget, lineage_dir, owned, written
 from cohortloom.sources import delimited as D, jdbc, registry, schemas, sinks
-from conftest import rows
+from helpers import sorted_rows as rows
 
 
 def test_csv_missing_tokens_and_gzip(spark, tmp_path):
