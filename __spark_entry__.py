@@ -721,6 +721,15 @@ def association_rules(spark, sf_dir):
     return _flat(_mined_rules(spark, sf_dir))
 
 
+@_query
+def bounded_rules(spark, sf_dir):
+    """Rules of at most ten items between the kinds of goods a customer ever bought."""
+    lines = S.table(spark, sf_dir, "lineitem").join(S.table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    kinds = S.table(spark, sf_dir, "part").select("p_partkey", F.concat("p_type", F.when(F.col("p_size") > 25, " large").otherwise(" small")).alias("item"))
+    bought = lines.join(kinds, F.col("l_partkey") == F.col("p_partkey")).groupBy("o_custkey").agg(F.collect_set("item").alias("items"))
+    return _flat(rules.association_rules(bought, 0.3, 0.8, max_items=10))
+
+
 @_query
 def cohort_rules(spark, sf_dir):
     """Rules between brands within the visits of a cohort."""
@@ -734,7 +743,8 @@ def top_rules(spark, sf_dir):
 
 @_query
 def rule_clusters(spark, sf_dir):
-    return rules.rule_clusters(_mined_rules(spark, sf_dir), k=5)
+    df = rules.rule_clusters(_mined_rules(spark, sf_dir), k=5)
+    return df.select("cluster", "consequent", "n_antecedents", *[F.round(c, 9).alias(c) for c in ("support", "confidence", "lift")])
 
 
 @_query

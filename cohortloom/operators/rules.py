@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame, functions as F
 
+from cohortloom.operators.itemsets import frequent_sets, rules_of
 from cohortloom.operators.sequences import min_count
 from cohortloom.session import written
 
 DEFAULT_SUPPORT = 0.1
 DEFAULT_CONFIDENCE = 0.8
 STATISTICS = ("lift", "confidence", "support")
+LIFT_UNITS = 1_000_000
 
 
 def transactions(items: DataFrame) -> DataFrame:
@@ -29,8 +28,11 @@ def association_rules(
 ) -> DataFrame:
     """Rules ``antecedent ⇒ consequent`` with one item on the right and at least one on the left.
 
-    Thresholds are inclusive and free of rounding noise; arrays are sorted.
+    Thresholds are inclusive and free of rounding noise; arrays are sorted.  With ``max_items`` (both sides together) sets
+    are counted level by level up to that size and never beyond; without it they are mined to the end.
     """
+    if max_items is not None:
+        return rules_of(*frequent_sets(txns, support, max_items), confidence)
     stored = written(txns.select("items"), "transactions")  # the miner reads them twice
     n = stored.count()
     if n == 0:
@@ -43,7 +45,7 @@ def association_rules(
         minSupport=(min_count(support, n) - 0.5) / n,
         minConfidence=max(0.0, confidence - 1e-9),
     ).fit(stored)
-    return model.associationRules.filter(F.size("antecedent") + 1 <= max_items if max_items else F.lit(True)).select(
+    return model.associationRules.select(
         F.array_sort("antecedent").alias("antecedent"), "consequent", "confidence", "lift", "support"
     )
 
@@ -85,30 +87,45 @@ def lift_table(rules: DataFrame) -> DataFrame:
     return lefts.join(flat, ["antecedent", "consequent"], "left").select("antecedent", "consequent", F.coalesce("lift", F.lit(1.0)).alias("lift"))
 
 
-def rule_clusters(rules: DataFrame, k: int = 10, seed: int = 1) -> DataFrame:
+def rule_clusters(rules: DataFrame, k: int = 10, rounds: int = 10) -> DataFrame:
     """Left sides clustered by their lift towards every right side, then collapsed per right side.
 
-    A left side without a rule for some right side has the neutral lift 1 there.  The right sides,
-    frequent single items, are the columns of the pivot.
+    K-means in whole numbers: a coordinate is the lift's distance from the neutral 1 in millionths, 0 where there is no
+    rule, so only the rules themselves are rows.  The k left sides whose names have the smallest SHA-256 are the first centres;
+    equal distances go to the smaller cluster number; a centre becomes the mean of its members, rounded down, and stays if it has
+    none.  It ends after ``rounds`` or when no centre moves.  The result does not depend on the partitioning.
     """
     flat = rules.select(F.array_join("antecedent", ",").alias("lhs"), F.element_at("consequent", 1).alias("rhs"),
                         "support", "confidence", "lift")
     flat = written(flat, "flat_rules")
-    sides = [r["rhs"] for r in flat.select("rhs").distinct().orderBy("rhs").collect()]
-    if not sides:
-        return flat.sparkSession.createDataFrame(
-            [], "cluster int, consequent string, n_antecedents long, support double, confidence double, lift double"
-        )
-    columns = {s: f"_{i}" for i, s in enumerate(sides)}
-    lifts = flat.groupBy("lhs").pivot("rhs", sides).agg(F.max("lift")).na.fill(1.0)
-    lifts = lifts.toDF("lhs", *columns.values())
-    vectors = VectorAssembler(inputCols=list(columns.values()), outputCol="features").transform(lifts)
-    model = KMeans(k=max(k, 2), seed=seed).fit(vectors) if k > 1 else None
-    assigned = (
-        model.transform(vectors).select("lhs", F.col("prediction").alias("cluster"))
-        if model
-        else vectors.select("lhs", F.lit(0).alias("cluster"))
-    )
+    whole = F.round((F.col("lift") - 1) * LIFT_UNITS).cast("decimal(18,0)")
+    points = flat.select("lhs", "rhs", whole.alias("u"))
+    first = points.select("lhs").distinct().orderBy(F.sha2("lhs", 256), "lhs").limit(k).collect()  # k names
+    spark = flat.sparkSession
+    names = spark.createDataFrame([(r["lhs"], i) for i, r in enumerate(first)], "lhs string, cluster int")
+    centres = written(points.join(names, "lhs").filter("u <> 0").select("cluster", "rhs", F.col("u").alias("c")), "rule_centres")
+    state, assigned = None, None
+    for turn in range(rounds + 1):
+        norms = {r["cluster"]: r["s"] for r in centres.groupBy("cluster").agg(F.sum(F.col("c") * F.col("c")).alias("s")).collect()}  # k numbers
+        sizes = F.array(*[F.lit(int(norms.get(i, 0))).cast("decimal(38,0)") for i in range(max(k, 1))][: max(len(first), 1)])
+        dots = points.join(centres, "rhs").groupBy("lhs", "cluster").agg(F.sum(F.col("u") * F.col("c")).alias("dot"))
+        near = dots.groupBy("lhs").agg(F.map_from_entries(F.collect_list(F.struct("cluster", "dot"))).alias("_dots"))  # k entries
+        left = points.select("lhs").distinct().join(near, "lhs", "left")
+        distances = F.transform(sizes, lambda s, i: F.struct((s - 2 * F.coalesce(F.try_element_at("_dots", i), F.lit(0).cast("decimal(38,0)"))).cast("decimal(38,0)").alias("d"), i.alias("i")))
+        assigned = written(left.select("lhs", F.array_min(distances)["i"].alias("cluster")), "rule_clusters")
+        if turn == rounds:
+            break
+        members = assigned.groupBy("cluster").agg(F.count("*").cast("decimal(18,0)").alias("n"))
+        sums = points.join(assigned, "lhs").groupBy("cluster", "rhs").agg(F.sum("u").alias("s")).join(members, "cluster")
+        means = sums.select("cluster", "rhs", F.floor(F.col("s") / F.col("n")).alias("_about"), "s", "n")
+        # the quotient of decimals is rounded, so the whole number next to it is put right by multiplication
+        exact = F.col("_about") - F.when(F.col("_about") * F.col("n") > F.col("s"), 1).otherwise(0)
+        means = means.select("cluster", "rhs", exact.cast("decimal(18,0)").alias("c")).filter("c <> 0")
+        centres = written(means.unionByName(centres.join(members, "cluster", "left_anti")), "rule_centres")
+        now = centres.agg(F.count("*"), F.sum(F.xxhash64("cluster", "rhs", "c").cast("decimal(38,0)"))).head()
+        if now == state:
+            break
+        state = now
     return (
         flat.join(assigned, "lhs")
         .groupBy("cluster", F.col("rhs").alias("consequent"))

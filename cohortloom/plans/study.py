@@ -99,8 +99,10 @@ class Study:
         items = self.temporal_items() if kind == "temporal" else self.association_items()
         return sinks.write_baskets(items, root, self.spec, self.source.name, kind)
 
-    def rules(self, support: float = R.DEFAULT_SUPPORT, confidence: float = R.DEFAULT_CONFIDENCE) -> DataFrame:
-        return R.association_rules(R.transactions(self.rule_items()), support, confidence)
+    def rules(
+        self, support: float = R.DEFAULT_SUPPORT, confidence: float = R.DEFAULT_CONFIDENCE, max_items: int | None = None
+    ) -> DataFrame:
+        return R.association_rules(R.transactions(self.rule_items()), support, confidence, max_items)
 
     def top_rules(self, by: str = "lift", n: int = 10, **thresholds) -> DataFrame:
         return R.top_rules(self.rules(**thresholds), by, n)

@@ -208,6 +208,42 @@ flat AS (SELECT antecedent, consequent, round(raw_confidence, 9) AS confidence,
 TYPE_ITEMS = "SELECT DISTINCT subject_id, admit_id, ccs1_desc AS item FROM visits JOIN hier USING (icd_code)"
 TYPE_RULES = f"WITH RECURSIVE {VISITS}, {HIER}, {_rules(TYPE_ITEMS, 0.02, 0.3)}"
 
+
+
+def _clustered(k: int, rounds: int) -> str:
+    """Left sides of ``flat`` by k-means in whole numbers, every distance worked out over full rows."""
+    distance = "list_sum(list_transform(list_zip(p.v, c.v), lambda x: (x[1] - x[2]) * (x[1] - x[2])))"
+    steps = ["""lefts AS (SELECT DISTINCT antecedent AS lhs FROM flat), rights AS (SELECT DISTINCT consequent AS rhs FROM flat),
+points AS MATERIALIZED (
+  SELECT l.lhs, list(CAST(round((coalesce(f.raw_lift, 1) - 1) * 1000000) AS HUGEINT) ORDER BY r.rhs) AS v
+  FROM lefts l CROSS JOIN rights r LEFT JOIN rules f ON f.antecedent = l.lhs AND f.consequent = r.rhs GROUP BY l.lhs)""",
+             f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256(lhs), lhs) - 1 AS k, v FROM points QUALIFY k < {k})"""]
+    for t in range(rounds + 1):
+        steps.append(f"""a{t} AS MATERIALIZED (SELECT lhs, min(k) AS k FROM (
+  SELECT p.lhs, c.k, {distance} AS d, min(d) OVER (PARTITION BY p.lhs) AS least FROM points p CROSS JOIN c{t} c) WHERE d = least GROUP BY lhs)""")
+        if t < rounds:
+            steps.append(f"""c{t + 1} AS MATERIALIZED (SELECT o.k, coalesce(m.v, o.v) AS v FROM c{t} o LEFT JOIN (
+  SELECT k, list((s - ((s % n + n) % n)) // n ORDER BY i) AS v FROM (
+    SELECT k, i, sum(e) AS s, count(*) AS n FROM (SELECT a.k, unnest(p.v) AS e, unnest(range(len(p.v))) AS i FROM points p JOIN a{t} a USING (lhs)) GROUP BY k, i)
+  GROUP BY k) m USING (k))""")
+    return ",\n".join(steps)
+
+
+BOUNDED_RULES = """WITH kinds AS (SELECT p_partkey, p_type || CASE WHEN p_size > 25 THEN ' large' ELSE ' small' END AS item FROM part),
+bought AS (SELECT DISTINCT o_custkey AS txn, item FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN kinds ON l_partkey = p_partkey),
+numbers AS (SELECT item, row_number() OVER (ORDER BY item) - 1 AS i FROM (SELECT DISTINCT item FROM bought)),
+masks AS MATERIALIZED (SELECT mask, count(*) AS w FROM (SELECT txn, bit_or(CAST(1 AS BIGINT) << i) AS mask FROM bought JOIN numbers USING (item) GROUP BY txn) GROUP BY mask),
+total AS (SELECT sum(w) AS n FROM masks),
+sets AS MATERIALIZED (
+  SELECT s, sum(w) AS hits FROM (SELECT unnest(range(1, (SELECT CAST(1 AS BIGINT) << count(*) FROM numbers))) AS s) JOIN masks ON mask & s = s
+  WHERE bit_count(s) <= 10 GROUP BY s HAVING sum(w) >= (SELECT ceil(round(0.3 * n, 9)) FROM total)),
+names AS (SELECT s, array_to_string(list(item ORDER BY item), ',') AS items FROM sets JOIN numbers ON (s >> i) & 1 = 1 GROUP BY s)
+SELECT names.items AS antecedent, numbers.item AS consequent, round(w.hits / a.hits, 9) AS confidence,
+       round(w.hits / a.hits / (r.hits / n), 9) AS lift, round(w.hits / n, 9) AS support
+FROM sets w JOIN numbers ON (w.s >> i) & 1 = 1 JOIN sets a ON a.s = w.s - (CAST(1 AS BIGINT) << i) JOIN names ON names.s = a.s
+     JOIN sets r ON r.s = CAST(1 AS BIGINT) << i, total
+WHERE w.hits / a.hits >= 0.8 - 1e-9"""
+
 RAW_LEVELS = """raw AS (
   SELECT CAST(p_partkey AS VARCHAR) AS icd_code, p_type AS c1, lower(p_type) || ' goods [ ' || p_size || '.], all' AS d1,
          CASE WHEN p_size > 10 THEN p_brand END AS c2, CASE WHEN p_size > 15 THEN p_brand || ', [x] and [y]' END AS d2,
@@ -478,6 +514,11 @@ SELECT * FROM flat""",
     "rule_sides": f"""{TYPE_RULES}
 SELECT consequent, count(*) AS n_antecedents, round(avg(lift), 9) AS lift, round(avg(confidence), 9) AS confidence, round(avg(support), 9) AS support
 FROM flat GROUP BY consequent""",
+    "bounded_rules": BOUNDED_RULES,
+    "rule_clusters": f"""{TYPE_RULES}, {_clustered(5, 10)}
+SELECT k AS cluster, consequent, count(*) AS n_antecedents, round(avg(raw_support), 9) AS support, round(avg(raw_confidence), 9) AS confidence,
+       round(avg(raw_lift), 9) AS lift
+FROM rules JOIN a10 ON lhs = antecedent GROUP BY k, consequent""",
     "rule_lift_table": f"""{TYPE_RULES}
 SELECT a.antecedent, c.consequent, coalesce(f.lift, 1.0) AS lift
 FROM (SELECT DISTINCT antecedent FROM flat) a CROSS JOIN (SELECT DISTINCT consequent FROM flat) c

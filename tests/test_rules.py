@@ -1,6 +1,10 @@
+import hashlib
+import math
+import random
+
 from pyspark.sql import functions as F
 
-from cohortloom.operators import rules as R
+from cohortloom.operators import itemsets as I, rules as R
 from helpers import sorted_rows as rows
 
 
@@ -46,6 +50,34 @@ def test_rule_length(spark):
     assert max(len(r["antecedent"]) for r in R.association_rules(txns(spark, baskets), 0.5, max_items=2).collect()) == 1
 
 
+def test_bounded_rules_are_those_of_the_full_mining(spark):
+    rng = random.Random(2)
+    baskets = [[c for c in "abcdefg" if rng.random() < p] for p in [rng.random() for _ in range(150)]] + [[], ["a", "a", "b"]]
+    df = txns(spark, [sorted(set(b)) for b in baskets]).repartition(3)
+
+    def flat(rules):
+        return sorted((",".join(r["antecedent"]), r["consequent"][0], round(r["confidence"], 9), round(r["lift"], 9), round(r["support"], 9)) for r in rules.collect())
+
+    full = flat(R.association_rules(df, 0.15, 0.5))
+    for most in (1, 2, 3, 5, 7, 20):
+        assert flat(R.association_rules(df, 0.15, 0.5, max_items=most)) == [r for r in full if r[0].count(",") + 2 <= most]
+
+
+def test_bounded_sets_at_any_size(spark):
+    """One transaction in each of several words of bits, a hot item, nulls and repeats."""
+    baskets = [["h", "x"] for _ in range(130)] + [["h", None, "h"] for _ in range(200)] + [None, []]
+    sets, n = I.frequent_sets(txns(spark, baskets).repartition(5), 0.3, 4)
+    assert n == 332 and rows(sets.select(F.array_join("items", ",").alias("i"), "hits")) == [("h", 330), ("h,x", 130), ("x", 130)]
+    sets, n = I.frequent_sets(txns(spark, []), 0.3, 4)
+    assert n == 0 and sets.count() == 0
+
+
+def test_twelve_items_stop_at_ten(spark):
+    sets, _ = I.frequent_sets(txns(spark, [list("abcdefghijkl")] * 3), 1.0, 10)
+    sizes = {r["k"]: r["count"] for r in sets.groupBy(F.size("items").alias("k")).count().collect()}
+    assert sizes == {k: math.comb(12, k) for k in range(1, 11)}
+
+
 def test_empty(spark):
     assert R.association_rules(txns(spark, []), 0.5).count() == 0
     assert R.rule_clusters(R.association_rules(txns(spark, []), 0.5)).count() == 0
@@ -77,3 +109,38 @@ def test_clusters(spark):
         got = R.rule_clusters(rules, k).collect()
         assert len({r["cluster"] for r in got}) <= k
         assert sum(r["n_antecedents"] for r in got) == rules.count()
+
+
+def brute_clusters(rules, k, rounds):
+    points, rights = {}, sorted({r["consequent"][0] for r in rules})
+    for r in rules:
+        points.setdefault(",".join(r["antecedent"]), dict.fromkeys(rights, 0))[r["consequent"][0]] = round((r["lift"] - 1) * R.LIFT_UNITS)
+    first = sorted(points, key=lambda lhs: (hashlib.sha256(lhs.encode()).hexdigest(), lhs))[:k]
+    centres = [dict(points[lhs]) for lhs in first]
+
+    def near(p):
+        return min((sum((p[r] - c[r]) ** 2 for r in rights), i) for i, c in enumerate(centres))[1]
+
+    for _ in range(rounds):
+        groups = {}
+        for p in points.values():
+            groups.setdefault(near(p), []).append(p)
+        centres = [{r: sum(p[r] for p in groups[i]) // len(groups[i]) for r in rights} if i in groups else c for i, c in enumerate(centres)]
+    return {lhs: near(p) for lhs, p in points.items()}
+
+
+def test_clusters_do_not_follow_partitions(spark):
+    rng = random.Random(6)
+    baskets = [[c for c in "abcdef" if rng.random() < rng.choice((0.3, 0.8))] for _ in range(60)]
+    rules = R.association_rules(txns(spark, baskets), 0.05, 0.2)
+    stored = rules.collect()
+    back = spark.createDataFrame(stored, rules.schema)
+    for k, rounds, partitions in ((1, 2, (3,)), (4, 0, (1,)), (4, 10, (1, 7)), (1000, 1, (2,))):
+        expected = {}
+        for lhs, cluster in brute_clusters(stored, k, rounds).items():
+            for r in stored:
+                if ",".join(r["antecedent"]) == lhs:
+                    expected.setdefault((cluster, r["consequent"][0]), []).append(r["lift"])
+        for parts in partitions:
+            got = R.rule_clusters(back.repartition(parts), k, rounds).collect()
+            assert {(r["cluster"], r["consequent"]): (r["n_antecedents"], round(r["lift"], 9)) for r in got} == {key: (len(v), round(sum(v) / len(v), 9)) for key, v in expected.items()}
