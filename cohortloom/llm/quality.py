@@ -11,8 +11,8 @@ languages with fewer those of the whole corpus; below that no document is an out
 base rules take part in the estimates.
 
 Defined results: null text has no words and fails; null language or source is a group of its own; repeated rows count
-as often as they stand there; equal distances fall on the same side; a statistic without spread keeps the scale in
-``FEATURES``; empty tables give empty results; further columns, also those named like a statistic, are kept.
+as often as they stand there; equal distances fall on the same side; in a direction without spread the scale
+in ``FEATURES`` holds; empty tables give empty results; further columns, also those named like a statistic, are kept.
 """
 
 from __future__ import annotations
@@ -126,6 +126,16 @@ def _distance(center: Column, inverse: Column, xs: list[Column]) -> Column:
     return total
 
 
+def inverse_scatter(cov: np.ndarray, floors: np.ndarray) -> np.ndarray:
+    """Inverse of a scatter that gets at least the spread of the floors in every direction, not only along the axes.
+
+    So copies of one or two texts, or features that follow each other, leave a scatter that can be inverted, and no distance is negative.
+    """
+    values, turn = np.linalg.eigh(cov / np.outer(floors, floors))
+    scaled = turn / floors[:, None]
+    return (scaled / np.maximum(values, 1.0)) @ scaled.T
+
+
 def _scatter_to_inverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Centre and inverse scatter of each group, from its count, sums and sums of products."""
     floors = np.array(list(FEATURES.values()))
@@ -141,11 +151,9 @@ def _scatter_to_inverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             cov = np.zeros((p, p))
             cov[upper] = products / n
             cov = (cov + np.triu(cov, 1).T - np.outer(mean, mean)) * consistency
-            spread = np.sqrt(np.maximum(np.diag(cov), 0))
-            cov[np.diag_indices(p)] = np.maximum(spread, floors) ** 2
             out["_group"].append(row["_group"])
             out["center"].append(mean.tolist())
-            out["inverse"].append(np.linalg.inv(cov).ravel().tolist())
+            out["inverse"].append(inverse_scatter(cov, floors).ravel().tolist())
             out["n"].append(row["n"])
         yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("_group", pa.string()), ("center", pa.list_(pa.float64())), ("inverse", pa.list_(pa.float64())), ("n", pa.int64())]))
 

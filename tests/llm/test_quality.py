@@ -67,12 +67,50 @@ def brute_distances(found):
         near = found[cls <= edge]
         center = near.mean(axis=0)
         cov = np.cov(near.T, bias=True) * Q.SUPPORT / Q._chi2_cdf(q, p + 2)
-        cov[np.diag_indices(p)] = np.maximum(np.sqrt(np.diag(cov)), floors) ** 2
-        inverse = np.linalg.inv(cov)
+        inverse = np.linalg.inv(lifted(cov, floors))
     d = found - center
     return np.einsum("ni,ij,nj->n", d, inverse, d)
 
 
+def lifted(cov, floors):
+    """At least the spread of the floors in every direction, term by term."""
+    values, turn = np.linalg.eigh(cov / floors[:, None] / floors[None, :])
+    out = np.zeros_like(cov)
+    for value, direction in zip(values, turn.T):
+        out += max(value, 1.0) * np.outer(direction * floors, direction * floors)
+    return out
+
+
+def test_scatter_of_degenerate_groups():
+    floors = np.array(list(Q.FEATURES.values()))
+    rng = np.random.default_rng(2)
+    line = np.outer(rng.normal(size=50), [1.0, 0.5, 2.0, -1.0])
+    groups = [np.ones((30, 4)), np.repeat([[1.0, 0, 0, 0], [1.2, 0.5, 0.5, 0.5]], 20, axis=0), line, rng.normal(size=(40, 4)) * 1e-9, rng.normal(size=(60, 4))]
+    for x in groups:
+        cov = (x - x.mean(0)).T @ (x - x.mean(0)) / len(x)
+        for noise in (0.0, 1e-17, -1e-17):  # rounding of sums
+            inverse = Q.inverse_scatter(cov + noise, floors)
+            assert np.linalg.eigvalsh(inverse).min() > 0
+            assert np.allclose(inverse @ lifted(cov + noise, floors), np.eye(4), atol=1e-6)
+            step = rng.normal(size=(100, 4)) * floors / 2
+            assert (np.einsum("ni,ij,nj->n", step, inverse, step) <= 1.0001 * ((step / floors) ** 2).sum(1)).all()
+
+
+@pytest.mark.parametrize("first,second", [(120, 80), (100, 100), (200, 0)])
+def test_groups_of_copies(spark, first, second):
+    """Copies of one or two pages: nothing fails, no distance is negative, and a page near the line between them stays."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 7))) for _ in range(240)]
+    lines = [" ".join(words[k : k + 10]) for k in range(0, 200, 10)]
+    clean, repeated = "\n".join(lines), "\n".join([*lines[:15], *lines[:5]])
+    near = "\n".join([*lines[:18], lines[0], " ".join(words[200:210])])  # one line twice
+    data = [(k, clean) for k in range(first)] + [(1000 + k, repeated) for k in range(second)] + [(2000, near)]
+    docs = spark.createDataFrame([(k, t, "en", "s0") for k, t in data], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in Q.quality_report(docs).collect()}
+    assert len(got) == len(data) and all(r["distance"] >= 0 for r in got.values())
+    assert got[0]["kept"] and (second == 0 or (got[1000]["kept"] and got[2000]["kept"]))
+
+
 def test_report(corpus):
     got = {r["doc_id"]: r for r in Q.quality_report(corpus).collect()}
     data = _corpus()
