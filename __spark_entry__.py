@@ -14,8 +14,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from cohortloom.functions.levels import level  # noqa: E402
 from cohortloom.functions.text import label_code_column  # noqa: E402
 from cohortloom.operators import (  # noqa: E402
-    adverse, cohort as C, explore, hierarchy as H, hospital, mortality, ranks, rules, sequence_table as T,
-    sequences as Q, tidy,
+    adverse, cohort as C, explore, hierarchy as H, hospital, itemset_sequences as L, mortality, ranks, rules,
+    sequence_table as T, sequences as Q, tidy,
 )
 from cohortloom.plans import load, standin as S  # noqa: E402
 from cohortloom.plans.study import Study  # noqa: E402
@@ -592,7 +592,7 @@ def frequent_event_sequences(spark, sf_dir):
 
 @_query
 def frequent_itemset_sequences(spark, sf_dir):
-    mined = Q.frequent_itemset_sequences(_items(spark, sf_dir, "ccs1"), 0.8)
+    mined = L.frequent_itemset_sequences(_items(spark, sf_dir, "ccs1"), 0.8)
     return T.as_table(mined).select("sequence", F.round("support", 9).alias("support"))
 
 

@@ -1,0 +1,114 @@
+"""Frequent sequences of item sets, grown item by item in one lattice.
+
+A pattern grows in two ways: an item joins its last visit, or comes at a later one.  For a subject and a pattern there is one row with a
+bit for every visit at which the pattern can end (Ayres et al. 2002); both steps are bit operations on the rows of two patterns that differ
+in their last item only: common bits, or the bits beyond the first end.
+
+Patterns with the same parent form a class.  What may be added to a pattern is among the last items of its class: an item
+that is too rare after, or together with, the end of the parent is too rare after or with the pattern as well.  Rows of a level meet by subject and
+pattern, so no key holds all patterns of a subject.  A subject's visits take one bit each per pattern, 63 to a number.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from cohortloom.operators.sequences import DEFAULT_SUPPORT, min_count, occurrences
+from cohortloom.session import forget, written
+
+BITS = 63  # of a number, so that it is never negative
+
+
+def visit_bits(rows: DataFrame) -> DataFrame:
+    """(subject_id, state, bits): bit ``visit`` modulo 63 of number ``visit`` by 63 is set for every visit with the state."""
+    word = F.floor(F.col("visit") / BITS).cast("int")
+    bit = F.expr(f"shiftleft(1L, cast(visit % {BITS} as int))")
+    words = rows.groupBy("subject_id", "state", word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    whole = words.groupBy("subject_id", "state").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("_words"), F.max("word").alias("_last"))
+    filled = F.transform(F.sequence(F.lit(0), F.col("_last")), lambda w: F.coalesce(F.try_element_at("_words", w), F.lit(0).cast("long")))
+    return whole.select("subject_id", "state", filled.alias("bits"))
+
+
+def _together(a: Column, b: Column) -> Column:
+    """Common bits; the longer one ends where the shorter does."""
+    short = F.slice(a, 1, F.least(F.size(a), F.size(b)))
+    return F.transform(short, lambda x, i: x.bitwiseAND(F.get(b, i)))
+
+
+def _first(bits: str) -> list[Column]:
+    """Place of the first set bit: number and bit."""
+    number = F.array_position(F.transform(bits, lambda x: x != 0), True) - 1
+    return [number.cast("int").alias("_number"), F.expr(f"cast(bit_count((_low & -_low) - 1) as int)").alias("_bit")]
+
+
+def _beyond(b: Column, number: Column, bit: Column) -> Column:
+    """The bits after a place."""
+    kept = F.call_function("shiftleft", F.call_function("shiftright", F.get(b, number), bit + 1), bit + 1)
+    return F.transform(b, lambda x, j: F.when(j > number, x).when(j == number, kept).otherwise(F.lit(0).cast("long")))
+
+
+def _steps(found: DataFrame, max_elements: int | None, max_items: int | None) -> DataFrame:
+    """What each pattern (``id``) may be grown by: the last item of another pattern of its class (``other``)."""
+    left = found.select("parent", "id", F.col("later").alias("_later"), F.col("item").alias("_item"), "states")
+    right = found.select("parent", F.col("id").alias("other"), F.col("later").alias("_step"), "item")
+    pairs = left.join(right, "parent")
+    same = pairs.filter((F.col("_later") == F.col("_step")) & (F.col("_item") < F.col("item"))).withColumn("later", F.lit(False))
+    if max_items is not None:
+        same = same.filter(F.size(F.element_at("states", -1)) < max_items)
+    later = pairs.filter("_step").withColumn("later", F.lit(True))
+    if max_elements is not None:
+        later = later.filter(F.size("states") < max_elements)
+    return same.unionByName(later).select("id", "other", "later", "item")
+
+
+def frequent_itemset_sequences(
+    items: DataFrame, support: float = DEFAULT_SUPPORT, max_elements: int | None = None, max_items: int | None = None
+) -> DataFrame:
+    """Frequent sequences whose elements are item sets: ``states array<array<string>>``, ``count``, ``support``.
+
+    ``items(subject_id, admit_id, item)`` has visits numbered 1, 2, … within a subject.  ``max_elements`` bounds the visits of a
+    sequence and ``max_items`` the items of a visit; without them mining goes on until nothing is found.
+    """
+    bits = written(visit_bits(occurrences(items).filter("state is not null")), "visit_bits")
+    n = items.select("subject_id").distinct().count()
+    least = min_count(support, n)
+    counts = bits.groupBy(F.col("state").alias("item")).agg(F.count("*").alias("count")).filter(F.col("count") >= least)
+    found = written(
+        counts.select(F.monotonically_increasing_id().alias("id"), F.lit(-1).cast("long").alias("parent"), F.lit(True).alias("later"), "item",
+                      F.array(F.array("item")).alias("states"), "count"),
+        "lattice_1",
+    )
+    level = bits.join(found.select(F.col("item").alias("state"), "id"), "state").select("subject_id", "id", "bits")
+    results, grown_before, size = [found], bits, 1
+    while True:
+        size += 1
+        steps = written(_steps(found, max_elements, max_items), "lattice_steps")
+        ends = level.withColumn("_low", F.get(F.filter("bits", lambda x: x != 0), F.lit(0))).select("subject_id", "id", "bits", *_first("bits"))
+        mates = level.select("subject_id", F.col("id").alias("other"), F.col("bits").alias("_other"))
+        both = ends.join(steps.select("id", "other", "later"), "id").join(mates, ["subject_id", "other"])
+        result = F.when(F.col("later"), _beyond(F.col("_other"), F.col("_number"), F.col("_bit"))).otherwise(_together(F.col("bits"), F.col("_other")))
+        grown = both.select("subject_id", "id", "other", "later", result.alias("bits")).filter(F.exists("bits", lambda x: x != 0))
+        grown = written(grown, f"lattice_grown_{size}")
+        hits = grown.groupBy("id", "other", "later").agg(F.count("*").alias("count")).filter(F.col("count") >= least)
+        parents = found.select("id", "states")
+        last = F.concat(F.element_at("states", -1), F.array("item"))
+        states = F.when(F.col("later"), F.concat("states", F.array(F.array("item")))).otherwise(
+            F.concat(F.slice("states", 1, F.size("states") - 1), F.array(last)))
+        found = written(
+            hits.join(steps, ["id", "other", "later"]).join(parents, "id").select(
+                F.monotonically_increasing_id().alias("_new"), F.col("id").alias("parent"), "other", "later", "item", states.alias("states"), "count"),
+            f"lattice_{size}",
+        ).withColumnRenamed("_new", "id")
+        forget(grown_before)
+        grown_before = grown
+        if found.isEmpty():
+            break
+        results.append(found)
+        key = found.select(F.col("parent").alias("_id"), F.col("other").alias("_mate"), F.col("later").alias("_later"), F.col("id").alias("_new"))
+        match = (F.col("id") == F.col("_id")) & (F.col("other") == F.col("_mate")) & (F.col("later") == F.col("_later"))
+        level = grown.join(key, match).select("subject_id", F.col("_new").alias("id"), "bits")
+    forget(grown_before)
+    mined = reduce(DataFrame.unionByName, [r.select("states", "count") for r in results])
+    return mined.withColumn("support", F.col("count") / F.lit(n))

@@ -4,8 +4,7 @@ A subject supports a sequence if its elements occur in visits of strictly rising
 earliest visit at which a subject completes a sequence matters for extending it, so a level holds one
 row per (subject, sequence) it contains: never a subject's whole history, and never all pairs of its
 rows.  Candidates are formed from frequent sequences that overlap in all but their ends (Srikant &
-Agrawal 1996); itemset elements are handled by first mining the frequent itemsets and then treating
-each as one item (Agrawal & Srikant 1995).
+Agrawal 1996).  Sequences of item sets are grown in ``itemset_sequences``.
 """
 
 from __future__ import annotations
@@ -164,87 +163,3 @@ def frequent_sequences(
 ) -> DataFrame:
     """Frequent sequences of single items: all that the sequence table keeps in the end."""
     return mine(occurrences(items), support, max_elements)
-
-
-def frequent_itemset_sequences(
-    items: DataFrame, support: float = DEFAULT_SUPPORT, max_elements: int | None = None, max_items: int | None = None
-) -> DataFrame:
-    """Frequent sequences whose elements are item sets, as ``states array<array<string>>``."""
-    rows = written(occurrences(items).distinct(), "occurrences")
-    n = rows.select("subject_id").distinct().count()
-    held, sets = frequent_itemsets(rows, support, n, max_items)
-    forget(rows)
-    mined = mine(held.withColumnRenamed("id", "state"), support, max_elements, n)
-    forget(held)
-    return (
-        mined.select("states", "count", "support", F.posexplode("states").alias("_pos", "id"))
-        .join(sets, "id")
-        .groupBy("states", "count", "support")
-        .agg(F.array_sort(F.collect_list(F.struct("_pos", "items"))).alias("_sets"))
-        .select(F.transform("_sets", lambda s: F.array_sort(s["items"])).alias("states"), "count", "support")
-    )
-
-
-def frequent_itemsets(
-    rows: DataFrame, support: float, n: int, max_items: int | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """Item sets found together in a visit of enough subjects.
-
-    Returns where they occur, ``(subject_id, visit, id)``, and what they are, ``(id, items)``.  Sets
-    grow by one larger item at a time, along candidates whose two overlapping subsets are frequent;
-    an item meets only the sets of its own visit.
-    """
-    least = min_count(support, n)
-
-    def supported(occ: DataFrame, *key: str) -> DataFrame:
-        pairs = occ.select("subject_id", *key).distinct()
-        return pairs.groupBy(*key).agg(F.count("*").alias("count")).filter(F.col("count") >= least)
-
-    def numbered(size: int) -> Column:
-        """Ids that differ between sizes as well."""
-        return (F.monotonically_increasing_id() + F.lit(size << 56)).alias("id")
-
-    found = written(
-        supported(rows, "state").select(numbered(1), "state", F.array("state").alias("items")), "itemsets_1"
-    )
-    names = found.select(F.col("id").alias("item"), "state")
-    level = written(rows.join(names, "state").select("subject_id", "visit", F.col("item").alias("id"), "item"), "held_1")
-    singles = level.select("subject_id", "visit", "item")
-    held, sets, spent = [level.drop("item")], [found.select("id", "items")], [level]
-    found = found.select("id", F.lit(0).cast("long").alias("parent"), F.col("id").alias("item"), "items")
-    for size in _sizes(max_items):
-        parents = level.select("subject_id", "visit", F.col("id").alias("parent"), F.col("item").alias("_last"))
-        if size == 2:  # every larger frequent item of the same visit is a candidate
-            grown = parents.join(singles, ["subject_id", "visit"]).filter("_last < item")
-        else:
-            grown = parents.join(_set_candidates(found), "parent").join(singles, ["subject_id", "visit", "item"])
-        grown = written(grown.select("subject_id", "visit", "parent", "item"), f"grown_set_{size}")
-        spent.append(grown)
-        found = written(
-            supported(grown, "parent", "item")
-            .join(found.select(F.col("id").alias("parent"), "items"), "parent")
-            .join(names, "item")
-            .select(
-                numbered(size), "parent", "item",
-                F.concat("items", F.array("state")).alias("items"),
-            ),
-            f"itemsets_{size}",
-        )
-        if found.isEmpty():
-            break
-        level = grown.join(found.select("parent", "item", "id"), ["parent", "item"]).select(
-            "subject_id", "visit", "id", "item"
-        )
-        held.append(level.drop("item"))
-        sets.append(found.select("id", "items"))
-    everywhere = written(_union(held), "held")
-    for table in spent:
-        forget(table)
-    return everywhere, _union(sets)
-
-
-def _set_candidates(found: DataFrame) -> DataFrame:
-    """Larger items that some frequent set adds to the same smaller set."""
-    left = found.select(F.col("id").alias("parent"), F.col("parent").alias("_shared"), F.col("item").alias("_own"))
-    right = found.select(F.col("parent").alias("_shared"), "item")
-    return left.join(right, "_shared").filter("_own < item").select("parent", "item")
