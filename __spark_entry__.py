@@ -14,7 +14,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from cohortloom.functions.levels import level  # noqa: E402
 from cohortloom.functions.text import label_code_column  # noqa: E402
 from cohortloom.operators import (  # noqa: E402
-    adverse, cohort as C, explore, hierarchy as H, hospital, itemset_sequences as L, mortality, ranks, rules,
+    adverse, cohort as C, explore, hierarchy as H, hospital, mortality, ranks, rules,
     sequence_table as T, sequences as Q, tidy,
 )
 from cohortloom.plans import load, standin as S  # noqa: E402
@@ -592,7 +592,7 @@ def frequent_event_sequences(spark, sf_dir):
 
 @_query
 def frequent_itemset_sequences(spark, sf_dir):
-    mined = L.frequent_itemset_sequences(_items(spark, sf_dir, "ccs1"), 0.8)
+    mined = Q.frequent_itemset_sequences(_items(spark, sf_dir, "ccs1"), 0.8)
     return T.as_table(mined).select("sequence", F.round("support", 9).alias("support"))
 
 
@@ -634,10 +634,9 @@ def event_path_flags(spark, sf_dir):
 
 
 @_query
-def event_path_flags_seven_states(spark, sf_dir):
-    """The users' first seven days; two exceptions hold in padded tables of seven states."""
-    table = S.event_paths(spark, sf_dir, days=7)
-    return _path_flags(written(table, "paths"))
+def event_weekday_flags(spark, sf_dir):
+    """A state for each day of the week; two exceptions hold in padded tables of seven states."""
+    return _path_flags(written(S.event_paths(spark, sf_dir, weekdays=True), "paths"))
 
 
 @_query

@@ -1,66 +1,19 @@
-"""Frequent sequences of visit contents, mined level by level with joins and counts.
-
-A subject supports a sequence if its elements occur in visits of strictly rising number.  Only the
-earliest visit at which a subject completes a sequence matters for extending it, so a level holds one
-row per (subject, sequence) it contains: never a subject's whole history, and never all pairs of its
-rows.  Candidates are formed from frequent sequences that overlap in all but their ends (Srikant &
-Agrawal 1996).  Sequences of item sets are grown in ``itemset_sequences``.
-"""
+"""Frequent sequences of visit contents: thresholds, visit numbers, and the two kinds of sequences that are asked for."""
 
 from __future__ import annotations
 
-import math
-from functools import reduce
-from itertools import count
-
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from cohortloom.operators import lattice
+from cohortloom.operators.lattice import min_count  # noqa: F401
 from cohortloom.operators.ranks import dense_rank_within
-from cohortloom.session import forget, written
 
 DEFAULT_SUPPORT = 0.25
 
-# Visits per index chunk: bounds what one row can hold, whatever a subject's length.
+# Visits of a subject that are numbered together, whatever the length of its history.
 CHUNK = 256
 
 
-def min_count(support: float, n: int) -> int:
-    """Smallest number of hits that reaches a relative support, free of rounding noise."""
-    return max(1, math.ceil(round(support * n, 9)))
-
-
-def _chunk(col: Column) -> Column:
-    return F.floor(col / CHUNK).cast("int")
-
-
-def visit_index(occurrences: DataFrame) -> DataFrame:
-    """Where each state occurs next: (subject_id, state, _chunk, visits, after, first).
-
-    One row for every chunk of visits up to the last one with the state: its visits there, in order, and
-    the first one after the chunk.  From a position in the chunk the state comes next at the first of
-    ``visits`` beyond it, or else at ``after``.  ``first`` is set in one row per subject and state: the
-    earliest visit.  Windows see the first visit of a chunk, not the visits.
-    """
-    keys = ["subject_id", "state"]
-    chunks = occurrences.groupBy(*keys, _chunk(F.col("visit")).alias("_chunk")).agg(
-        F.array_sort(F.collect_set("visit")).alias("visits")
-    )
-    inside = Window.partitionBy(*keys).orderBy("_chunk")
-    firsts = chunks.select(*keys, "_chunk", F.get("visits", F.lit(0)).alias("_first"))
-    around = firsts.select(
-        *keys, "_chunk", "_first", F.lag("_chunk").over(inside).alias("_before"), F.lead("_first").over(inside).alias("_after")
-    )
-    spread = chunks.join(around, [*keys, "_chunk"]).withColumn(
-        "_at", F.explode(F.sequence(F.coalesce(F.col("_before") + 1, F.lit(0)), F.col("_chunk")))
-    )
-    here = F.col("_at") == F.col("_chunk")
-    return spread.select(
-        *keys, F.col("_at").alias("_chunk"), F.when(here, F.col("visits")).otherwise(F.array().cast("array<int>")).alias("visits"),
-        F.when(here, F.col("_after")).otherwise(F.col("_first")).alias("after"),
-        F.when(here & F.col("_before").isNull(), F.col("_first")).alias("first"),
-    )
-
-
 def renumber_visits(tidy: DataFrame, visit: str = "admit_id") -> DataFrame:
     """Dense visit numbers 1, 2, … per subject, for sources whose numbers have gaps."""
     return (
@@ -70,89 +23,6 @@ def renumber_visits(tidy: DataFrame, visit: str = "admit_id") -> DataFrame:
     )
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _sizes(most: int | None):
-    """Sizes of the levels after the first: to ``most``, or until a level is empty."""
-    return count(2) if most is None else range(2, most + 1)
-
-
-def mine(occurrences: DataFrame, support: float, max_elements: int | None = None, n: int | None = None) -> DataFrame:
-    """Frequent sequences over ``occurrences(subject_id, visit, state)``.
-
-    Visit numbers count 1, 2, … within each subject.  ``n`` is the number of subjects support is
-    relative to, all those in ``occurrences`` by default.  Levels go on until one is empty, or to
-    ``max_elements`` if given.  Returns ``(states, count, support)``.
-
-    Within a level a sequence is one number.  Its row in ``found`` names the sequence it extends
-    (``parent``), its last item, and the sequence left without its first state (``tail``), which is
-    all that the next candidates are made from.
-    """
-    index = written(visit_index(occurrences), "visit_index")
-    if n is None:
-        n = index.select("subject_id").distinct().count()
-    least = min_count(support, n)
-
-    singles = index.filter("first is not null").groupBy("state").agg(F.count("*").alias("count"))
-    found = written(
-        singles.filter(F.col("count") >= least).select(
-            F.monotonically_increasing_id().alias("id"), "state", F.array("state").alias("states"), "count"
-        ),
-        "frequent_1",
-    )
-    names = found.select(F.col("id").alias("item"), "state")
-    steps = written(index.join(names, "state").select("subject_id", "item", "_chunk", "visits", "after", "first"), "steps")
-    level = steps.filter("first is not null").select("subject_id", F.col("item").alias("id"), F.col("first").alias("end"))
-    lookup = steps.drop("first")
-    coming = F.coalesce(F.get(F.filter("visits", lambda v: v > F.col("end")), F.lit(0)), F.col("after"))
-    results = [found.select("states", "count")]
-    spent = [index]  # tables the result does not read; each is dropped when the next level is written
-    for size in _sizes(max_elements):
-        ends = level.select("subject_id", F.col("id").alias("parent"), "end", _chunk(F.col("end")).alias("_chunk"))
-        grown = (
-            ends.join(lookup, ["subject_id", "_chunk"])
-            .select("subject_id", "parent", "item", coming.alias("end"))
-            .filter("end is not null")
-        )
-        if size > 2:  # after the join by subject, so that candidates never multiply what is shuffled
-            candidates = _candidates(found)
-            grown = grown.join(candidates.drop("tail"), ["parent", "item"], "left_semi")
-        if size != max_elements:
-            grown = written(grown, f"grown_{size}")  # read twice: to count and to go on from
-            forget(spent.pop())
-            spent.append(grown)
-        counts = grown.groupBy("parent", "item").agg(F.count("*").alias("count")).filter(F.col("count") >= least)
-        if size > 2:
-            counts = counts.join(candidates, ["parent", "item"])
-        else:
-            counts = counts.withColumn("tail", F.col("item"))
-        found = written(
-            counts.join(found.select(F.col("id").alias("parent"), "states"), "parent")
-            .join(names, "item")
-            .select(
-                F.monotonically_increasing_id().alias("id"), "parent", "item", "tail",
-                F.concat("states", F.array("state")).alias("states"), "count",
-            ),
-            f"frequent_{size}",
-        )
-        if found.isEmpty():
-            break
-        results.append(found.select("states", "count"))
-        level = grown.join(found.select("parent", "item", "id"), ["parent", "item"]).select("subject_id", "id", "end")
-    for table in [*spent, steps]:
-        forget(table)
-    return _union(results).withColumn("support", F.col("count") / F.lit(n))
-
-
-def _candidates(found: DataFrame) -> DataFrame:
-    """Extensions of each frequent sequence that are frequent once its first state is left out."""
-    extended = found.select(F.col("id").alias("parent"), F.col("tail").alias("_shared"))
-    extensions = found.select(F.col("parent").alias("_shared"), "item", F.col("id").alias("tail"))
-    return extended.join(extensions, "_shared").select("parent", "item", "tail")
-
-
 def occurrences(items: DataFrame, item: str = "item", visit: str = "admit_id") -> DataFrame:
     """Visit rows as single-item occurrences."""
     return items.select("subject_id", F.col(visit).cast("int").alias("visit"), F.col(item).alias("state"))
@@ -161,5 +31,16 @@ def occurrences(items: DataFrame, item: str = "item", visit: str = "admit_id") -
 def frequent_sequences(
     items: DataFrame, support: float = DEFAULT_SUPPORT, max_elements: int | None = None
 ) -> DataFrame:
-    """Frequent sequences of single items: all that the sequence table keeps in the end."""
-    return mine(occurrences(items), support, max_elements)
+    """Frequent sequences of single items, ``states array<string>``: all that the sequence table keeps in the end.
+
+    Support is relative to all subjects in ``items``.
+    """
+    mined = frequent_itemset_sequences(items, support, max_elements, 1)
+    return mined.withColumn("states", F.flatten("states"))
+
+
+def frequent_itemset_sequences(
+    items: DataFrame, support: float = DEFAULT_SUPPORT, max_elements: int | None = None, max_items: int | None = None
+) -> DataFrame:
+    """Frequent sequences whose elements are item sets: ``states array<array<string>>``, ``count``, ``support``."""
+    return lattice.mine(occurrences(items), support, max_elements, max_items)

@@ -101,17 +101,15 @@ def daily_events(spark: SparkSession, sf_dir: str, by_value: bool = False) -> Da
     return hospital.tidy_visits(stays, days)
 
 
-def event_paths(spark: SparkSession, sf_dir: str, days: int | None = None) -> DataFrame:
+def event_paths(spark: SparkSession, sf_dir: str, weekdays: bool = False) -> DataFrame:
     """A sequence table of users' paths: the number of events on each of their days with events, in order.
 
-    A path has a state per calendar day at most.  ``days`` keeps the first days only.
+    A path has a state per calendar day at most, with ``weekdays`` one for each day of the week (Monday first) with events.
     """
-    daily = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").cast("string").alias("n"))
+    day = F.weekday("ts") if weekdays else F.to_date("ts")
+    daily = table(spark, sf_dir, "events").groupBy("user_id", day.alias("day")).agg(F.count("*").cast("string").alias("n"))
     paths = daily.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("day", "n"))).alias("steps"))
-    states = F.transform("steps", lambda x: x["n"])
-    if days is not None:
-        states = F.slice(states, 1, days)
-    shares = paths.groupBy(states.alias("states")).agg(F.count("*").alias("count"))
+    shares = paths.groupBy(F.transform("steps", lambda x: x["n"]).alias("states")).agg(F.count("*").alias("count"))
     users = paths.count()
     return shares.select(F.array_join("states", " => ").alias("sequence"), (F.col("count") / users).alias("support"), "states")
 

@@ -109,25 +109,36 @@ usual AS MATERIALIZED (SELECT o.* FROM occ o WHERE state IN (
 marks AS (SELECT DISTINCT subject_id, visit FROM usual),
 following AS MATERIALIZED (
   SELECT m.subject_id, m.visit AS at, o.state, min(o.visit) AS visit
-  FROM marks m JOIN usual o ON o.subject_id = m.subject_id AND o.visit > m.visit GROUP BY ALL),
-l1 AS MATERIALIZED (SELECT subject_id, [state] AS p, min(visit) AS e FROM usual GROUP BY subject_id, state)"""
+  FROM marks m JOIN usual o ON o.subject_id = m.subject_id AND o.visit > m.visit GROUP BY ALL)"""
 
 
 def _mined(occ: str, support: float, depth: int) -> str:
-    """All sequences that enough subjects hold, level by level from the frequent ones; the last level has none."""
-    levels = ",\n".join(
-        f"l{k} AS MATERIALIZED (SELECT l.subject_id, list_append(l.p, f.state) AS p, f.visit AS e "
-        f"FROM l{k - 1} l JOIN following f ON f.subject_id = l.subject_id AND f.at = l.e "
-        f"WHERE l.p IN (SELECT p FROM l{k - 1} GROUP BY p HAVING count(*) >= (FROM least)))"
-        for k in range(2, depth + 2)
-    )
-    counted = " UNION ALL ".join(f"SELECT p, count(*) AS hits FROM l{k} GROUP BY p" for k in range(1, depth + 2))
+    """All sequences that enough subjects hold, level by level from the frequent ones; the last level has none.
+
+    Sequences are numbers within a level: ``f`` names what each extends (``parent``), its last state, and the sequence left without
+    its first state (``tail``), which has to be frequent too; ``r`` has the first end of each in every subject.
+    """
+    steps = ["""f1 AS MATERIALIZED (SELECT row_number() OVER () AS id, 0 AS parent, 0 AS tail, state, [state] AS p, hits
+  FROM (SELECT state, count(DISTINCT subject_id) AS hits FROM usual GROUP BY state)),
+r1 AS MATERIALIZED (SELECT subject_id, id, min(visit) AS e FROM usual JOIN f1 USING (state) GROUP BY subject_id, id),
+c2 AS MATERIALIZED (SELECT a.id AS parent, b.state, b.id AS tail FROM f1 a, f1 b)"""]
+    for k in range(2, depth + 2):
+        if k > 2:
+            steps.append(f"c{k} AS MATERIALIZED (SELECT a.id AS parent, b.state, b.id AS tail FROM f{k - 1} a JOIN f{k - 1} b ON b.parent = a.tail)")
+        steps.append(f"""g{k} AS MATERIALIZED (SELECT r.subject_id, r.id AS parent, n.state, n.visit AS e
+  FROM r{k - 1} r JOIN following n ON n.subject_id = r.subject_id AND n.at = r.e JOIN c{k} c ON c.parent = r.id AND c.state = n.state),
+f{k} AS MATERIALIZED (SELECT row_number() OVER () AS id, h.parent, c.tail, h.state, list_append(f.p, h.state) AS p, h.hits
+  FROM (SELECT parent, state, count(*) AS hits FROM g{k} GROUP BY parent, state HAVING count(*) >= (FROM least)) h
+  JOIN c{k} c ON c.parent = h.parent AND c.state = h.state JOIN f{k - 1} f ON f.id = h.parent),
+r{k} AS MATERIALIZED (SELECT g.subject_id, f.id, g.e FROM g{k} g JOIN f{k} f ON f.parent = g.parent AND f.state = g.state)""")
+    levels = ",\n".join(steps)
+    counted = " UNION ALL ".join(f"SELECT p, hits FROM f{k}" for k in range(1, depth + 2))
     return f"""occ AS ({occ}),
 {NEXT.format(support=support)},
 {levels},
 mined AS MATERIALIZED (
   SELECT p, array_to_string(p, ' => ') AS sequence, hits / n AS support, len(p) AS length
-  FROM ({counted}), total WHERE hits >= (FROM least))"""
+  FROM ({counted}), total)"""
 
 
 TYPES = "SELECT DISTINCT subject_id, admit_id AS visit, ccs1_code AS state FROM visits JOIN hier USING (icd_code)"
@@ -138,41 +149,37 @@ MINED_BRANDS = f"WITH {VISITS}, {HIER}, {_mined(BRANDS, 0.2, 5)}"
 
 def _flag_tables(n: str = "(SELECT least(max(len(p)), 8) FROM mined)") -> str:
     """Flags by looking at every pair of positions, unpadded and padded to ``n`` states."""
+    # a plain pattern is found where it is contained; only others are compiled
+    finds = "CASE WHEN regexp_full_match({b}, '[A-Za-z0-9 #]*') THEN contains({a}, {b}) ELSE regexp_matches({a}, {b}) END"
+    either = f"({finds.format(a='c[i]', b='c[j]')} OR {finds.format(a='c[j]', b='c[i]')})"
+    inside = f"""CASE WHEN mode = 'documented' THEN c[i] <> c[j] AND (contains(c[i], c[j]) OR contains(c[j], c[i]))
+                   WHEN n = 7 AND i = 3 AND j = 7 THEN c[i] <> c[j] AND {finds.format(a='c[i]', b='c[j]')}
+                   WHEN n = 7 AND i = 2 AND j = 7 THEN c[2] <> c[6] AND {either}
+                   ELSE c[i] <> c[j] AND {either} END"""
+    near = "list_filter(range(1, n), lambda i: {})"
+    far = "list_filter(range(1, n), lambda i: len(list_filter(range(i + 2, n + 1), lambda j: {})) > 0)"
     return f"""width AS (SELECT {n} AS w),
-cells AS (
-  SELECT sequence, 'documented' AS mode, p AS c, len(p) AS n FROM mined
+cells AS MATERIALIZED (
+  SELECT sequence, 'documented' AS mode, p AS c, CAST(len(p) AS BIGINT) AS n FROM mined
   UNION ALL
-  SELECT sequence, 'padded', list_concat(p[1:8], list_resize(CAST([] AS VARCHAR[]), greatest(w - len(p), 0), '0')), w FROM mined, width),
-states AS (SELECT DISTINCT unnest(c) AS s FROM cells),
-within AS MATERIALIZED (
-  SELECT a.s AS a, b.s AS b, contains(a.s, b.s) AS holds, regexp_matches(a.s, b.s) AS finds FROM states a, states b),
-places AS (SELECT sequence, mode, n, c, unnest(range(1, n)) AS i FROM cells),
-pairs AS (SELECT sequence, mode, n, c, i, unnest(range(i + 1, n + 1)) AS j FROM places),
-tests AS (
-  SELECT sequence, mode, j - i AS gap, c[i] = c[j] AS same, mode = 'padded' AND c[i] = '0' AS pad,
-         mode = 'padded' AND n = 4 AND i = 1 AND j = 4 AS skipped,
-         CASE WHEN mode = 'documented' THEN c[i] <> c[j] AND (x.holds OR y.holds)
-              WHEN n = 7 AND i = 3 AND j = 7 THEN c[i] <> c[j] AND x.finds
-              WHEN n = 7 AND i = 2 AND j = 7 THEN c[2] <> c[6] AND (x.finds OR y.finds)
-              ELSE c[i] <> c[j] AND (x.finds OR y.finds) END AS inside
-  FROM pairs JOIN within x ON x.a = c[i] AND x.b = c[j] JOIN within y ON y.a = c[j] AND y.b = c[i]),
-found AS (
-  SELECT sequence, mode, bool_or(gap = 1 AND same AND NOT pad) AS consec, bool_or(gap > 1 AND same AND NOT skipped) AS non_consec,
-         bool_or(gap = 1 AND inside) AS embed_consec, bool_or(gap > 1 AND inside) AS embed_non_consec
-  FROM tests GROUP BY sequence, mode),
+  SELECT sequence, 'padded', list_concat(p[1:8], list_resize(CAST([] AS VARCHAR[]), greatest(w - len(p), 0), '0')), CAST(w AS BIGINT) FROM mined, width),
+found AS MATERIALIZED (
+  SELECT sequence, mode, len({near.format("c[i] = c[i + 1] AND NOT (mode = 'padded' AND c[i] = '0')")}) > 0 AS consec,
+         len({far.format("c[i] = c[j] AND NOT (mode = 'padded' AND n = 4 AND i = 1 AND j = 4)")}) > 0 AS non_consec,
+         len({near.format(f"len(list_filter([i + 1], lambda j: {inside})) > 0")}) > 0 AS embed_consec,
+         len({far.format(inside)}) > 0 AS embed_non_consec
+  FROM cells),
 flags AS (
-  SELECT c.sequence, c.mode, CAST(coalesce(consec, false) AS INT) AS consec,
-         CAST(coalesce(non_consec AND NOT consec, false) AS INT) AS non_consec,
-         CAST(coalesce(embed_consec, false) AS INT) AS embed_consec,
-         CAST(coalesce(embed_non_consec AND NOT embed_consec, false) AS INT) AS embed_non_consec
-  FROM cells c LEFT JOIN found f ON f.sequence = c.sequence AND f.mode = c.mode)"""
+  SELECT sequence, mode, CAST(consec AS INT) AS consec, CAST(non_consec AND NOT consec AS INT) AS non_consec,
+         CAST(embed_consec AS INT) AS embed_consec, CAST(embed_non_consec AND NOT embed_consec AS INT) AS embed_non_consec
+  FROM found)"""
 
 
-def _paths(days: str) -> str:
+def _paths(day: str = "CAST(ts AS DATE)") -> str:
     return f"""mined AS MATERIALIZED (
   SELECT p, array_to_string(p, ' => ') AS sequence FROM (
-    SELECT DISTINCT list(n ORDER BY day){days} AS p FROM (
-      SELECT user_id, CAST(ts AS DATE) AS day, CAST(count(*) AS VARCHAR) AS n FROM events GROUP BY ALL) GROUP BY user_id))"""
+    SELECT DISTINCT list(n ORDER BY day) AS p FROM (
+      SELECT user_id, {day} AS day, CAST(count(*) AS VARCHAR) AS n FROM events GROUP BY ALL) GROUP BY user_id))"""
 
 
 FLAGS = "SELECT * FROM flags"
@@ -478,9 +485,9 @@ SELECT sequence, round(support, 9) AS support, p[1] AS c_1, p[2] AS c_2, p[3] AS
        p[6] AS c_6, p[7] AS c_7, p[8] AS c_8, length FROM mined""",
     "sequence_flags": f"{MINED_BRANDS}, {_flag_tables()} {FLAGS}",
     "sequence_flags_four_states": f"{MINED_TYPES}, {_flag_tables()} {FLAGS}",
-    "event_path_flags": f"WITH {_paths('')}, {_flag_tables()} {FLAGS}",
-    "event_path_flags_seven_states": f"WITH {_paths('[1:7]')}, {_flag_tables()} {FLAGS}",
-    "event_path_described": f"""WITH {_paths('')}
+    "event_path_flags": f"WITH {_paths()}, {_flag_tables()} {FLAGS}",
+    "event_weekday_flags": f"WITH {_paths('isodow(ts)')}, {_flag_tables()} {FLAGS}",
+    "event_path_described": f"""WITH {_paths()}
 SELECT sequence, len(p) AS length, array_to_string(list_transform(p, lambda x: x || ' events'), ' / ') AS described FROM mined
 WHERE NOT list_contains(p, '9') AND p[1] IN ('1', '2', '3') AND list_contains(p, '4')""",
     "sequence_no_repeats": f"""{MINED_TYPES}

@@ -4,7 +4,7 @@ import pytest
 from pyspark.ml.fpm import PrefixSpan
 from pyspark.sql import functions as F
 
-from cohortloom.operators import itemset_sequences as L, sequences as Q
+from cohortloom.operators import lattice, sequences as Q
 from helpers import sorted_rows as rows
 
 # four subjects: visit contents in order
@@ -40,7 +40,7 @@ def prefix_span(spark, history, support, max_items=8):
 def test_golden(spark):
     got = found(Q.frequent_sequences(items_of(spark, GOLDEN), 0.5))
     assert got == {("5.2",): 4, ("5.8",): 4, ("7.1",): 3, ("5.2", "7.1"): 3, ("5.8", "7.1"): 3, ("5.2", "5.8"): 2}
-    itemsets = found(L.frequent_itemset_sequences(items_of(spark, GOLDEN), 0.5))
+    itemsets = found(Q.frequent_itemset_sequences(items_of(spark, GOLDEN), 0.5))
     assert itemsets == {tuple((s,) for s in k): n for k, n in got.items()}
 
 
@@ -51,7 +51,7 @@ def test_same_as_prefix_span(spark, seed, support):
     items = items_of(spark, history)
     single = {tuple(e[0] for e in k): n for k, n in every.items() if all(len(e) == 1 for e in k)}
     assert found(Q.frequent_sequences(items, support, 8)) == {k: n for k, n in single.items() if len(k) <= 8}
-    got = found(L.frequent_itemset_sequences(items, support, 4, 3))
+    got = found(Q.frequent_itemset_sequences(items, support, 4, 3))
     assert got == {k: n for k, n in every.items() if len(k) <= 4 and all(len(e) <= 3 for e in k)}
 
 
@@ -61,7 +61,7 @@ def test_chunk_borders(spark, monkeypatch):
     rng = random.Random(3)
     history[99] = [[rng.choice("ab")] if v % 5 else ["c", "d"] for v in range(60)]
     want = found(Q.frequent_sequences(items_of(spark, history), 0.4, 4))
-    monkeypatch.setattr(Q, "CHUNK", 2)
+    monkeypatch.setattr(lattice, "BITS", 2)
     assert found(Q.frequent_sequences(items_of(spark, history), 0.4, 4)) == want
     assert want == {
         tuple(e[0] for e in k): n
@@ -77,8 +77,8 @@ def test_itemset_visits_in_several_numbers(spark, monkeypatch, bits):
     rng = random.Random(4)
     history[99] = [sorted(rng.sample("abc", rng.randint(1, 2))) for _ in range(140)]
     history[98] = [["a", "b"]] * 64
-    monkeypatch.setattr(L, "BITS", bits)
-    got = found(L.frequent_itemset_sequences(items_of(spark, history), 0.5, 3, 2))
+    monkeypatch.setattr(lattice, "BITS", bits)
+    got = found(Q.frequent_itemset_sequences(items_of(spark, history), 0.5, 3, 2))
     assert got == {k: n for k, n in prefix_span(spark, history, 0.5, 6).items() if len(k) <= 3 and all(len(e) <= 2 for e in k)}
 
 
@@ -104,4 +104,4 @@ def test_renumbered_visits(spark):
 def test_nothing_frequent(spark):
     history = {1: [["a"]], 2: [["b"]], 3: [["c"]]}
     assert found(Q.frequent_sequences(items_of(spark, history), 0.5)) == {}
-    assert found(L.frequent_itemset_sequences(items_of(spark, history), 0.5)) == {}
+    assert found(Q.frequent_itemset_sequences(items_of(spark, history), 0.5)) == {}
