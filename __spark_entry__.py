@@ -21,7 +21,7 @@ from cohortloom.plans import load, standin as S  # noqa: E402
 from cohortloom.plans.study import Study  # noqa: E402
 from cohortloom.session import lineage_dir, tune, written  # noqa: E402
 from cohortloom.sources import delimited, schemas, sinks  # noqa: E402
-from cohortloom.sources.fixed_width import MORTALITY_LAYOUT, parse_fixed_width  # noqa: E402
+from cohortloom.sources.fixed_width import MORTALITY_LAYOUT, parse_fixed_width, read_mortality_checked  # noqa: E402
 from cohortloom.sources.registry import Source, source  # noqa: E402
 from oracle_queries import ORACLES  # noqa: E402
 
@@ -144,6 +144,19 @@ def tsv_scan(spark, sf_dir):
     return adverse.with_subject(delimited.read_tsv(spark, path, schemas.CASE_DRUG))
 
 
+@_query
+def quoted_line_breaks(spark, sf_dir):
+    """Comments with line breaks, commas and quotes written as CSV and read back."""
+    path = _scratch(spark, "comments_csv")
+    note = F.concat(F.col("p_name"), F.lit("\n\n\"size\", "), F.col("p_size").cast("string"), F.lit("\n"), F.col("p_type"))
+    S.table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("BRAND"), note.alias("NOTE"), F.when(F.col("p_size") > 40, "NA").otherwise(F.col("p_size").cast("string")).alias("SIZE"), F.col("p_partkey").alias("PART_KEY"),
+    ).write.csv(path, header=True, escape='"')
+    schema = schemas.columns("part_key long, brand string, note string, size int")
+    df = delimited.read_delimited(spark, path, schema, multi_line=True)
+    return df.select("part_key", "brand", F.col("size").cast("long").alias("size"), F.length("note").cast("long").alias("n"), F.md5("note").alias("digest"))
+
+
 @_query
 def level_choices(spark, sf_dir):
     df = H.level_choices(S.mapping(spark, sf_dir), "ccs2")
@@ -158,6 +171,19 @@ def fixed_width_parse(spark, sf_dir):
     )
 
 
+@_query
+def fixed_width_rejects(spark, sf_dir):
+    """Damaged lines apart from records: records by year, rejects by reason."""
+    path, key = _scratch(spark, "deaths"), F.col("o_orderkey") % 10
+    damaged = F.when(key == 1, F.substring("value", 1, 400)).when(key == 2, F.concat("value", F.lit("xx"))).when(
+        key == 3, F.concat(F.substring("value", 1, 145), F.lit("    "), F.expr("substring(value, 150)"))).when(
+        key == 4, F.expr("substring(value, 1, 101)")).otherwise(F.col("value"))
+    S.death_lines(spark, sf_dir).select(damaged.alias("value")).write.text(path)
+    records, rejects = read_mortality_checked(spark, path)
+    return records.groupBy(F.lit("record").alias("kind"), F.col("data_year").alias("what")).agg(F.count("*").alias("n")).unionByName(
+        rejects.groupBy(F.lit("reject").alias("kind"), F.array_join("reasons", ", ").alias("what")).agg(F.count("*").alias("n")))
+
+
 # ---------------------------------------------------------------- hierarchies
 
 
@@ -513,6 +539,25 @@ def mortality_files_study(spark, sf_dir):
     return Study(load.mortality_source(spark, path, codes), C.CohortSpec("C01", "C02", "icd", "icd", "ccs_s")).condition_rows(5)
 
 
+@_query
+def adverse_files_study(spark, sf_dir):
+    """TSV files of the adverse-event source to a source to a study: subjects per condition, unknown codes kept."""
+
+    def saved(name, df, schema, header=False):
+        path = _scratch(spark, name)
+        columns = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) if c in df.columns else F.lit("\\N") for c in schema.names]
+        df.select(*[c.alias(n) for c, n in zip(columns, schema.names)]).write.csv(path, sep="\t", header=header, escape='"', quote="")
+        return path
+
+    nations = written(S.nation_mapping(spark, sf_dir), "mapping")
+    files = [
+        saved("case_indication", S.case_indication(spark, sf_dir), schemas.CASE_INDICATION), saved("case_drug", S.case_drug(spark, sf_dir), schemas.CASE_DRUG),
+        saved("drug_outcome", S.drug_outcome(spark, sf_dir), schemas.DRUG_OUTCOME), saved("concept", S.concept(spark, sf_dir), schemas.CONCEPT, True),
+    ]
+    adverse_events = load.adverse_source(spark, *files, nations, "AUTO|BUILD", "AUTO")
+    return Study(adverse_events, C.CohortSpec("R2", "N7", "icd", "icd", "ccs_s", with_second=False)).condition_patients()
+
+
 @_query
 def demographic_counts(spark, sf_dir):
     people = _study(spark, sf_dir, PLUS).demographics(["segment", "nation", "region"])
@@ -777,6 +822,19 @@ def basket_roundtrip(spark, sf_dir):
     return sinks.read_temporal_baskets(spark, path)
 
 
+@_query
+def baskets_rewritten(spark, sf_dir):
+    """Two cohorts' baskets in one folder, one of them written twice, and counted baskets beside them."""
+    root = _scratch(spark, "baskets")
+    plus, minus = (_study(spark, sf_dir, spec).temporal_items() for spec in (PLUS, MINUS))
+    paths = {"plus": sinks.write_baskets(minus, root, PLUS, "standin", "temporal"), "minus": sinks.write_baskets(minus, root, MINUS, "standin", "temporal")}
+    sinks.write_baskets(plus, root, PLUS, "standin", "temporal")
+    counted = sinks.read_counted_baskets(spark, sinks.write_baskets(plus, root, PLUS, "standin", "counted"))
+    lines = [spark.read.text(path).select(F.lit(name).alias("cohort"), F.col("value").alias("line"), F.lit(None).cast("long").alias("n")) for name, path in paths.items()]
+    return lines[0].unionByName(lines[1]).unionByName(
+        counted.select(F.lit("counted").alias("cohort"), F.concat_ws(",", F.col("subject_id").cast("string"), F.col("admit_id").cast("string"), "item").alias("line"), "n"))
+
+
 @_query
 def transaction_roundtrip(spark, sf_dir):
     items = _study(spark, sf_dir, MINUS).association_items()

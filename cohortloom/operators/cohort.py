@@ -127,10 +127,22 @@ def basket_text(items: DataFrame) -> DataFrame:
     """One comma-separated basket per visit, items sorted, repeats kept.
 
     What is gathered per visit is its distinct items with their counts, bounded by the number of
-    codes at the level; repeats appear only in the text itself.
+    codes at the level; repeats appear only in the text itself.  An item that is repeated more often than a
+    line can hold (2^31 - 1 times) is an error: export such baskets with their counts (:func:`counted_text`).
     """
     baskets = items.groupBy("subject_id", "admit_id").agg(
         F.array_sort(F.collect_list(F.struct("item", "n"))).alias("_items")
     )
-    repeated = F.flatten(F.transform("_items", lambda x: F.array_repeat(x["item"], x["n"].cast("int"))))
-    return baskets.select("subject_id", "admit_id", F.array_join(repeated, ",").alias("items"))
+    too_many = F.raise_error(F.lit("an item is repeated too often for a line of text; export the baskets with counts"))
+
+    def again(x: Column) -> Column:
+        more = F.when(x["n"] >= 2**31, too_many.cast("int")).otherwise(x["n"] - 1).cast("int")
+        return F.concat(x["item"], F.repeat(F.concat(F.lit(","), x["item"]), more))
+
+    return baskets.select("subject_id", "admit_id", F.array_join(F.transform("_items", again), ",").alias("items"))
+
+
+def counted_text(items: DataFrame) -> DataFrame:
+    """One basket per visit as ``item,n,item,n,…``, items sorted: exact for any count, and as long as the visit has items."""
+    pair = F.concat_ws(",", "item", F.col("n").cast("string"))
+    return items.groupBy("subject_id", "admit_id").agg(F.array_join(F.array_sort(F.collect_list(pair)), ",").alias("items"))

@@ -10,6 +10,8 @@ from cohortloom.functions.levels import level
 UNCLASSIFIED = "[Uu]nclassified"  # fixed value: descriptions left out of the table
 ELEMENT_SEP, STATE_SEP = " | ", " => "  # fixed values: rendering of a sequence
 
+STEP = 4096  # combinations of descriptions numbered together
+
 
 def as_table(mined: DataFrame) -> DataFrame:
     """``(sequence, support, states)`` with states as text.
@@ -72,7 +74,8 @@ def describe(table: DataFrame, mapping: DataFrame, mining_level: str) -> DataFra
     """Replace the code of every state by its description, null where there is none.
 
     One join for all positions.  A code with several descriptions gives one row for each, as a join
-    per position would.
+    per position would.  The combinations of a sequence are numbered, in steps of ``STEP``, and a number's digits, in a system with
+    the number of descriptions of each position as base, pick the descriptions; no cell holds all combinations.
     """
     lv = level(mining_level)
     names = mapping.groupBy(F.col(lv.code).cast("string").alias("_code")).agg(
@@ -86,16 +89,18 @@ def describe(table: DataFrame, mapping: DataFrame, mining_level: str) -> DataFra
         .agg(F.array_sort(F.collect_list(F.struct("_pos", "_descs"))).alias("_cells"))
     )
     unknown = F.array(F.struct(F.lit(None).cast("string").alias("d")))
-    spread = F.aggregate(
-        "_cells",
-        F.array(F.array().cast("array<string>")),
-        lambda acc, cell: F.flatten(
-            F.transform(
-                acc, lambda done: F.transform(F.coalesce(cell["_descs"], unknown), lambda x: F.concat(done, F.array(x["d"])))
-            )
-        ),
+    cells = rows.select(*rest, F.transform("_cells", lambda c: F.coalesce(c["_descs"], unknown)).alias("_cells"))
+    # how many combinations the positions before each have; the last entry is the number of all
+    bases = F.aggregate(
+        "_cells", F.array(F.lit(1).cast("long")),
+        lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) * F.size(c))),
     )
-    return rows.select(*rest, F.explode(spread).alias("states"))
+    based = cells.withColumn("_bases", bases)
+    total = F.element_at("_bases", -1)
+    steps = based.withColumn("_step", F.explode(F.sequence(F.lit(0).cast("long"), total - 1, F.lit(STEP).cast("long"))))
+    each = steps.withColumn("_number", F.explode(F.sequence(F.col("_step"), F.least(F.col("_step") + STEP, total) - 1)))
+    picked = F.transform("_cells", lambda c, i: F.get(c, F.floor(F.col("_number") / F.get("_bases", i)).cast("long") % F.size(c))["d"])
+    return each.select(*rest, picked.alias("states"))
 
 
 def drop_unclassified(table: DataFrame) -> DataFrame:

@@ -16,9 +16,9 @@ def strings(*names: str) -> StructType:
     return StructType([StructField(n, StringType()) for n in names])
 
 
-def _raw(spark: SparkSession, path: str, schema: StructType, header: bool, sep: str, by_position: bool) -> DataFrame:
+def _raw(spark: SparkSession, path: str, schema: StructType, header: bool, sep: str, by_position: bool, multi_line: bool) -> DataFrame:
     """The wanted fields as text.  A backslash is data here ("\\N"), not an escape."""
-    options = {"sep": sep, "escape": '"'}
+    options = {"sep": sep, "escape": '"', "multiLine": multi_line}
     found = spark.read.csv(path, header=header, **options).columns  # the first line only
     if header and not by_position:
         # every file is held to the header of the first
@@ -43,6 +43,7 @@ def read_delimited(
     na: list[str] | None = None,
     partitions: int | None = None,
     by_position: bool = False,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Read delimited text.
 
@@ -53,10 +54,11 @@ def read_delimited(
 
     Fields are read as text, tokens for missing values become null, and only then is each column
     cast; a text that does not parse becomes null too.  A gzip file is one task however large it
-    is: ``partitions`` spreads its rows before the work that follows.
+    is: ``partitions`` spreads its rows before the work that follows.  ``multi_line`` lets quoted fields hold line breaks;
+    a file is then one task as well, so large tables should come in many files.
     """
     tokens = NA_TOKENS if na is None else na
-    raw = _raw(spark, path, schema, header, sep, by_position)
+    raw = _raw(spark, path, schema, header, sep, by_position, multi_line)
     if partitions:
         raw = raw.repartition(partitions)
     return raw.select(

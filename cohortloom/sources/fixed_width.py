@@ -42,5 +42,33 @@ def parse_fixed_width(lines: DataFrame, layout: list[tuple[str, int]], column: s
     return drop_containing(lines.select(*[c for c in lines.columns if c != column], *fields), "drop")
 
 
+# fixed values: fields every record has to fill, and how long a line is
+MUST_FIELDS = ("data_year", "underlying_cause")
+LINE_LENGTH = 488
+
+
+def checked_lines(
+    lines: DataFrame, layout: list[tuple[str, int]], must: tuple[str, ...] = MUST_FIELDS, column: str = "value"
+) -> tuple[DataFrame, DataFrame]:
+    """Records and rejects: lines of the layout's length with all ``must`` fields, parsed, and the others as they stand.
+
+    Rejects keep the line with its ``length`` and ``reasons`` (``too short``, ``too long``, ``no <field>``, ``no line``).
+    """
+    width, at = sum(w for _, w in layout), offsets(layout)
+    length = F.length(column)
+    blank = [F.when(length.isNotNull() & field(F.col(column), *at[name]).isNull(), f"no {name}") for name in must]
+    reasons = F.array_compact(F.array(
+        F.when(length.isNull(), "no line"), F.when(length < width, "too short"), F.when(length > width, "too long"), *blank))
+    judged = lines.withColumn("_reasons", reasons)
+    records = parse_fixed_width(judged.filter(F.size("_reasons") == 0).drop("_reasons"), layout, column)
+    rejects = judged.filter(F.size("_reasons") > 0).withColumn("length", length).withColumnRenamed("_reasons", "reasons")
+    return records, rejects
+
+
+def read_mortality_checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Death records, and the lines that are not whole records; together they are all lines."""
+    return checked_lines(spark.read.text(path), MORTALITY_LAYOUT)
+
+
 def read_mortality(spark: SparkSession, path: str) -> DataFrame:
     return parse_fixed_width(spark.read.text(path), MORTALITY_LAYOUT)

@@ -332,6 +332,34 @@ SELECT c_custkey AS subject_id, c_name || ', ' || c_mktsegment AS name, CASE WHE
     "tsv_scan": """
 SELECT event_id AS drug_seq, CASE WHEN event_type <> 'error' THEN event_type END AS role_cod,
        CAST(length(props) AS BIGINT) AS standard_concept_id, user_id AS subject_id FROM events""",
+    "quoted_line_breaks": """
+SELECT p_partkey AS part_key, p_brand AS brand, CASE WHEN p_size <= 40 THEN CAST(p_size AS BIGINT) END AS size, CAST(length(note) AS BIGINT) AS n, md5(note) AS digest
+FROM (SELECT *, p_name || chr(10) || chr(10) || '"size", ' || p_size || chr(10) || p_type AS note FROM part)""",
+    "fixed_width_rejects": f"""WITH {DEATHS}
+SELECT 'record' AS kind, data_year AS what, count(*) AS n FROM deaths WHERE o_orderkey % 10 NOT IN (1, 2, 3, 4) GROUP BY data_year
+UNION ALL
+SELECT 'reject', CASE o_orderkey % 10 WHEN 1 THEN 'too short' WHEN 2 THEN 'too long' WHEN 3 THEN 'no underlying_cause'
+                 ELSE 'too short, no data_year, no underlying_cause' END AS what, count(*)
+FROM deaths WHERE o_orderkey % 10 IN (1, 2, 3, 4) GROUP BY what""",
+    "adverse_files_study": f"""WITH {ADVERSE}, {ADVERSE_VISITS},
+pairs AS (
+  SELECT subject_id, dense_rank() OVER (ORDER BY drug_seq) AS admit_id, indi_desc, CAST(s_nationkey AS VARCHAR) AS snomed_code
+  FROM drug JOIN indication USING (subject_id) LEFT JOIN supplier ON s_suppkey = indi_snomed_id
+  WHERE subject_id IN (SELECT subject_id FROM chosen)),
+selection AS (SELECT * FROM pairs JOIN nations USING (snomed_code) WHERE regexp_matches(indi_desc, 'AUTO')),
+cohort AS (
+  SELECT DISTINCT subject_id FROM selection WHERE icd_code = 'R2' AND admit_id > 1
+  AND subject_id NOT IN (SELECT subject_id FROM selection WHERE icd_code = 'N7'))
+SELECT ccs_desc AS condition, count(DISTINCT subject_id) AS count FROM outcome_visits JOIN nations USING (icd_code)
+WHERE subject_id IN (FROM cohort) GROUP BY ccs_desc""",
+    "baskets_rewritten": f"""{COHORT}
+SELECT 'plus' AS cohort, subject_id || ',' || admit_id || ',' || string_agg(ccs_code, ',' ORDER BY ccs_code) AS line, CAST(NULL AS BIGINT) AS n FROM tidy
+WHERE subject_id IN (FROM plus) GROUP BY subject_id, admit_id
+UNION ALL
+SELECT 'minus', subject_id || ',' || admit_id || ',' || string_agg(ccs_code, ',' ORDER BY ccs_code), NULL FROM tidy
+WHERE subject_id IN (FROM minus) GROUP BY subject_id, admit_id
+UNION ALL
+SELECT 'counted', subject_id || ',' || admit_id || ',' || ccs_code, count(*) FROM tidy WHERE subject_id IN (FROM plus) GROUP BY subject_id, admit_id, ccs_code""",
     "level_choices": f"WITH {HIER} SELECT DISTINCT ccs2 AS label, ccs2_code AS code FROM hier",
     "fixed_width_parse": f"""WITH {DEATHS}
 SELECT o_orderkey, res_status, education_89, education_03, sex, age_group, age_infant, marital, data_year, underlying_cause,

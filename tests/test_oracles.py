@@ -48,7 +48,7 @@ def test_query_matches_sql(spark, duck, name):
 
 def test_every_sql_belongs_to_a_query():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"rule_clusters"}
+    assert set(QUERIES) == set(ORACLES)
 
 
 MINED = ["adverse_sequences", "frequent_sequences", "frequent_event_sequences", "frequent_itemset_sequences", "sequence_states", "sequence_flags", "sequence_study"]
@@ -58,16 +58,9 @@ MINED = ["adverse_sequences", "frequent_sequences", "frequent_event_sequences",
 def test_last_level_of_the_sql_is_empty(duck, name):
     """The SQL unrolls a fixed number of levels; mining ends by itself, so the last has to be empty."""
     head = ORACLES[name].split("mined AS MATERIALIZED")[0]
-    found = duck.execute(f"{head} tail AS (SELECT p FROM l6 GROUP BY p HAVING count(*) >= (FROM least)) SELECT count(*) FROM tail").fetchone()
+    found = duck.execute(f"{head.rstrip().rstrip(',')} SELECT count(*) FROM f6").fetchone()
     assert found == (0,)
 
 
 def test_entry(spark):
     assert spark_entry.entry(spark).count() == 20
-
-
-def test_rule_clusters_invariants(spark):
-    clusters = QUERIES["rule_clusters"](spark, SF_DIR).collect()
-    rules = QUERIES["association_rules"](spark, SF_DIR).count()
-    assert len({r["cluster"] for r in clusters}) <= 5
-    assert sum(r["n_antecedents"] for r in clusters) == rules

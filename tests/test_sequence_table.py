@@ -106,6 +106,14 @@ def test_describe(spark):
     assert {r["sequence"] for r in kept.collect()} == {"1 => 3", "1 => 9"}
 
 
+def test_describe_many_combinations(spark):
+    """Twelve states of three descriptions: every combination once."""
+    mapping = spark.createDataFrame([(str(k), f"d{k}{x}") for k in range(12) for x in "abc"], "ccs2_code string, ccs2_desc string")
+    t = T.describe(table(spark, [" => ".join(map(str, range(12))), "3 => 3"]), mapping, "ccs2")
+    found = t.groupBy("sequence").agg(F.count("*").alias("n"), F.count_distinct("states").alias("d")).orderBy("n")
+    assert [(r["n"], r["d"]) for r in found.collect()] == [(9, 9), (3**12, 3**12)]
+
+
 def test_search_is_unanchored_and_drops_missing(spark):
     df = spark.createDataFrame(
         [("a", 0.1, ["Any Mood", "x"]), ("b", 0.1, [None, "Mood"]), ("c", 0.1, ["x", "y"])],

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.operators import cohort as C
 from cohortloom.session import forget, lineage_dir, owned, written
-from cohortloom.sources import delimited as D, jdbc, registry, schemas, sinks
+from cohortloom.sources import delimited as D, fixed_width as FW, jdbc, registry, schemas, sinks
 from helpers import sorted_rows as rows
 
 
@@ -148,3 +148,79 @@ def test_owned_tables_go_with_their_block(spark):
         spark.read.parquet(inner.cohortloom_path)
     outside = written(spark.range(2), "outside")
     assert spark.read.parquet(outside.cohortloom_path).count() == 2
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('id,note\n1,"a\nb, ""c""\n\nd"\n2,NA\n3,"x"\n')
+    schema = schemas.columns("id long, note string")
+    assert rows(D.read_delimited(spark, str(tmp_path / "t.csv"), schema, multi_line=True)) == [(1, 'a\nb, "c"\n\nd'), (2, None), (3, "x")]
+    (tmp_path / "t.tsv").write_text('1\t"a\nb"\n2\t\\N\n')
+    again = D.read_delimited(spark, str(tmp_path / "t.tsv"), schema, header=False, sep="\t", na=D.NA_TOKENS_TSV, multi_line=True)
+    assert rows(again) == [(1, "a\nb"), (2, None)]
+
+
+def test_fixed_width_rejects(spark):
+    layout = [("year", 4), ("drop1", 1), ("cause", 3)]
+    lines = ["2001 A01", "2002 B1 ", "2003 A", "2004 A01x", "     A01", "2005    ", "", None]
+    records, rejects = FW.checked_lines(spark.createDataFrame([(v,) for v in lines], "value string"), layout, ("year", "cause"))
+    assert rows(records) == [("2001", "A01"), ("2002", "B1")]
+    assert rows(rejects.select("value", "length", F.array_join("reasons", ", ").alias("r"))) == sorted([
+        ("2003 A", 6, "too short"), ("2004 A01x", 9, "too long"), ("     A01", 8, "no year"), ("2005    ", 8, "no cause"),
+        ("", 0, "too short, no year, no cause"), (None, None, "no line")], key=lambda t: tuple((v is not None, str(v)) for v in t))
+
+
+def test_mortality_layout_is_as_long_as_a_line():
+    assert sum(w for _, w in FW.MORTALITY_LAYOUT) == FW.LINE_LENGTH and set(FW.MUST_FIELDS) <= set(FW.offsets(FW.MORTALITY_LAYOUT))
+
+
+def test_jdbc_ranges(monkeypatch):
+    assert jdbc.range_predicates("k", ["m", "d", "m", "o'x"]) == ["k < 'd' OR k IS NULL", "k >= 'd' AND k < 'm'", "k >= 'm' AND k < 'o''x'", "k >= 'o''x'"]
+    assert jdbc.range_predicates("k", []) == ["1 = 1"]
+    asked = []
+
+    class Row:
+        def __init__(self, row):
+            self.row = row
+
+        def head(self):
+            return self.row
+
+    def read(spark, url, table, **o):
+        asked.append((table, o))
+        return Row((3, 90))
+
+    monkeypatch.setattr(jdbc, "read_table", read)
+    jdbc.read_ranges(None, "u", "t", "id", 5)
+    assert asked == [(jdbc.bounds_query("t", "id"), {}), ("t", {"key": "id", "bounds": (3, 90), "partitions": 5})]
+    monkeypatch.setattr(jdbc, "read_table", lambda spark, url, table, **o: asked.append((table, o)) or Row((None, None)))
+    jdbc.read_ranges(None, "u", "empty", "id")
+    assert asked[-1] == ("empty", {})
+
+
+ITEMS = "subject_id long, admit_id int, item string, n long"
+
+
+def test_baskets_are_written_again(spark, tmp_path):
+    root, one, two = str(tmp_path), C.CohortSpec("5.2", "5.8"), C.CohortSpec("5.2", "5.9")
+    first = spark.createDataFrame([(k, 1, "old", 1) for k in range(40)], ITEMS).repartition(8)
+    path, other = (sinks.write_baskets(first, root, s, "mimic", "temporal") for s in (one, two))
+    sinks.write_baskets(spark.createDataFrame([(1, 1, "new", 2)], ITEMS), root, one, "mimic", "temporal")
+    assert rows(spark.read.text(path)) == [("1,1,new,new",)]
+    assert spark.read.text(other).count() == 40
+    sinks.write_baskets(spark.createDataFrame([], ITEMS), root, one, "mimic", "temporal")
+    assert spark.read.text(path).count() == 0 and spark.read.text(other).count() == 40
+    with pytest.raises(ValueError):
+        sinks.write_baskets(first, root, one, "mimic", "other")
+
+
+def test_baskets_with_many_repeats(spark, tmp_path):
+    spec = C.CohortSpec("a", "b")
+    items = spark.createDataFrame([(1, 1, "ab", 10**6), (1, 1, "c", 2)], ITEMS)
+    (line,) = spark.read.text(sinks.write_baskets(items, str(tmp_path), spec, "aeolus", "temporal")).first()
+    assert line == "1,1," + "ab," * 10**6 + "c,c"
+    huge = spark.createDataFrame([(1, 1, "ab", 3 * 10**9), (1, 1, "c", 1), (2, 5, "d", 7)], ITEMS)
+    counted = sinks.write_baskets(huge, str(tmp_path), spec, "aeolus", "counted")
+    assert rows(spark.read.text(counted)) == [("1,1,ab,3000000000,c,1",), ("2,5,d,7",)]
+    assert rows(sinks.read_counted_baskets(spark, counted)) == [(1, 1, "ab", 3 * 10**9), (1, 1, "c", 1), (2, 5, "d", 7)]
+    with pytest.raises(Exception, match="export the baskets with counts"):
+        sinks.write_baskets(huge, str(tmp_path), spec, "aeolus", "association")
