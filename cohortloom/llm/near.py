@@ -14,8 +14,10 @@ The order comes from a counting table of fixed size (``SLOTS``), filled from all
 3. Entries (shingle, document) of shared shingles alone become rows.
 4. Links are only needed as far as they connect.  So every document is first compared with the ``CENTRES`` others of
    each of its shingles that have the least hashes, in rounds with other hashes, which joins large groups of near
-   copies without forming their pairs.  Then all pairs of different components that share enough prefix shingles are verified.  Pairs inside a component are the
-   only ones left out.
+   copies without forming their pairs.  Pairs inside a component are the only ones left out from here on.
+5. The rest is counted in slices.  Documents whose most frequent prefix shingle is the same, and whose sizes are alike, are
+   dealt out to slices of about ``SLICE_ENTRIES`` entries or ``SLICE_DOCS`` documents; slices that have a shingle in common meet, and a task counts the common prefix
+   shingles of all their pairs as a product of two matrices.  Only pairs that share enough become rows, and are verified.
 
 Defined results: letters A-Z are lower-cased; fewer than five words are one shingle; without words, or text, the set
 is empty, and nothing links; the smallest doc_id of a component names it, null ids being larger than all others (a
@@ -29,11 +31,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortloom.llm import blocks as B
 from cohortloom.llm.hashing import mix, window_hash, word_hashes
-from cohortloom.session import written
+from cohortloom.session import forget, written
 
 WORDS = 5
 PERCENT = 75
@@ -42,6 +44,9 @@ SLOTS = 1 << SLOT_BITS
 _SLICE = 1 << 16
 MOST_MATCHES = 32
 STAR_ROUNDS, CENTRES = 3, 8
+SLICE_ENTRIES, SLICE_DOCS = 1 << 15, 1 << 10
+SIZE_CLASS = 1.4  # ratio of the sizes in a class; more than 100 / PERCENT, so sizes that link are at most one class apart
+COLUMNS = 1024  # shingles of a matrix at a time
 FEW = 0.02  # share of linked pairs in a round below which no further round is made
 
 
@@ -63,6 +68,12 @@ def _node(block: int, rows: np.ndarray) -> np.ndarray:
     return block * B.BLOCK_ROWS + rows
 
 
+def _place(node: str) -> list[Column]:
+    """Block of a node and its row there (as the bucket of an answer), in whole numbers."""
+    bits = B.BLOCK_ROWS.bit_length() - 1
+    return [F.shiftright(node, bits).alias("block"), F.col(node).bitwiseAND(F.lit(B.BLOCK_ROWS - 1)).cast("int").alias("bucket")]
+
+
 def _described(blocks: B.Blocks) -> DataFrame:
     """One row per document (size and digest of its set), and one per block with its counts of the slots."""
 
@@ -166,7 +177,7 @@ def _entries(blocks: B.Blocks, counts: np.ndarray, chosen: DataFrame) -> DataFra
 
 def _sets(blocks: B.Blocks, nodes: DataFrame) -> DataFrame:
     """(node, shingles) of the documents wanted."""
-    wanted = nodes.select((F.col("node") / B.BLOCK_ROWS).cast("long").alias("block"), (F.col("node") % B.BLOCK_ROWS).cast("int").alias("bucket"))
+    wanted = nodes.select(*_place("node"))
 
     def run(block: int, table: pa.Table, answers) -> Iterator[pa.RecordBatch]:
         rows = sorted(answers[0])
@@ -201,7 +212,9 @@ def _verified(pairs: DataFrame, blocks: B.Blocks) -> DataFrame:
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
     both = F.size("sa") + F.size("sb") - common
-    return pairs.join(left, "a").join(right, "b").where(100 * common >= PERCENT * both).select("a", "b")
+    links = written(pairs.join(left, "a").join(right, "b").where(100 * common >= PERCENT * both).select("a", "b"), "near_links")
+    forget(sets)
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -240,6 +253,87 @@ def _rooted(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
     return entries.join(roots, "node", "left").select("shingle", "node", "n", "rest", F.coalesce("root", "node").alias("root"))
 
 
+def _slices(rooted: DataFrame) -> DataFrame:
+    """The entries of shingles at which components meet, with the slice and the size class of their document."""
+    heat = rooted.groupBy("shingle").agg(F.count(F.lit(1)).alias("heat"), F.min("root").alias("_low"), F.max("root").alias("_high"))
+    met = written(rooted.join(heat.where("_low < _high").select("shingle", "heat"), "shingle"), "near_met")
+    homes = met.groupBy("node").agg(F.max(F.struct("heat", "shingle"))["shingle"].alias("home"), F.max("n").alias("n"), F.count(F.lit(1)).alias("k"))
+    homes = homes.withColumn("size", F.floor(F.log(F.col("n")) / float(np.log(SIZE_CLASS))).cast("int"))
+    homes = written(homes, "near_homes")
+    wanted = F.greatest(F.ceil(F.sum("k") / SLICE_ENTRIES), F.ceil(F.count(F.lit(1)) / SLICE_DOCS))
+    parts = homes.groupBy("home", "size").agg(wanted.alias("parts"))
+    dealt = homes.join(parts, ["home", "size"]).select(
+        "node", "size", F.xxhash64("home", "size", F.pmod(F.xxhash64("node"), "parts")).alias("slice"))
+    placed = written(met.drop("heat").join(dealt, "node"), "near_placed")
+    forget(met)
+    forget(homes)
+    return placed
+
+
+def _packed_slice(rows: pa.Table) -> pa.Table:
+    """One row of a slice: its entries by shingle, and its documents."""
+    nodes, first, which = np.unique(rows.column("node").to_numpy(), return_index=True, return_inverse=True)
+    shingles = rows.column("shingle").to_numpy()
+    order = np.argsort(shingles, kind="stable")
+    about = np.stack([nodes, *(rows.column(c).to_numpy()[first] for c in ("root", "n", "rest"))]).astype("<i8")
+    return pa.table({
+        "slice": rows.column("slice")[:1].combine_chunks(), "shingles": pa.array([shingles[order].astype("<i8").tobytes()], pa.binary()),
+        "which": pa.array([which.ravel()[order].astype("<i4").tobytes()], pa.binary()), "about": pa.array([about.tobytes()], pa.binary()),
+    })
+
+
+def matched_pairs(a: tuple, b: tuple, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Documents of two slices (or of one with itself) that share enough prefix shingles and lie in different components.
+
+    Of two prefixes the one that ends first has all its matches among those counted, so the sets share no more than
+    these and what follows that prefix.
+    """
+    (sa, wa, ia), (sb, wb, ib) = a, b
+    common = np.intersect1d(sa, sb)
+    counts = np.zeros((ia.shape[1], ib.shape[1]), np.float32)
+    ca, cb = np.searchsorted(common, sa), np.searchsorted(common, sb)
+    ina, inb = np.isin(sa, common), np.isin(sb, common)
+    for at in range(0, len(common), COLUMNS):
+        left, right = (np.zeros((about.shape[1], COLUMNS), np.float32) for about in (ia, ib))
+        for matrix, column, inside, which in ((left, ca, ina, wa), (right, cb, inb, wb)):
+            use = inside & (column >= at) & (column < at + COLUMNS)
+            matrix[which[use], column[use] - at] = 1
+        counts += left @ right.T
+    x, y = np.nonzero(counts)
+    if same:
+        x, y = x[x < y], y[x < y]
+    n, m = ia[2][x], ib[2][y]
+    wanted = -(-PERCENT * (n + m) // (100 + PERCENT)) - np.maximum(ia[3][x], ib[3][y])
+    good = (ia[1][x] != ib[1][y]) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & (counts[x, y] >= wanted)
+    return ia[0][x[good]], ib[0][y[good]]
+
+
+def _sliced_pairs(rooted: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components whose prefixes share enough: counted slice by slice."""
+    placed = _slices(rooted)
+    schema = "slice long, shingles binary, which binary, about binary"
+    packed = written(placed.select("slice", "shingle", "node", "root", "n", "rest").groupBy("slice").applyInArrow(_packed_slice, schema), "near_slices")
+    at = placed.select("shingle", "slice", "size").distinct()
+    other = at.select("shingle", F.col("slice").alias("slice2"), F.col("size").alias("size2"))
+    meets = at.join(other, "shingle").where((F.col("slice") <= F.col("slice2")) & (F.abs(F.col("size") - F.col("size2")) <= 1)).select("slice", "slice2").distinct()
+    second = packed.select(*[F.col(c).alias(f"{c}2") for c in packed.columns])
+    both = written(meets, "near_meets").join(packed, "slice").join(second, "slice2").select(
+        (F.col("slice") == F.col("slice2")).alias("same"), *packed.columns[1:], *second.columns[1:])
+
+    def unpacked(row: pa.RecordBatch, k: int) -> tuple:
+        shingles, which, about = (row.column(k + j)[0].as_buffer() for j in range(3))
+        return np.frombuffer(shingles, "<i8"), np.frombuffer(which, "<i4"), np.frombuffer(about, "<i8").reshape(4, -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                a, b = matched_pairs(unpacked(row, 1), unpacked(row, 4), row.column(0)[0].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long").distinct()
+
+
 def near_components(blocks: B.Blocks) -> DataFrame:
     """block, row, doc_id, n_shingles, component_id of every document, and ``first``: the one row that stands for it."""
     described = written(_described(blocks), "near_described")
@@ -250,7 +344,7 @@ def near_components(blocks: B.Blocks) -> DataFrame:
         rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct("id", "node")).alias("top")).select("n", "d1", "d2", F.col("top.node").alias("rep")),
         "near_classes",
     )
-    chosen = classes.select((F.col("rep") / B.BLOCK_ROWS).cast("long").alias("block"), (F.col("rep") % B.BLOCK_ROWS).cast("int").alias("bucket"))
+    chosen = classes.select(*_place("rep"))
     entries = written(_entries(blocks, counts, chosen), "near_entries")
     several = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("shingle")
     entries = written(entries.join(several, "shingle"), "near_entries")
@@ -266,7 +360,7 @@ def near_components(blocks: B.Blocks) -> DataFrame:
             "shingle", "turn", F.col("top.node").alias("b"), F.col("top.root").alias("root2"), F.col("top.n").alias("m"), F.col("top.rest").alias("rest2"))
         met = rooted.withColumnRenamed("node", "a").join(top, "shingle").where("root <> root2")
         pairs = written(_enough(met, "turn", part=0.25).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near_pairs")
-        found = written(_verified(pairs, blocks), "near_links")
+        found = _verified(pairs, blocks)
         links = found if links is None else links.unionByName(found)
         linked = found.count()
         if linked:
@@ -274,15 +368,8 @@ def near_components(blocks: B.Blocks) -> DataFrame:
         if linked <= FEW * pairs.count():
             break
 
-    # all pairs of different components, by way of the components that meet at a shingle
-    rooted = written(_rooted(entries, roots), "near_rooted")
-    at = rooted.select("shingle", "root").distinct()
-    other = at.select("shingle", F.col("root").alias("root2"))
-    meets = at.join(other, "shingle").where("root < root2")
-    left = rooted.select("shingle", "root", F.col("node").alias("a"), "n", "rest")
-    right = rooted.select("shingle", F.col("root").alias("root2"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("rest").alias("rest2"))
-    rest = _enough(meets.join(left, ["shingle", "root"]).join(right, ["shingle", "root2"]))
-    more = _verified(written(rest, "near_pairs"), blocks)
+    more = _verified(written(_sliced_pairs(_rooted(entries, roots)), "near_pairs"), blocks)
+    forget(entries)
     roots = components(links.unionByName(more))
 
     members = rows.join(classes, ["n", "d1", "d2"], "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
@@ -308,4 +395,7 @@ def keep_one(docs: DataFrame, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
 
 def component_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    return near_components(B.Blocks(docs.select("doc_id", "text"))).select("doc_id", "n_shingles", "component_id")
+    blocks = B.Blocks(docs.select("doc_id", "text"))
+    out = near_components(blocks).select("doc_id", "n_shingles", "component_id")
+    blocks.drop()  # the answer reads it no more
+    return out

@@ -1,6 +1,8 @@
+import random
 import string
 
 import numpy as np
+import pytest
 from conftest_llm import NULL_ID, order_id
 
 from cohortloom.llm import blocks as B
@@ -52,6 +54,64 @@ def test_one_of_each_group_stays(docs, rows):
     assert len([r for r in got if not shingles(r["text"])]) == len([1 for _, size, _ in want if not size])
 
 
+def _around_the_line(count, seed):
+    """Texts that keep 78 to 100 of 100 parts of one text: many pairs just above and just below the line, and a few passages in others."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(6)) for _ in range(120)]
+    out = []
+    for k in range(count):
+        own = list(words)
+        for _ in range(rng.choice((0, 1, 2, 3, 3, 4, 4, 5))):
+            own[rng.randrange(len(own))] = f"own{k}x{rng.randrange(1000)}"
+        if k % 9 == 0:
+            own = own[:60] + [f"tail{k}y{j}" for j in range(rng.choice((3, 40)))]  # shares a passage, or is one size class away
+        out.append((k, " ".join(own)))
+    return out
+
+
+@pytest.mark.parametrize("slice_docs,rounds", [(1 << 10, 3), (40, 1)])
+def test_large_group_around_the_line(spark, monkeypatch, slice_docs, rounds):
+    monkeypatch.setattr(N, "SLICE_DOCS", slice_docs)
+    monkeypatch.setattr(N, "STAR_ROUNDS", rounds)
+    monkeypatch.setattr(N, "CENTRES", 2)
+    monkeypatch.setattr(N, "COLUMNS", 64)
+    data = _around_the_line(500, 3)
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, N.component_report(docs).collect())) == sorted(brute(data))
+
+
+def test_matched_pairs_counts_every_pair():
+    rng = np.random.default_rng(4)
+
+    def make(nodes, at):
+        sets = [np.unique(rng.integers(0, 60, rng.integers(1, 30))) for _ in range(nodes)]
+        which = np.repeat(np.arange(nodes), [len(s) for s in sets]).astype(np.int32)
+        shingles = np.concatenate(sets).astype(np.int64)
+        order = np.argsort(shingles, kind="stable")
+        about = np.stack([np.arange(at, at + nodes), rng.integers(0, 4, nodes), rng.integers(20, 40, nodes), rng.integers(5, 30, nodes)])
+        return sets, (shingles[order], which[order], about)
+
+    for same in (False, True):
+        sets, a = make(40, 0)
+        other, b = (sets, a) if same else make(25, 100)
+        want = set()
+        for i in range(len(sets)):
+            for j in range(i + 1 if same else 0, len(other)):
+                c, n, m = len(np.intersect1d(sets[i], other[j])), int(a[2][2][i]), int(b[2][2][j])
+                need = -(-75 * (n + m) // 175) - max(a[2][3][i], b[2][3][j])
+                if c and c >= need and a[2][1][i] != b[2][1][j] and 100 * min(n, m) >= 75 * max(n, m):
+                    want.add((int(a[2][0][i]), int(b[2][0][j])))
+        x, y = N.matched_pairs(a, b, same)
+        assert want and set(zip(x.tolist(), y.tolist())) == want
+
+
+def test_nodes_of_late_blocks_keep_their_place(spark):
+    """Numbers beyond 2^53, where a quotient of doubles goes wrong."""
+    nodes = [((65_600 << 20) + 5) * B.BLOCK_ROWS + r for r in (0, 1, B.BLOCK_ROWS - 1)]
+    got = spark.createDataFrame([(n,) for n in nodes], "node long").select(*N._place("node")).collect()
+    assert [tuple(r) for r in got] == [((65_600 << 20) + 5, r) for r in (0, 1, B.BLOCK_ROWS - 1)]
+
+
 def test_linked_sets_share_enough_of_their_prefixes():
     rng = np.random.default_rng(2)
     counts = rng.integers(0, 50, N.SLOTS).astype(np.uint32)
