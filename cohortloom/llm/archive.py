@@ -23,6 +23,10 @@ from cohortloom.session import lineage_dir, written
 
 LEAST_REVISIT = 1000  # payload bytes from which an equal payload becomes a revisit
 END = "\r\n"
+DATE = "1970-01-01T00:00:00Z"  # of the capture, where the pages do not say it
+#: fixed values of the format
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+CONTENT_TYPE = "text/html; charset=utf-8"
 
 
 def _records(pages: DataFrame) -> DataFrame:
@@ -32,20 +36,22 @@ def _records(pages: DataFrame) -> DataFrame:
     ).withColumn("digest", F.sha2("payload", 256))
 
 
-def _header(kind: Column, refers: Column) -> Column:
+def _header(kind: Column, refers: Column, date: str) -> Column:
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(END))
     page = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
     return F.concat(
         F.lit(f"WARC/1.1{END}"), line("WARC-Type", kind), line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), page, F.lit(">"))),
-        F.when(refers.isNotNull(), line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), refers.cast("string"), F.lit(">")))).otherwise(""),
+        line("WARC-Date", F.lit(date)),
+        F.when(refers.isNotNull(), F.concat(
+            line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), refers.cast("string"), F.lit(">"))), line("WARC-Profile", F.lit(PROFILE)))).otherwise(""),
         line("WARC-Target-URI", F.col("url")), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
-        line("X-Payload-Length", F.col("n_bytes").cast("string")),
+        line("X-Payload-Length", F.col("n_bytes").cast("string")), line("Content-Type", F.lit(CONTENT_TYPE)),
         line("Content-Length", F.when(kind == "revisit", "0").otherwise(F.col("n_bytes").cast("string"))), F.lit(END),
     ).cast("binary")
 
 
-def write_archive(pages: DataFrame, folder: str, least_revisit: int = LEAST_REVISIT) -> None:
-    """Write ``pages`` (page_id, url, html) as an archive.
+def write_archive(pages: DataFrame, folder: str, least_revisit: int = LEAST_REVISIT, date: str = DATE) -> None:
+    """Write ``pages`` (page_id, url, html), captured at ``date``, as an archive.
 
     The bytes are not shuffled: digests alone are grouped, and the pages whose payload another page keeps are taken
     out by an anti join on a written list, which is broadcast only if it is small.
@@ -62,7 +68,7 @@ def write_archive(pages: DataFrame, folder: str, least_revisit: int = LEAST_REVI
     known = small.join(keepers, "digest")
     moved = (F.col("n_bytes") >= least_revisit) & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     kind = F.when(moved, "revisit").otherwise("response")
-    known.select("page_id", "digest", _header(kind, F.when(moved, F.col("keeper"))).alias("header")).write.parquet(f"{folder}/headers")
+    known.select("page_id", "digest", _header(kind, F.when(moved, F.col("keeper")), date).alias("header")).write.parquet(f"{folder}/headers")
 
     others = written(known.where(~F.col("page_id").eqNullSafe(F.col("keeper"))).select("page_id", "digest").distinct(), "archive_others")
     ties = written(keepers.where("same > 1").select("digest"), "archive_ties")

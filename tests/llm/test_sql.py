@@ -1,5 +1,6 @@
 """Queries with SQL counterparts, over the smallest tables and over odd rows."""
 
+import hashlib
 import math
 import os
 
@@ -27,7 +28,7 @@ def _same(df, con, sql):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
     assert _same(queries.QUERIES[name](spark, SF_DIR), con, queries.ORACLES[name])
 
@@ -50,6 +51,14 @@ def test_archive_of_odd_pages(spark, tmp_path):
     assert stored.count() == len({p[2] or "" for p in PAGES})  # bytes once, ties and small ones too
     records = {r["page_id"]: bytes(r["record"]) for r in archive.read_records(spark, str(tmp_path / "a")).collect()}
     assert records[3].endswith(b"\r\n\r\n" + b"x" * 1200 + b"\r\n\r\n") and b"WARC-Type: response" in records[3]
+    refers = b"WARC-Refers-To: <urn:page:3>\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"
+    sha = hashlib.sha1(b"x" * 1200).hexdigest().encode()
+    assert records[3] == (
+        b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:3>\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Target-URI: \r\n"
+        b"WARC-Payload-Digest: sha1:" + sha + b"\r\nX-Payload-Length: 1200\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: 1200\r\n\r\n" + b"x" * 1200 + b"\r\n\r\n")
+    assert records[1] == (
+        b"WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Record-ID: <urn:page:1>\r\nWARC-Date: 1970-01-01T00:00:00Z\r\n" + refers + b"WARC-Target-URI: http://a\r\n"
+        b"WARC-Payload-Digest: sha1:" + sha + b"\r\nX-Payload-Length: 1200\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: 0\r\n\r\n\r\n\r\n")
     assert records[1].endswith(b"Content-Length: 0\r\n\r\n\r\n\r\n") and b"WARC-Refers-To: <urn:page:3>" in records[1]
 
 
