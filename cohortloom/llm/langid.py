@@ -16,12 +16,12 @@ results; further columns are not looked at.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cohortloom.session import written
@@ -35,7 +35,7 @@ SHARPEST = 20  # words from which a longer text is no longer given more certaint
 UNKNOWN = "und"
 FOLDS, HELD_OUT = 4, 2
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -224,7 +224,10 @@ def predict(docs: DataFrame, net: ByteGru, languages: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = hash(b"".join(x.tobytes() for x in net.p.values()))
-        reader = _READERS.setdefault(key, Reader(net, languages))
+        if key not in _READERS:
+            _READERS.clear()  # a worker keeps the last one
+            _READERS[key] = Reader(net, languages)
+        reader = _READERS[key]
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 batch = whole.slice(start, 1000)

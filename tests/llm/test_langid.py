@@ -52,6 +52,9 @@ def test_odd_rows(docs, spark):
     got = {r["doc_id"]: r for r in L.language_report(docs).collect()}
     assert all(got[k]["lang_pred"] == "und" and got[k]["score"] == 0 for k in (70, 71, 72, 77))
     assert got[75]["lang_pred"] in ("en", "de") and got[74]["lang_pred"] in ("en", "de")
+    data = [(k, "schung the " * 5, ("de", "en")[k % 2]) for k in range(40)] + [(900, "½ ² ① ⅷ _ 7", None), (901, "½a", None)]
+    found = {r["doc_id"]: r["lang_pred"] for r in L.language_report(spark.createDataFrame(data, "doc_id long, text string, lang string")).collect()}
+    assert found[900] == "und" and found[901] != "und"  # numbers are no letters
     plain = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert L.language_report(plain).first()["lang_pred"] == "und"  # nothing to learn from
 
