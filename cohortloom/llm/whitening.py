@@ -65,13 +65,19 @@ class Spectra:
             return
         delta, tau = _roots(d, z, live)  # pole j minus the origin of root i, and root i minus its origin
         gap = delta - tau[:, :, None]  # pole j minus root i
-        both = live[:, :, None] & live[:, None, :]
+        all_live = live.all()
+        both = None if all_live else live[:, :, None] & live[:, None, :]
         poles = d[:, None, :] - d[:, :, None]  # pole j minus pole i
         eye = np.eye(d.shape[1], dtype=bool)
-        ratio = np.where(both, -gap / np.where(eye | (poles == 0), 1.0, -poles), 1.0)
+        np.einsum("gii->gi", poles)[...] = -1.0
+        if not all_live:
+            poles[~both], gap[~both] = 1.0, 1.0
         # the vector of which the roots are exact: product over i of (root i - pole j) / (pole i - pole j), without i = j below
+        ratio = np.divide(gap, poles, out=poles)
+        if not all_live:
+            ratio[~both] = 1.0
         fitted = np.sqrt(np.maximum(np.multiply.reduce(ratio, axis=1), 0.0))
-        weight = np.where(both, np.copysign(fitted, z)[:, None, :] / np.where(gap == 0, 1.0, gap), 0.0)
+        weight = np.divide(np.copysign(fitted, z)[:, None, :], gap, out=gap if all_live else np.zeros_like(gap), where=True if all_live else both)
         weight /= np.maximum(np.sqrt(np.einsum("gij,gij->gi", weight, weight)), 1e-300)[:, :, None]
         dead = ~live
         if dead.any():
@@ -164,14 +170,22 @@ def _roots(d: np.ndarray, z: np.ndarray, live: np.ndarray) -> tuple[np.ndarray,
     width = np.where(live, width, 1.0)
     weights = z2[:, :, None]
 
-    def value(gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    space = np.empty((n, k, k))  # reused: the arrays of a step are too large to be allocated again for each
+
+    def value(delta: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Function and slope at ``at`` beyond the origins."""
+        np.subtract(delta, at[:, :, None], out=space)
         with np.errstate(divide="ignore", invalid="ignore"):
-            w = 1.0 / gap
-        w[~np.isfinite(w)] = 0.0
-        return 1.0 + np.matmul(w, weights)[:, :, 0], np.matmul(w * w, weights)[:, :, 0]
+            np.divide(1.0, space, out=space)
+            f = np.matmul(space, weights)[:, :, 0]
+        if not np.isfinite(f).all():  # on a pole without weight
+            space[~np.isfinite(space)] = 0.0
+            f = np.matmul(space, weights)[:, :, 0]
+        np.multiply(space, space, out=space)
+        return 1.0 + f, np.matmul(space, weights)[:, :, 0]
 
     delta = d[:, None, :] - d[:, :, None]
-    half, _ = value(delta - (width / 2)[:, :, None])
+    half, _ = value(delta, width / 2)
     right = live & ~final & (half < 0)  # the root is nearer to the next pole
     delta = np.where(right[:, :, None], d[:, None, :] - np.take_along_axis(d, nxt, 1)[:, :, None], delta)
     low = np.where(right, -width / 2, 0.0)
@@ -187,7 +201,7 @@ def _roots(d: np.ndarray, z: np.ndarray, live: np.ndarray) -> tuple[np.ndarray,
     own, following = z2, np.take_along_axis(z2, nxt, 1)
     open_ = live.copy()
     for _ in range(ROUNDS):
-        f, slope = value(delta - tau[:, :, None])
+        f, slope = value(delta, tau)
         low, high = np.where(f < 0, tau, low), np.where(f >= 0, tau, high)
         dp, dq = p - tau, q - tau
         with np.errstate(all="ignore"):
