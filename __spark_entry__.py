@@ -555,7 +555,7 @@ def adverse_files_study(spark, sf_dir):
         saved("drug_outcome", S.drug_outcome(spark, sf_dir), schemas.DRUG_OUTCOME), saved("concept", S.concept(spark, sf_dir), schemas.CONCEPT, True),
     ]
     adverse_events = load.adverse_source(spark, *files, nations, "AUTO|BUILD", "AUTO")
-    return Study(adverse_events, C.CohortSpec("R2", "N7", "icd", "icd", "ccs_s", with_second=False)).condition_patients()
+    return Study(adverse_events, C.CohortSpec("R3", "N7", "icd", "icd", "ccs_s", with_second=False)).condition_patients()
 
 
 @_query

@@ -348,7 +348,7 @@ pairs AS (
   WHERE subject_id IN (SELECT subject_id FROM chosen)),
 selection AS (SELECT * FROM pairs JOIN nations USING (snomed_code) WHERE regexp_matches(indi_desc, 'AUTO')),
 cohort AS (
-  SELECT DISTINCT subject_id FROM selection WHERE icd_code = 'R2' AND admit_id > 1
+  SELECT DISTINCT subject_id FROM selection WHERE icd_code = 'R3' AND admit_id > 1
   AND subject_id NOT IN (SELECT subject_id FROM selection WHERE icd_code = 'N7'))
 SELECT ccs_desc AS condition, count(DISTINCT subject_id) AS count FROM outcome_visits JOIN nations USING (icd_code)
 WHERE subject_id IN (FROM cohort) GROUP BY ccs_desc""",
