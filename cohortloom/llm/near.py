@@ -13,7 +13,7 @@ The order comes from a counting table of fixed size (``SLOTS``), filled from all
 2. Blocks send their different prefix shingles to buckets and learn which of them others have too (see ``blocks``).
 3. Entries (shingle, document) of shared shingles alone become rows.
 4. Links are only needed as far as they connect.  So every document is first compared with the ``CENTRES`` others of
-   each of its shingles that have the least hashes, in rounds with other hashes, which joins large groups of near
+   each of its shingles that have the least hashes, as far as it shares most with them, in rounds with other hashes, which joins large groups of near
    copies without forming their pairs.  Pairs inside a component are the only ones left out from here on.
 5. The rest is counted in slices.  Documents whose most frequent prefix shingle is the same, and whose sizes are alike, are
    dealt out to slices of about ``SLICE_ENTRIES`` entries or ``SLICE_DOCS`` documents; slices that have a shingle in common meet, and a task counts the common prefix
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortloom.llm import blocks as B
 from cohortloom.llm.hashing import mix, window_hash, word_hashes
@@ -202,12 +202,12 @@ def _enough(met: DataFrame, *also: str, part: float = 1.0) -> DataFrame:
     sizes = 100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")
     wanted = F.ceil(PERCENT * (F.col("n") + F.col("m")) / (100 + PERCENT)) - F.greatest("rest", "rest2")
     counted = met.where(sizes).groupBy("a", "b", *also).agg(F.count(F.lit(1)).alias("c"), F.max(wanted).alias("wanted"))
-    return counted.where(F.col("c") >= part * F.col("wanted")).select("a", "b")
+    return counted.where(F.col("c") >= part * F.col("wanted")).select("a", "b", "c")
 
 
 def _verified(pairs: DataFrame, blocks: B.Blocks) -> DataFrame:
     """The pairs (a, b) whose sets link."""
-    sets = written(_sets(blocks, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "near_sets")
+    sets = written(_sets(blocks, pairs.select(F.col("a").alias("node")).distinct().union(pairs.select("b").distinct()).distinct()), "near_sets")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
@@ -312,7 +312,9 @@ def _sliced_pairs(rooted: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components whose prefixes share enough: counted slice by slice."""
     placed = _slices(rooted)
     schema = "slice long, shingles binary, which binary, about binary"
-    packed = written(placed.select("slice", "shingle", "node", "root", "n", "rest").groupBy("slice").applyInArrow(_packed_slice, schema), "near_slices")
+    parts = max(1, int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = placed.select("slice", "shingle", "node", "root", "n", "rest").repartition(parts, "slice")
+    packed = written(dealt.groupBy("slice").applyInArrow(_packed_slice, schema), "near_slices")
     at = placed.select("shingle", "slice", "size").distinct()
     other = at.select("shingle", F.col("slice").alias("slice2"), F.col("size").alias("size2"))
     meets = at.join(other, "shingle").where((F.col("slice") <= F.col("slice2")) & (F.abs(F.col("size") - F.col("size2")) <= 1)).select("slice", "slice2").distinct()
@@ -359,7 +361,11 @@ def near_components(blocks: B.Blocks) -> DataFrame:
         top = centres.select("shingle", F.posexplode(F.array(*[f"c{k}" for k in range(CENTRES)])).alias("turn", "top")).select(
             "shingle", "turn", F.col("top.node").alias("b"), F.col("top.root").alias("root2"), F.col("top.n").alias("m"), F.col("top.rest").alias("rest2"))
         met = rooted.withColumnRenamed("node", "a").join(top, "shingle").where("root <> root2")
-        pairs = written(_enough(met, "turn", part=0.25).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near_pairs")
+        # of the centres a document meets, those it shares most with; the rest is left to the second part as well
+        shared = _enough(met, "turn", part=0.25).groupBy("a", "b").agg(F.max("c").alias("c"))
+        best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("c"), "b"))
+        few = shared.withColumn("_best", best).where(F.col("_best") <= CENTRES)
+        pairs = written(few.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near_pairs")
         found = _verified(pairs, blocks)
         links = found if links is None else links.unionByName(found)
         linked = found.count()
