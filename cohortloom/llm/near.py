@@ -52,7 +52,8 @@ FEW = 0.02  # share of linked pairs in a round below which no further round is m
 
 def shingle_sets(table: pa.Table) -> list[np.ndarray]:
     """Sorted different shingle hashes of each document."""
-    words, counts = word_hashes(B.texts(table), lower=True)
+    data = table.column("text").cast(pa.binary()).to_pylist()  # never as Python strings
+    words, counts = word_hashes([t or b"" for t in data], lower=True)
     all_ = window_hash(words, WORDS)
     out, at = [], 0
     for n in counts.tolist():
@@ -74,25 +75,31 @@ def _place(node: str) -> list[Column]:
     return [F.shiftright(node, bits).alias("block"), F.col(node).bitwiseAND(F.lit(B.BLOCK_ROWS - 1)).cast("int").alias("bucket")]
 
 
+def _packed_counts(shingles: np.ndarray) -> bytes:
+    """Counts of the slots, compressed slice by slice, so that no dense table is held."""
+    slots = np.sort((shingles >> np.uint64(64 - SLOT_BITS)).astype(np.uint32))
+    edges = np.searchsorted(slots, np.arange(0, SLOTS + 1, _SLICE, dtype=np.uint32))
+    out = zstandard.ZstdCompressor(3).compressobj()
+    found = [out.compress(np.bincount(slots[a:b] & np.uint32(_SLICE - 1), minlength=_SLICE).astype("<u4").tobytes()) for a, b in zip(edges[:-1], edges[1:])]
+    return b"".join([*found, out.flush()])
+
+
 def _described(blocks: B.Blocks) -> DataFrame:
     """One row per document (size and digest of its set), and one per block with its counts of the slots."""
 
     def run(block: int, table: pa.Table, _) -> Iterator[pa.RecordBatch]:
         sets = shingle_sets(table)
-        counts = np.zeros(SLOTS, np.uint32)
         digests = np.zeros((2, len(sets)), np.uint64)
         for k, s in enumerate(sets):
             digests[0, k] = mix(s).sum()
             digests[1, k] = mix(s ^ np.uint64(0x9E3779B97F4A7C15)).sum()
-        if sets:
-            counts = np.bincount((np.concatenate(sets) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=SLOTS).astype("<u4")
         n = len(sets)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.full(n, block), pa.int64()), pa.array(np.arange(n), pa.int32()), table.column("doc_id").combine_chunks().cast(pa.int64()),
              pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[0].astype(np.int64)), pa.array(digests[1].astype(np.int64)), pa.nulls(n, pa.binary())],
             names=["block", "row", "doc_id", "n", "d1", "d2", "counts"],
         )
-        packed = zstandard.ZstdCompressor(3).compress(counts.tobytes())
+        packed = _packed_counts(np.concatenate([np.empty(0, np.uint64), *sets]))
         yield pa.RecordBatch.from_pydict(
             {"block": [block], "row": [-1], "doc_id": [None], "n": [0], "d1": [0], "d2": [0], "counts": [packed]},
             schema=pa.schema([("block", pa.int64()), ("row", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("counts", pa.binary())]),
@@ -108,7 +115,7 @@ def _slot_counts(described: DataFrame) -> np.ndarray:
         total = np.zeros(SLOTS, np.int64)
         for batch in batches:
             for x in batch.column(0):
-                total += np.frombuffer(zstandard.ZstdDecompressor().decompress(x.as_py()), "<u4")
+                total += np.frombuffer(zstandard.ZstdDecompressor().decompress(x.as_py(), max_output_size=4 * SLOTS), "<u4")
         if total.any():
             parts = [total[a : a + _SLICE].astype("<i8").tobytes() for a in range(0, SLOTS, _SLICE)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["part", "counts"])

@@ -3,6 +3,7 @@ import string
 
 import numpy as np
 import pytest
+import zstandard
 from conftest_llm import NULL_ID, order_id
 
 from cohortloom.llm import blocks as B
@@ -105,6 +106,14 @@ def test_matched_pairs_counts_every_pair():
         assert want and set(zip(x.tolist(), y.tolist())) == want
 
 
+def test_packed_counts_of_slots():
+    rng = np.random.default_rng(1)
+    for shingles in (rng.integers(0, 2**64, 5000, dtype=np.uint64), np.empty(0, np.uint64), np.full(9, 2**64 - 1, np.uint64)):
+        data = zstandard.ZstdDecompressor().decompress(N._packed_counts(shingles), max_output_size=4 * N.SLOTS)
+        want = np.bincount((shingles >> np.uint64(64 - N.SLOT_BITS)).astype(np.int64), minlength=N.SLOTS)
+        assert (np.frombuffer(data, "<u4") == want).all()
+
+
 def test_nodes_of_late_blocks_keep_their_place(spark):
     """Numbers beyond 2^53, where a quotient of doubles goes wrong."""
     nodes = [((65_600 << 20) + 5) * B.BLOCK_ROWS + r for r in (0, 1, B.BLOCK_ROWS - 1)]
