@@ -2,6 +2,7 @@ import random
 import string
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from conftest_llm import NULL_ID, order_id
@@ -152,3 +153,25 @@ def test_blocks_keep_rows_and_order_of_answers(docs, rows):
     assert sorted(map(tuple, out.collect()), key=str) == sorted(rows, key=str)
     blocks.drop()
     assert not blocks.spark.catalog.tableExists(blocks.name)
+
+
+def test_sums_of_slots_are_sent_in_small_rows():
+    rng = np.random.default_rng(3)
+    blocks_of = [rng.integers(0, 2**64, n, np.uint64) for n in (5000, 300, 0)]
+    sent = list(N._summed_slices(N._packed_counts(s) for s in blocks_of))
+    got = np.zeros(N.SLOTS, np.int64)
+    for row in sent:
+        assert row.num_rows == 1 and row.nbytes < 1 << 16  # not a table of eight bytes a slot
+        k = row.column(0)[0].as_py()
+        got[k * N._SLICE : (k + 1) * N._SLICE] = np.frombuffer(N._unpacked(row.column(1)[0].as_py()), "<i8")
+    assert (got == np.bincount(N._slots(np.concatenate(blocks_of)), minlength=N.SLOTS)).all()
+    assert not list(N._summed_slices([])) and not list(N._summed_slices([N._packed_counts(blocks_of[2])]))
+
+
+def test_sets_do_not_depend_on_the_parts(monkeypatch):
+    texts = ["One two THREE four five six", None, "", "few words", "a b c d e f g h " * 50, "x"]
+    table = pa.table({"text": pa.chunked_array([pa.array(texts[:2], pa.string()), pa.array(texts[2:], pa.string())])})
+    want = N.shingle_sets(table)
+    assert [len(s) for s in want] == [len(shingles(t)) for t in texts]
+    monkeypatch.setattr(N, "PART_BYTES", 10)
+    assert all((a == b).all() for a, b in zip(want, N.shingle_sets(table), strict=True))
