@@ -1,11 +1,13 @@
 import random
 import string
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
 import zstandard
 from conftest_llm import NULL_ID, order_id
+from pyspark.sql import functions as F
 
 from cohortloom.llm import blocks as B
 from cohortloom.llm import near as N
@@ -175,3 +177,54 @@ def test_sets_do_not_depend_on_the_parts(monkeypatch):
     assert [len(s) for s in want] == [len(shingles(t)) for t in texts]
     monkeypatch.setattr(N, "PART_BYTES", 10)
     assert all((a == b).all() for a, b in zip(want, N.shingle_sets(table), strict=True))
+
+
+def test_tables_of_small_inputs_are_few_files(spark, monkeypatch):
+    """However many shuffle partitions there are: every file is two processes for an executor on a local file system."""
+    found = {}
+
+    def watched(df, name, *files):
+        out = written(df, name, *files)
+        found[name] = max(found.get(name, 0), len(out.inputFiles()))
+        return out
+
+    written = N.written
+    monkeypatch.setattr(N, "written", watched)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    data = _around_the_line(200, 5)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "60")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        blocks = B.Blocks(spark.createDataFrame(data, "doc_id long, text string").repartition(4))
+        most = blocks.files()
+        got = N.near_components(blocks).select("doc_id", "n_shingles", "component_id").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(map(tuple, got)) == sorted(brute(data))
+    assert most < 30 and len(found) >= 10 and max(found.values()) <= most
+    blocks.drop()
+
+
+def test_centres_of_a_shingle_are_one_row_each(spark):
+    entries = spark.createDataFrame([(s, node, 10, 3, node) for s in (1, 2, 3) for node in range(40) if s < 3 or node < 2], "shingle long, node long, n long, rest long, root long")
+    tops = [{s: {r["b"] for r in N._centres(entries, turn).collect() if r["shingle"] == s} for s in (1, 2, 3)} for turn in (0, 1)]
+    for top in tops:
+        assert top[1] == top[2] and len(top[1]) == N.CENTRES and top[3] == {0, 1}  # all shingles rank the documents alike
+    assert tops[0][1] != tops[1][1]
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    def held():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {x for x in (str(found.apply(k)) for k in range(found.size())) if x.startswith("shuffle_")}
+
+    option = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = held(), spark.conf.get(option)
+    out = N.written(spark.range(0, 3000, 1, 6).groupBy((F.col("id") % 50).alias("k")).count().repartition(7, "k"), "shuffled", 3)
+    for _ in range(50):
+        if not held() - before:
+            break
+        time.sleep(0.2)
+    assert not held() - before
+    assert len(out.inputFiles()) <= 3 and out.count() == 50 and spark.conf.get(option) == was
