@@ -11,6 +11,7 @@ A word of more than ``SHORT`` bytes contracts all equal pairs of least rank at o
 result (no pair that arises has a rank as low), in rounds whose states are dropped every ``ROUNDS`` rounds.
 
 Words already encoded are remembered by the worker, up to ``MEMORY_WORDS``; that saves time and never changes a result.
+They and the tables go when the worker takes up a task of another operator (see ``worker``).
 
 Defined results: null text is encoded like an empty one (no ids); special-token strings are ordinary text; repeated
 rows are encoded each; empty tables give empty results; further columns are kept where a table of documents is
@@ -29,6 +30,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, types as T
 
+from cohortloom.llm.worker import kept
+
 SHORT = 48
 ROUNDS = 32
 MEMORY_WORDS = 400_000
@@ -182,14 +185,9 @@ class Coder:
         return [b"".join(out.get(k, [])) for k in range(len(coded))]
 
 
-_CODERS: dict[str, Coder] = {}
-
-
 def _coder(rank_file: bytes, pattern: str) -> Coder:
     key = hashlib.sha256(rank_file + pattern.encode()).hexdigest()
-    if key not in _CODERS:
-        _CODERS[key] = Coder(rank_file, pattern)
-    return _CODERS[key]
+    return kept("tokens", key, lambda: Coder(rank_file, pattern))
 
 
 def _parts(batch: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
