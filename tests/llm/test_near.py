@@ -228,3 +228,36 @@ def test_written_tables_leave_no_shuffle_files(spark):
         time.sleep(0.2)
     assert not held() - before
     assert len(out.inputFiles()) <= 3 and out.count() == 50 and spark.conf.get(option) == was
+
+
+def test_pairs_of_slices_are_looked_at_in_parts():
+    import tracemalloc
+
+    def slice_of(first, k, base):
+        shingles = np.repeat(np.arange(8), k)  # every document has all eight
+        which = np.tile(np.arange(k), 8)
+        nodes = np.arange(first, first + k)
+        return shingles, which, np.stack([nodes, nodes, np.full(k, 8), np.zeros(k, np.int64)])
+
+    a, b = slice_of(0, 700, 0), slice_of(1000, 700, 0)
+    found = N.matched_pairs(slice_of(0, 70, 0), slice_of(0, 70, 0), True)
+    assert sorted(zip(*(x.tolist() for x in found))) == [(x, y) for x in range(70) for y in range(x + 1, 70)]
+    a[2][3][:] = b[2][3][:] = -100  # nothing is enough: no pair comes out
+    tracemalloc.start()
+    assert [len(x) for x in N.matched_pairs(a, b, False)] == [0, 0]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 24 << 20  # the matrices have 8 MB; all pairs at once are 60 MB
+
+
+def test_slices_reach_the_workers_in_small_batches(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(N, "_sliced_pairs", lambda *a, f=N._sliced_pairs: seen.append(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) or f(*a))
+    monkeypatch.setattr(N, "BATCH_BYTES", 1000)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 30, 40)) for _ in range(60)]
+    texts += [t + " more" for t in texts]
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    got = N.component_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {k: k % 60 for k in range(120)}
+    assert seen == ["1000"] and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
