@@ -105,3 +105,32 @@ def test_nothing_frequent(spark):
     history = {1: [["a"]], 2: [["b"]], 3: [["c"]]}
     assert found(Q.frequent_sequences(items_of(spark, history), 0.5)) == {}
     assert found(Q.frequent_itemset_sequences(items_of(spark, history), 0.5)) == {}
+
+
+def test_nothing_is_written_for_a_subject_and_a_pattern(spark, monkeypatch):
+    sizes, write = {}, lattice.written
+
+    def noted(df, name, *rest):
+        table = write(df, name, *rest)
+        sizes[name] = table.count()
+        return table
+
+    monkeypatch.setattr(lattice, "written", noted)
+    got = found(Q.frequent_sequences(items_of(spark, {s: [["a", "b", "c"]] * 6 for s in range(60)}), 0.5, 4))
+    assert len(got) == 3 + 9 + 27 + 81 and set(got.values()) == {60}
+    assert max(n for name, n in sizes.items() if name != "visit_bits") <= 81
+
+
+def test_candidates_in_several_passes(spark, monkeypatch):
+    history = random_history(6, letters="abc", visits=7)
+    history[99] = [["a", "b"], ["c"]] * 50
+    want = found(Q.frequent_itemset_sequences(items_of(spark, history), 0.5, 3, 2))
+    monkeypatch.setattr(lattice, "BATCH", 4)
+    assert found(Q.frequent_itemset_sequences(items_of(spark, history), 0.5, 3, 2)) == want
+    assert want == {k: n for k, n in prefix_span(spark, history, 0.5, 6).items() if len(k) <= 3 and all(len(e) <= 2 for e in k)}
+
+
+def test_a_subject_without_a_name_meets_nothing(spark):
+    """It counts as a subject, and its items as single items; rows without a subject are nobody's history."""
+    items = items_of(spark, {1: [["a"], ["b"]], 2: [["a"], ["b"]], None: [["a"], ["b"]]})
+    assert found(Q.frequent_sequences(items, 0.5)) == {("a",): 3, ("b",): 3, ("a", "b"): 2}
