@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from cohortloom.operators import itemsets as I, rules as R
+from cohortloom.operators import itemsets as I, lattice, rules as R
 from helpers import sorted_rows as rows
 
 
@@ -144,3 +144,25 @@ def test_clusters_do_not_follow_partitions(spark):
         for parts in partitions:
             got = R.rule_clusters(back.repartition(parts), k, rounds).collect()
             assert {(r["cluster"], r["consequent"]): (r["n_antecedents"], round(r["lift"], 9)) for r in got} == {key: (len(v), round(sum(v) / len(v), 9)) for key, v in expected.items()}
+
+
+def test_nothing_is_written_for_a_set_and_transactions(spark, monkeypatch):
+    sizes, write = {}, I.written
+
+    def noted(df, name, *rest):
+        table = write(df, name, *rest)
+        sizes[name] = table.count()
+        return table
+
+    monkeypatch.setattr(I, "written", noted)
+    sets, n = I.frequent_sets(txns(spark, [list("abcdef")] * 300), 0.5, 6)
+    assert n == 300 and sorted(r["hits"] for r in sets.collect()) == [300] * 63
+    assert max(k for name, k in sizes.items() if name not in ("transactions", "held")) <= 20
+
+
+def test_sets_in_several_passes(spark, monkeypatch):
+    rng = random.Random(9)
+    df = txns(spark, [[c for c in "abcdefg" if rng.random() < 0.7] for _ in range(150)]).repartition(3)
+    want = rows(I.frequent_sets(df, 0.1, 5)[0].select(F.array_join("items", ",").alias("i"), "hits"))
+    monkeypatch.setattr(lattice, "BATCH", 4)
+    assert rows(I.frequent_sets(df, 0.1, 5)[0].select(F.array_join("items", ",").alias("i"), "hits")) == want
